@@ -31,16 +31,28 @@ def in_training(keys: tuple[str, ...] = SPLIT_KEYS) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(100)) < C.TRAIN_PERCENT
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """At least one partition per core. Training goes over its rows many times, so
+    rows that come from a few file splits are spread once; larger inputs keep
+    theirs."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def train_price_model(features: DataFrame, **forest) -> PipelineModel:
-    """Fits the pipeline on the training part. ``forest`` overrides parameters of
-    the regressor, for example ``maxMemoryInMB`` on large clusters."""
+    """Fits the pipeline on the training part.
+
+    ``features`` is read in several passes, so it should be a stored table (see
+    ``stage_table``), not a join. ``forest`` overrides parameters of the regressor,
+    for example ``maxMemoryInMB`` on large clusters.
+    """
     parameters = {"numTrees": C.TREES, "maxDepth": C.TREE_DEPTH, "seed": C.SEED} | forest
     assembler = VectorAssembler(
         inputCols=list(C.FEATURES), outputCol="features", handleInvalid="skip"
     )
     regressor = RandomForestRegressor(featuresCol="features", labelCol=C.LABEL, **parameters)
     train = complete(features).where(in_training()).select(*C.FEATURES, C.LABEL)
-    return Pipeline(stages=[assembler, regressor]).fit(train)
+    return Pipeline(stages=[assembler, regressor]).fit(_spread(train))
 
 
 def predict(model: PipelineModel, features: DataFrame) -> DataFrame:
