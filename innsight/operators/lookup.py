@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BROADCAST_BYTES = 64 * 1024 * 1024
+BROADCAST_CONF = "innsight.lookup.broadcastBytes"  # overrides it in a session
 SALTS = 32
 
 _WIDTHS = {
@@ -50,7 +51,6 @@ def lookup(
     dimension: DataFrame,
     on: list[str],
     how: str = "left",
-    max_bytes: int = BROADCAST_BYTES,
     salts: int = SALTS,
     at_most_bytes: int | None = None,
 ) -> DataFrame:
@@ -65,7 +65,8 @@ def lookup(
         raise ValueError(f"unsupported join type: {how}")
     if at_most_bytes is None:
         at_most_bytes = measured_bytes(dimension)
-    if at_most_bytes <= max_bytes:
+    limit = int(fact.sparkSession.conf.get(BROADCAST_CONF, str(BROADCAST_BYTES)))
+    if at_most_bytes <= limit:
         return fact.join(F.broadcast(dimension), on, how)
     return salted_join(fact, dimension, on, how, salts)
 

@@ -45,10 +45,11 @@ def hotel_detail(
 ) -> DataFrame:
     """The profile of all hotels; filter ``hotels`` by id for one. An unknown id
     gives an empty frame."""
-    today = {"date": date_ahead(as_of, F.lit(0)), "days_ahead": F.lit(1)}
-    priced = price_rows(
-        hotel_reviews(hotels, reviews, k).withColumns(today), "days_ahead", supply, calendar
+    today = date_ahead(as_of, F.lit(0))
+    rows = hotel_reviews(hotels, reviews, k).withColumns(
+        {"date": today, "days_ahead": F.lit(1)}
     )
+    priced = price_rows(rows, "days_ahead", supply, calendar, span=(today, today))
     return priced.withColumns(
         {
             "amenities": parse_amenities("amenities"),

@@ -31,7 +31,8 @@ def price_forecast(
         "base_price",
         F.explode(offsets).alias("day_offset"),
     ).withColumn("date", date_ahead(as_of, "day_offset"))
-    return price_rows(rows, "day_offset", supply, calendar).withColumn(
+    span = (date_ahead(as_of, F.lit(0)), date_ahead(as_of, F.lit(horizon - 1)))
+    return price_rows(rows, "day_offset", supply, calendar, span=span).withColumn(
         "price", F.round("raw_price", 2)
     )
 

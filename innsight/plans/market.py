@@ -15,7 +15,10 @@ TIERS = ("budget", "mid", "luxury")
 
 def market_columns(hotels: DataFrame, as_of=None, supply: DataFrame | None = None) -> DataFrame:
     """Occupancy, estimated revenue and price tier of every hotel on a night."""
-    rows = with_supply(hotels.withColumn("date", date_ahead(as_of, F.lit(0))), supply)
+    night = date_ahead(as_of, F.lit(0))
+    if supply is not None:
+        supply = supply.where(F.col("night") == night)
+    rows = with_supply(hotels.withColumn("date", night), supply)
     return rows.withColumns(
         {
             "occupancy": P.occupancy_percent("supply_factor"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from innsight.functions.pricing import raw_dynamic_price
@@ -17,12 +17,19 @@ def price_rows(
     supply: DataFrame | None = None,
     calendar: DataFrame | None = None,
     date: str = "date",
+    span: tuple[Column, Column] | None = None,
 ) -> DataFrame:
     """Adds weather, demand_score, supply_factor and the unrounded raw_price.
 
     ``rows`` needs hotel_id, city, lat, base_price, the date and the days ahead.
     Everything but the two optional joins is a projection of the row itself.
+    ``span`` is the first and last date of the rows, where the caller knows them:
+    of supply and calendar only these dates are then read.
     """
+    if span is not None and supply is not None:
+        supply = supply.where(F.col("night").between(*span))
+    if span is not None and calendar is not None:
+        calendar = calendar.where(F.col("date").between(*span))
     rows = with_supply(rows, supply, date)
     rows = with_demand(rows, calendar, date)
     rows = rows.withColumn("weather", weather_signal("lat", date))

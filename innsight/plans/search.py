@@ -38,13 +38,11 @@ def search_hotels(
 ) -> DataFrame:
     """The best hotels around a point, priced for a stay ``days_ahead`` from
     ``as_of``. Only the rows that are returned get priced."""
+    date = date_ahead(as_of, F.lit(days_ahead))
     found = top_within_radius(hotels, lat, lon, radius_km, limit).withColumns(
-        {
-            "days_ahead": F.lit(days_ahead),
-            "date": date_ahead(as_of, F.lit(days_ahead)),
-        }
+        {"days_ahead": F.lit(days_ahead), "date": date}
     )
-    return _with_offer(price_rows(found, "days_ahead", supply, calendar))
+    return _with_offer(price_rows(found, "days_ahead", supply, calendar, span=(date, date)))
 
 
 def search_batch(

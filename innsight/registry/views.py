@@ -23,6 +23,9 @@ _EVENTS = T.StructType(
     ]
 )
 
+# Reading a file's schema is a job of its own; it is done once per table.
+_SCHEMAS: dict[str, T.StructType] = {}
+
 
 def _base_price(key: str) -> Column:
     return (F.lit(3000) + F.pmod(F.col(key) * 7919, F.lit(42000))).cast("double")
@@ -36,7 +39,10 @@ class Views:
         self.folder = folder
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        path = f"{self.folder}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
     def _hotel_number(self, key: str) -> Column:
         """Spreads a key over the hotels; their number comes from a scalar subquery."""
