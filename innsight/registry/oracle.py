@@ -92,7 +92,8 @@ _CONDITION = (
 _AS_OF = "DATE '1998-06-01'"
 _UNTIL = "DATE '1998-06-30'"
 _CITY = "'NATION_3'"
-_POINT = ("20.2961e0", "85.8245e0")
+_POINT = ("-45e0", "-143e0")
+_SEARCH_POINT = ("20.2961e0", "85.8245e0")
 _RADIUS = "5000e0"
 _BATCH_RADIUS = "1000e0"
 
@@ -334,7 +335,7 @@ _OTHERS = (
 _BODIES = {
     "scan_hotels": "SELECT * FROM hotels",
     "scan_hotels_city": f"SELECT * FROM hotels WHERE city = {_CITY}",
-    "hotel_lookup": "SELECT * FROM hotels WHERE hotel_id = 42",
+    "hotel_lookup": "SELECT * FROM hotels WHERE hotel_id = 7",
     "scan_price_history": f"""
     SELECT hotel_id, {_day("recorded_date")}, occupancy_rate, weather_score, demand_score,
            l_orderkey, l_linenumber, price FROM price_history""",
@@ -389,7 +390,7 @@ _BODIES = {
            occupancy_rate / 100e0 AS occupancy_normalized
     FROM price_history JOIN hotels USING (hotel_id)""",
     "hotel_distance": f"""
-    SELECT hotel_id, {_rounded(_distance(*_POINT, "lat", "lon"), 6, "distance_km")}
+    SELECT hotel_id, {_rounded(_distance(*_SEARCH_POINT, "lat", "lon"), 6, "distance_km")}
     FROM hotels""",
     "scalar_math": f"""
     SELECT hotel_id, {_rounded("radians(lat)", 9, "radians")},

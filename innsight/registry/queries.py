@@ -41,9 +41,9 @@ AS_OF = "1998-06-01"
 UNTIL = "1998-06-30"
 YEAR = 365
 CITY = "NATION_3"
-HOTEL = 42
-# a point and radius that hold hotels of the test data
-POINT = (20.2961, 85.8245)
+HOTEL = 7
+# a point and radius that hold hotels at every scale of the test data
+POINT = (-45.0, -143.0)
 RADIUS_KM = 5000.0
 BATCH_RADIUS_KM = 1000.0
 
