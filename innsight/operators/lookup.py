@@ -82,6 +82,8 @@ def salted_join(
     equal rows of different partitions still spread out.
     """
     spread = F.pmod(F.xxhash64(F.spark_partition_id(), *fact.columns), F.lit(salts))
-    salted = fact.withColumn("salt", spread.cast("int"))
-    copies = dimension.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*on, "salt"], how).drop("salt")
+    salted = fact.withColumn("lookup_salt", spread.cast("int"))
+    copies = dimension.withColumn(
+        "lookup_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    )
+    return salted.join(copies, [*on, "lookup_salt"], how).drop("lookup_salt")

@@ -150,7 +150,9 @@ def competitor_gap(history: DataFrame, hotels: DataFrame) -> DataFrame:
 
     The history is reduced to hotel-months first; the city totals are a second,
     smaller aggregate that is joined back, so a city with most of the hotels is
-    never gathered in one task.
+    never gathered in one task. How they are joined is left to adaptive execution:
+    it knows the size of the totals by then, without another pass over the history,
+    and nothing after the join stops it from splitting a heavy city.
     """
     months = history.groupBy(
         "hotel_id", F.trunc("recorded_date", "month").alias("month_start")
@@ -163,7 +165,7 @@ def competitor_gap(history: DataFrame, hotels: DataFrame) -> DataFrame:
     others = F.try_divide(
         F.col("city_total") - F.col("avg_price"), F.col("city_hotels") - F.lit(1)
     )
-    return lookup(own, totals, ["city", "month_start"], "inner").select(
+    return own.join(totals, ["city", "month_start"], "inner").select(
         "hotel_id",
         "city",
         "month_start",

@@ -16,10 +16,11 @@ from innsight.functions import features, geo, signals
 from innsight.functions import pricing as P
 from innsight.functions.sql import register_sql_functions
 from innsight.operators.audit import integrity_audit as run_audit
+from innsight.operators.demand import with_demand
 from innsight.operators.latest import latest_reviews as newest
+from innsight.operators.lookup import lookup
 from innsight.operators.nights import booked_nights as taken_nights
 from innsight.operators.nights import supply_factors
-from innsight.operators.demand import with_demand
 from innsight.operators.radius import top_within_radius
 from innsight.plans import bookings as booking_plans
 from innsight.plans import detail, forecast, history, market, model, search
@@ -179,8 +180,7 @@ def price_multipliers(views: Views) -> DataFrame:
 
 
 def _priced(views: Views) -> DataFrame:
-    hotels = views.hotels.select("hotel_id", "base_price", "total_rooms", "city")
-    return reprice(_signal_rows(views).drop("price"), hotels.drop("total_rooms"))
+    return reprice(_signal_rows(views).drop("price"), views.hotels)
 
 
 @query
@@ -217,7 +217,7 @@ def price_change(views: Views) -> DataFrame:
     """Change of the history price against the base price, rooms left and factors."""
     hotels = views.hotels.select("hotel_id", "base_price", "total_rooms")
     return (
-        history.lookup(_signal_rows(views), hotels, ["hotel_id"], "inner")
+        lookup(_signal_rows(views), hotels, ["hotel_id"], "inner")
         .withColumn(
             "factors",
             P.price_factors("weather_score", "demand_score", "supply_factor", "days_ahead"),
