@@ -6,6 +6,9 @@ import os
 import duckdb
 import pytest
 
+from innsight.registry.oracle import ORACLE
+from innsight.registry.queries import QUERIES
+
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 NAMES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -36,11 +39,13 @@ def duck():
 
 
 def test_only_the_model_has_no_sql():
-    assert set(contract.queries()) - set(contract.oracle_sql()) == WITHOUT_SQL
+    assert set(QUERIES) - set(ORACLE) == WITHOUT_SQL
     assert set(contract.oracle_sql()) <= set(contract.queries())
+    assert QUERIES.keys() <= contract.queries().keys()
+    assert ORACLE.keys() <= contract.oracle_sql().keys()
 
 
-@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_sql(spark, duck, name):
     df = contract.queries()[name](spark, FOLDER)
     result = duck.execute(contract.oracle_sql()[name])
@@ -73,7 +78,7 @@ def test_entry(spark):
 
 
 def test_no_cartesian_product_and_no_python_in_plans(spark):
-    for name, query in contract.queries().items():
+    for name, query in QUERIES.items():
         if name.startswith(("model", "price_adjustment", "stream")):
             continue
         plan = query(spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
