@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from innsight.llm import decontaminate, pieces, wordpieces
+from innsight.llm import decontaminate, pieces, pii, secrets, simhash, wordpieces
 
 PIECES = "piece_bpe_32k.model"
+PII_KEY = "a key of the test tables"  # a real one comes from the caller
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,6 +28,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, PII_KEY)
+
+
 @query
 def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -34,6 +41,32 @@ def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.encode_texts(docs, model, with_ids=False).drop("text")
 
 
+@query
+def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """A source is an owner; what it holds in one language is a repository."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source", "lang")
+    found = secrets.scan_secrets(
+        docs, owner=F.col("source"), repository=F.concat_ws("/", "source", "lang")
+    )
+    return found.select(
+        "doc_id",
+        "n_assign",
+        "n_access",
+        "n_hex",
+        F.sha2("base_text", 256).alias("base_sha256"),
+        "spans",
+        "n_copied",
+        "n_live",
+    )
+
+
+@query
+def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = simhash.near_duplicates(docs)
+    return found.withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))
+
+
 @query
 def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
