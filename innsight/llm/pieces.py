@@ -6,12 +6,13 @@ is joined and its new neighbours enter the agenda until none is left. Characters
 that are no piece become their UTF-8 bytes.
 
 No piece of the vocabulary has the space mark behind another character, so no
-merge crosses such a place and the agenda runs on each stretch between them;
-short stretches are remembered. A vocabulary without that property runs on whole
+merge crosses such a place and the agenda runs on each stretch between them, nor
+across a line end if that is in no longer piece; short stretches are remembered. A vocabulary without that property runs on whole
 texts.
 
-Every text is also encoded and decoded by the sentencepiece library. ``agrees``
-tells whether both gave the same; where not, the library's answer is returned.
+Each new stretch is encoded by the sentencepiece library as well, all of an Arrow
+batch in one call, and every text is decoded by it. ``agrees`` tells whether both
+gave the same; where not, the library's answer is returned.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import hashlib
 import heapq
 import re
 from functools import lru_cache
+from itertools import chain
 
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -31,8 +33,9 @@ from innsight.llm.arrow import field, with_text_columns
 codecs.register_error("mark_each_byte", lambda e: ("\ufffd" * (e.end - e.start), e.end))
 
 SPACE = "▁"
-REMEMBERED = 150_000  # stretches per task
-SHORT = 40
+#: Stretches remembered by a worker, twice: the last ones used and those before.
+REMEMBERED = 300_000
+LONG = 60  # longer ones are not remembered
 
 
 class Vocabulary:
@@ -43,7 +46,7 @@ class Vocabulary:
         size = sp.get_piece_size()
         self.names = [sp.id_to_piece(i) for i in range(size)]
         self.ids: dict[str, int] = {}
-        self.scores: dict[str, float] = {}
+        scores: dict[str, float] = {}
         self.byte_ids = [sp.unk_id()] * 256
         self.raw: list[bytes] = []
         self.is_byte = [sp.is_byte(i) for i in range(size)]
@@ -58,46 +61,62 @@ class Vocabulary:
                 self.raw.append(" ⁇ ".encode())
             else:
                 self.ids[name] = i
-                self.scores[name] = sp.get_score(i)
+                scores[name] = sp.get_score(i)
                 self.raw.append(name.replace(SPACE, " ").encode())
+        order = {score: i for i, score in enumerate(sorted(set(scores.values()), reverse=True))}
+        self.ranks = {name: order[score] for name, score in scores.items()}
         self.apart = not any(SPACE in name.lstrip(SPACE) for name in self.ids)
+        self.lines_apart = self.apart and not any(len(x) > 1 and "\n" in x for x in self.ids)
+        # a space or line end behind which no word follows, or the space mark itself
+        self.irregular = re.compile(f"^[ \n]|[ ](?=[ \n]|$)|{SPACE}")
         self.stretches = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.lone = self.merge(SPACE)
+        self.disputed: set[str] = set()
+        self.recent: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def merge(self, text: str) -> list[int]:
-        """Ids of a stretch by the agenda."""
-        symbols: list[str | None] = list(text)
+        """Ids of a stretch by the agenda.
+
+        An entry is the rank of a pair's score and the place of its left symbol, in
+        one number. It is stale, and skipped, when the pair that now stands there
+        has another rank.
+        """
+        symbols = list(text)
         n = len(symbols)
-        scores = self.scores
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        rank = self.ranks.get
         agenda = []
         for i in range(n - 1):
-            both = symbols[i] + symbols[i + 1]
-            if both in scores:
-                agenda.append((-scores[both], i, i + 1, both))
+            found = rank(text[i : i + 2])
+            if found is not None:
+                agenda.append(found << 32 | i)
         heapq.heapify(agenda)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         while agenda:
-            _, left, right, both = heapq.heappop(agenda)
-            # an entry is stale once either side has grown or gone
-            if symbols[left] is None or symbols[right] is None:
+            entry = heapq.heappop(agenda)
+            left = entry & 0xFFFFFFFF
+            right = after[left]
+            own = symbols[left]
+            if right >= n or not own:
                 continue
-            if after[left] != right or len(symbols[left]) + len(symbols[right]) != len(both):
+            both = own + symbols[right]
+            if rank(both) != entry >> 32:
                 continue
-            symbols[left], symbols[right] = both, None
+            symbols[left], symbols[right] = both, ""
             after[left] = follower = after[right]
             if follower < n:
                 before[follower] = left
-                joined = both + symbols[follower]
-                if joined in scores:
-                    heapq.heappush(agenda, (-scores[joined], left, follower, joined))
+                found = rank(both + symbols[follower])
+                if found is not None:
+                    heapq.heappush(agenda, found << 32 | left)
             leader = before[left]
             if leader >= 0:
-                joined = symbols[leader] + both
-                if joined in scores:
-                    heapq.heappush(agenda, (-scores[joined], leader, left, joined))
+                found = rank(symbols[leader] + both)
+                if found is not None:
+                    heapq.heappush(agenda, found << 32 | leader)
         ids: list[int] = []
         for symbol in symbols:
-            if symbol is None:
+            if not symbol:
                 continue
             found = self.ids.get(symbol)
             if found is not None:
@@ -106,23 +125,55 @@ class Vocabulary:
                 ids.extend(self.byte_ids[b] for b in symbol.encode())
         return ids
 
-    def encode(self, text: str) -> list[int]:
+    def stretches_of(self, text: str) -> list[str]:
+        """Parts of a text that no merge connects. Those of a regular text, which has
+        single spaces and line ends only, come without the space before them."""
         if not text:
             return []
+        if self.lines_apart and not self.irregular.search(text):
+            return text.replace("\n", " \n").split(" ")
         marked = SPACE + text.replace(" ", SPACE)
-        if not self.apart:
-            return self.merge(marked)
-        known, ids = self.known, []
-        for stretch in self.stretches.findall(marked):
-            found = known.get(stretch)
+        return self.stretches.findall(marked) if self.apart else [marked]
+
+    def learn(self, stretches: list[str]) -> None:
+        """Runs the agenda on stretches and checks all of them with the library."""
+        marked = [x if x[0] in f"{SPACE}\n" else SPACE + x for x in stretches]
+        # the library puts a space mark before its input
+        asked = [x[1:] if x[0] == SPACE else x for x in marked]
+        for key, whole, answer in zip(stretches, marked, self.library.encode(asked)):
+            made = self.merge(whole)
+            if whole[0] != SPACE:
+                answer = answer[len(self.lone) :]
+            elif len(whole) == 1:
+                answer = self.lone
+            if made != answer:
+                self.disputed.add(key)
+            self.recent[key] = tuple(answer)
+
+    def encode_all(self, texts: list[str]) -> list[tuple[list[int], bool]]:
+        """Ids of each text, and whether agenda and library agree on them."""
+        if len(self.recent) >= REMEMBERED:
+            self.older, self.recent = self.recent, {}
+        cut = list(map(self.stretches_of, texts))
+        recent, older, new = self.recent, self.older, []
+        for key in set(chain.from_iterable(cut)).difference(recent):
+            found = older.get(key)
             if found is None:
-                found = tuple(self.merge(stretch))
-                if len(stretch) <= SHORT:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[stretch] = found
-            ids += found
-        return ids
+                new.append(key)
+            else:
+                recent[key] = found
+        self.learn(new)
+        out = []
+        for stretches in cut:
+            ids = list(chain.from_iterable(map(recent.__getitem__, stretches)))
+            out.append((ids, not self.disputed or self.disputed.isdisjoint(stretches)))
+        for key in new:
+            if len(key) > LONG:
+                recent.pop(key, None)
+        return out
+
+    def encode(self, text: str) -> list[int]:
+        return self.encode_all([text])[0][0]
 
     def decode(self, ids: list[int]) -> str:
         """The text of the ids, without the space put before the first piece. A run
@@ -167,23 +218,17 @@ def encode_texts(
 
         def work(texts):
             counts, id_hashes, text_hashes, agrees, all_ids, all_texts = [], [], [], [], [], []
-            for value in texts:
-                value = value or ""
-                ids = v.encode(value)
+            for ids, agreed in v.encode_all([value or "" for value in texts]):
                 decoded = v.decode(ids)
-                checked = v.library.encode(value)
-                back = v.library.decode(checked) if checked else ""
-                same = ids == checked and decoded == back
-                if not same:
-                    ids, decoded = checked, back
+                back = v.library.decode(ids) if ids else ""
                 counts.append(len(ids))
                 joined = ",".join([digits[i] for i in ids])
                 id_hashes.append(hashlib.sha256(joined.encode()).hexdigest())
-                text_hashes.append(hashlib.sha256(decoded.encode()).hexdigest())
-                agrees.append(same)
+                text_hashes.append(hashlib.sha256(back.encode()).hexdigest())
+                agrees.append(agreed and decoded == back)
                 if with_ids:
                     all_ids.append(ids)
-                    all_texts.append(decoded)
+                    all_texts.append(back)
             made = [counts, id_hashes, text_hashes, agrees]
             return made + [all_ids, all_texts] if with_ids else made
 
