@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from innsight.llm import decontaminate, pieces, pii, secrets, simhash, wordpieces
+from innsight.llm import decontaminate, pieces, pii, secrets, simhash, toxicity, wordpieces
 
 PIECES = "piece_bpe_32k.model"
 PII_KEY = "a key of the test tables"  # a real one comes from the caller
@@ -28,6 +28,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    network = toxicity.fit(docs, table(spark, folder, "labels"))
+    scored = toxicity.with_toxicity(docs, network)
+    return scored.select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted"
+    )
+
+
 @query
 def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
