@@ -6,13 +6,14 @@ is joined and its new neighbours enter the agenda until none is left. Characters
 that are no piece become their UTF-8 bytes.
 
 No piece of the vocabulary has the space mark behind another character, so no
-merge crosses such a place and the agenda runs on each stretch between them, nor
-across a line end if that is in no longer piece; short stretches are remembered. A vocabulary without that property runs on whole
+merge crosses such a place, nor one between a word and a mark that no piece holds
+together. The agenda runs on each stretch between such places; short stretches are
+remembered. A vocabulary without that property runs on whole
 texts.
 
-Each new stretch is encoded by the sentencepiece library as well, all of an Arrow
-batch in one call, and every text is decoded by it. ``agrees`` tells whether both
-gave the same; where not, the library's answer is returned.
+The sentencepiece library encodes each new stretch as well and decodes every text,
+an Arrow batch in one call. ``agrees`` tells whether both gave the same for all of a
+text; where not, the library's answer is returned.
 """
 
 from __future__ import annotations
@@ -33,9 +34,12 @@ from innsight.llm.arrow import field, with_text_columns
 codecs.register_error("mark_each_byte", lambda e: ("\ufffd" * (e.end - e.start), e.end))
 
 SPACE = "▁"
+MARKS = ("\n", ",", ".")
 #: Stretches remembered by a worker, twice: the last ones used and those before.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 LONG = 60  # longer ones are not remembered
+LISTED = 24  # characters
+NEVER = 1 << 29  # no rank
 
 
 class Vocabulary:
@@ -66,17 +70,58 @@ class Vocabulary:
         order = {score: i for i, score in enumerate(sorted(set(scores.values()), reverse=True))}
         self.ranks = {name: order[score] for name, score in scores.items()}
         self.apart = not any(SPACE in name.lstrip(SPACE) for name in self.ids)
-        self.lines_apart = self.apart and not any(len(x) > 1 and "\n" in x for x in self.ids)
-        # a space or line end behind which no word follows, or the space mark itself
-        self.irregular = re.compile(f"^[ \n]|[ ](?=[ \n]|$)|{SPACE}")
+        # A mark is cut from what is before it where no piece holds both. Irregular are
+        # texts in which that fails somewhere, a space or line end behind which no
+        # word follows, and the space mark itself.
+        before = {m: {x[i - 1] for x in self.ids for i in range(1, len(x)) if x[i] == m} for m in MARKS}
+        free = [c for c in "aeionrst" if not any(c in x for x in before.values())]
+        self.letter = free[0] if free else ""
+        self.marks = MARKS if self.apart and self.letter and not before["\n"] else ()
+        held = "|".join(
+            f"[{re.escape(''.join(sorted(x - {SPACE})))}]{re.escape(m)}"
+            for m, x in before.items()
+            if x - {SPACE}
+        )
+        ends = re.escape("".join(MARKS))
+        self.irregular = re.compile(f"^[ {ends}]|[ ](?=[ {ends}]|$)|{SPACE}" + (held and "|" + held))
         self.stretches = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.lone = self.merge(SPACE)
+        self.letter_ids = self.merge(SPACE + self.letter)
         self.disputed: set[str] = set()
         self.recent: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
 
     def merge(self, text: str) -> list[int]:
-        """Ids of a stretch by the agenda.
+        """Ids of a stretch by the agenda: a plain list of the pairs' ranks, searched
+        for the best and leftmost, where that is short, and a heap beyond."""
+        symbols = self._merged_by_list(text) if len(text) <= LISTED else self._merged(text)
+        ids: list[int] = []
+        for symbol in symbols:
+            found = self.ids.get(symbol)
+            if found is not None:
+                ids.append(found)
+            else:
+                ids.extend([self.byte_ids[b] for b in symbol.encode()])
+        return ids
+
+    def _merged_by_list(self, text: str) -> list[str]:
+        symbols, rank = list(text), self.ranks.get
+        agenda = [rank(text[i : i + 2], NEVER) for i in range(len(text) - 1)]
+        while agenda:
+            best = min(agenda)
+            if best == NEVER:
+                break
+            i = agenda.index(best)
+            symbols[i] = both = symbols[i] + symbols[i + 1]
+            del symbols[i + 1], agenda[i]
+            if i:
+                agenda[i - 1] = rank(symbols[i - 1] + both, NEVER)
+            if i < len(agenda):
+                agenda[i] = rank(both + symbols[i + 1], NEVER)
+        return symbols
+
+    def _merged(self, text: str) -> list[str]:
+        """By a heap.
 
         An entry is the rank of a pair's score and the place of its left symbol, in
         one number. It is stale, and skipped, when the pair that now stands there
@@ -114,36 +159,31 @@ class Vocabulary:
                 found = rank(symbols[leader] + both)
                 if found is not None:
                     heapq.heappush(agenda, found << 32 | leader)
-        ids: list[int] = []
-        for symbol in symbols:
-            if not symbol:
-                continue
-            found = self.ids.get(symbol)
-            if found is not None:
-                ids.append(found)
-            else:
-                ids.extend(self.byte_ids[b] for b in symbol.encode())
-        return ids
+        return [x for x in symbols if x]
 
     def stretches_of(self, text: str) -> list[str]:
         """Parts of a text that no merge connects. Those of a regular text, which has
-        single spaces and line ends only, come without the space before them."""
+        single spaces only, come without the space before them."""
         if not text:
             return []
-        if self.lines_apart and not self.irregular.search(text):
-            return text.replace("\n", " \n").split(" ")
+        if self.marks and not self.irregular.search(text):
+            for mark in self.marks:
+                text = text.replace(mark, " " + mark)
+            return text.split(" ")
         marked = SPACE + text.replace(" ", SPACE)
         return self.stretches.findall(marked) if self.apart else [marked]
 
     def learn(self, stretches: list[str]) -> None:
         """Runs the agenda on stretches and checks all of them with the library."""
-        marked = [x if x[0] in f"{SPACE}\n" else SPACE + x for x in stretches]
-        # the library puts a space mark before its input
-        asked = [x[1:] if x[0] == SPACE else x for x in marked]
+        bare = {SPACE, *self.marks}
+        marked = [x if x[0] in bare else SPACE + x for x in stretches]
+        # the library puts a space mark before its input; behind the letter no piece
+        # holds what precedes a mark
+        asked = [x[1:] if x[0] == SPACE else self.letter + x for x in marked]
         for key, whole, answer in zip(stretches, marked, self.library.encode(asked)):
             made = self.merge(whole)
             if whole[0] != SPACE:
-                answer = answer[len(self.lone) :]
+                answer = answer[len(self.letter_ids) :]
             elif len(whole) == 1:
                 answer = self.lone
             if made != answer:
@@ -156,7 +196,7 @@ class Vocabulary:
             self.older, self.recent = self.recent, {}
         cut = list(map(self.stretches_of, texts))
         recent, older, new = self.recent, self.older, []
-        for key in set(chain.from_iterable(cut)).difference(recent):
+        for key in {x for x in chain.from_iterable(cut) if x not in recent}:
             found = older.get(key)
             if found is None:
                 new.append(key)
@@ -218,9 +258,10 @@ def encode_texts(
 
         def work(texts):
             counts, id_hashes, text_hashes, agrees, all_ids, all_texts = [], [], [], [], [], []
-            for ids, agreed in v.encode_all([value or "" for value in texts]):
+            encoded = v.encode_all([value or "" for value in texts])
+            backs = v.library.decode([ids for ids, _ in encoded])
+            for (ids, agreed), back in zip(encoded, backs):
                 decoded = v.decode(ids)
-                back = v.library.decode(ids) if ids else ""
                 counts.append(len(ids))
                 joined = ",".join([digits[i] for i in ids])
                 id_hashes.append(hashlib.sha256(joined.encode()).hexdigest())
