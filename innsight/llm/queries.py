@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from innsight.llm import decontaminate, pieces, pii, secrets, simhash, toxicity, wordpieces
+from innsight.llm import decontaminate, pieces, pii, secrets, simhash, toxicity, vectors, wordpieces
 
 PIECES = "piece_bpe_32k.model"
 PII_KEY = "a key of the test tables"  # a real one comes from the caller
@@ -83,6 +83,34 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return wordpieces.count_tokens(docs, public_tokenizers.path(PIECES)).drop("text")
 
 
+@query
+def op9_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, folder, "embeddings"))
+
+
+ORACLE["op9_vectors"] = """
+WITH RECURSIVE able AS (
+  SELECT row_number() OVER () AS place, vec_id, label, embedding::DOUBLE[] AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND list_count(embedding) = len(embedding)
+    AND len(list_filter(embedding, lambda v: NOT isfinite(v))) = 0
+    AND len(list_filter(embedding, lambda v: v <> 0)) > 0
+), links AS (
+  SELECT a.place AS p, a.vec_id AS a, b.vec_id AS b
+  FROM able a JOIN able b ON a.label = b.label AND a.place <> b.place
+    AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.98
+), reached(a, b) AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a
+), counts AS (SELECT a, count(*) AS n FROM links GROUP BY a),
+least AS (SELECT a, min(b) AS b FROM reached GROUP BY a)
+SELECT e.vec_id, coalesce(c.n, 0) AS n_links,
+  least(e.vec_id, coalesce(l.b, e.vec_id)) AS component_id,
+  e.vec_id = least(e.vec_id, coalesce(l.b, e.vec_id)) AS kept
+FROM embeddings e LEFT JOIN counts c ON e.vec_id = c.a LEFT JOIN least l ON e.vec_id = l.a
+"""
+
+
 @query
 def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -95,3 +123,37 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         "contaminated",
     )
+
+
+ORACLE["op10_decontamination"] = """
+WITH items AS (
+  SELECT item_id::VARCHAR AS item, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
+), item_windows AS (
+  SELECT DISTINCT item, least(len(w), 13) AS n,
+    array_to_string(w[i + 1 : i + 13], ' ') AS v
+  FROM items, unnest(range(greatest(len(w) - 12, 1))) AS t(i) WHERE len(w) > 0
+), docs AS (
+  SELECT row_number() OVER () AS place, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents
+), lengths AS (SELECT DISTINCT n FROM item_windows),
+doc_windows AS (
+  SELECT place, i, n, array_to_string(w[i + 1 : i + n], ' ') AS v
+  FROM docs, lengths, unnest(range(greatest(len(w) - n + 1, 0))) AS t(i)
+), found AS (
+  SELECT d.place, d.i, d.n, m.item FROM doc_windows d JOIN item_windows m ON d.n = m.n AND d.v = m.v
+), hit AS (
+  SELECT place, count(DISTINCT k) AS n_hit FROM found, unnest(range(i, i + n)) AS t(k) GROUP BY place
+), named AS (
+  SELECT place, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+  FROM (SELECT DISTINCT place, item FROM found) GROUP BY place
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN hit USING (place) LEFT JOIN named USING (place)
+"""
