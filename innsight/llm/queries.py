@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from innsight.llm import decontaminate, hmm, pieces, pii, secrets, simhash, toxicity, vectors, wordpieces
+from innsight.llm import decontaminate, hmm, pieces, pii, secrets, simhash, suffixes, toxicity, vectors, wordpieces
 
 PIECES = "piece_bpe_32k.model"
 PII_KEY = "a key of the test tables"  # a real one comes from the caller
@@ -77,6 +77,18 @@ def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))
 
 
+@query
+def op6_suffix_array(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffixes.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        "n_removed",
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query
 def op7_hidden_markov(spark: SparkSession, folder: str) -> DataFrame:
     return hmm.score_texts(table(spark, folder, "documents").select("doc_id", "text"))
