@@ -22,7 +22,7 @@ DATE = r"(?<![0-9/.-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4}
 PHONE = r"(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?![0-9])|(?<![0-9-])(?:\+\d{1,3}[ .-])?\d{3}[.-]\d{3}[.-]\d{4}(?![0-9-])"
 SOCIAL = r"(?<![0-9-])\d{3}-\d{2}-\d{4}(?![0-9-])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-ACCOUNT = r"(?<![A-Za-z0-9])\d(?:[ -]?\d){12,18}(?![A-Za-z0-9])"
+ACCOUNT = r"(?<![A-Za-z0-9])(?:\d{13,19}|(?:\d{4}[ -]){3}\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![A-Za-z0-9])"
 KINDS = ("mail", "ipv4", "date", "iban", "account", "social", "phone")
 PATTERNS = dict(zip(KINDS, (MAIL, IPV4, DATE, IBAN, ACCOUNT, SOCIAL, PHONE)))
 EVERY = "|".join(f"(?:{p})" for p in PATTERNS.values())

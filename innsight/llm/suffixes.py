@@ -259,7 +259,10 @@ def remove_repeats(
         every = long.mapInArrow(
             _blocks(length), "row long, tag int, first long, starts int, rank long, text_hash long"
         )
+        # written, so that both sides of the joins with them are plain exchanges, whose
+        # large partitions adaptive execution splits
         shared = every.groupBy("rank").count().where("count > 1").select("rank")
+        shared = stage_table(shared, "ranks")
         blocks = stage_table(every.join(shared, "rank", "left_semi"), "blocks")
 
         texts = blocks.groupBy("rank", "text_hash").agg(
@@ -267,9 +270,8 @@ def remove_repeats(
         )
         texts = stage_table(texts, "block_texts")
         alone = texts.where("times = 1")
-        met = texts.where("times > 1").join(
-            alone.select("rank").distinct(), "rank", "left_semi"
-        )
+        ranks = stage_table(alone.select("rank").distinct(), "open_ranks")
+        met = texts.where("times > 1").join(ranks, "rank", "left_semi")
         wanted = alone.select("one.*", F.lit(True).alias("open")).unionByName(
             met.select("one.*", F.lit(False).alias("open"))
         )
@@ -283,6 +285,7 @@ def remove_repeats(
             "suffixes",
         )
         repeated = suffixes.groupBy("hash", "check").count().where("count > 1")
+        repeated = stage_table(repeated.select("hash", "check"), "repeated_suffixes")
         single = suffixes.where("start >= 0").join(repeated, ["hash", "check"], "left_semi")
         settled = blocks.join(texts.where("times > 1"), ["rank", "text_hash"], "left_semi")
         ranges = settled.select("row", "tag", "first", "starts").unionByName(

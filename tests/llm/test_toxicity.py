@@ -1,0 +1,96 @@
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+
+from innsight.llm import toxicity as M
+
+
+def test_gradients_equal_differences():
+    network = M.Network(3)
+    for k, v in network.p.items():
+        network.p[k] = v.astype(np.float64)
+    draw = np.random.default_rng(1)
+    x = draw.standard_normal((3, 5, M.INPUT))
+    mask = np.array([[1, 1, 1, 1, 1], [1, 1, 0, 0, 0], [0, 0, 0, 0, 0]], float)
+    y = np.array([1.0, 0.0, 1.0])
+
+    def loss():
+        logits = network.pooled(network.gates(x), mask)[0]
+        return float((np.log1p(np.exp(logits)) - y * logits).sum())
+
+    g, d_x = network.gradients(x, mask, lambda logits: 1 / (1 + np.exp(-logits)) - y)
+    for array, gradient in [(network.p[k], g[k]) for k in g] + [(x, d_x)]:
+        flat = array.reshape(-1)
+        for i in draw.choice(flat.size, min(12, flat.size), replace=False):
+            kept = flat[i]
+            flat[i] = kept + 1e-4
+            high = loss()
+            flat[i] = kept - 1e-4
+            low = loss()
+            flat[i] = kept
+            assert gradient.reshape(-1)[i] == pytest.approx((high - low) / 2e-4, abs=2e-3, rel=2e-2)
+
+
+@pytest.mark.parametrize("n", [0, 1, 31, 32, 33, 48, 49, 64, 500])
+def test_windows_overlap_and_reach_every_word(n):
+    starts = M.window_starts(n)
+    seen = set()
+    for s in starts.tolist():
+        seen.update(range(s, min(n, s + M.WINDOW)))
+    assert seen == set(range(n))
+    assert all(b - a <= M.WINDOW // 2 for a, b in zip(starts, starts[1:]))
+
+
+def toy(prose):
+    texts = [prose(40 + i % 90) for i in range(300)]
+    toxic = [int(i % 3 == 0) for i in range(300)]
+    for i, bad in enumerate(toxic):
+        if bad:
+            words = texts[i].split()
+            words[i % len(words)] = ("vile", "Nasty!")[i % 2]
+            texts[i] = " ".join(words)
+    return texts, toxic
+
+
+def test_one_bad_word_anywhere_in_a_long_text_counts(prose):
+    texts, toxic = toy(prose)
+    network = M.train(texts, toxic, epochs=6)
+    words = M.Words(network)
+    clean = prose(5000)
+    spoilt = clean.split()
+    spoilt[3777] = "vile,"
+    low, high, empty, none = M.score_texts(network, words, [clean, " ".join(spoilt), "", None])
+    assert low < 0.3 <= high and empty == none < 0.3
+
+
+def test_query_on_held_out_labels(spark, contract):
+    folder = "/root/testdata/sf0.01"
+    rows = contract.queries()["op1_toxicity"](spark, folder).collect()
+    duck = duckdb.connect()
+    labels = dict(duck.execute(f"SELECT doc_id, toxic FROM '{folder}/labels.parquet'").fetchall())
+    assert len(rows) == 1000
+    for r in rows:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+        assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3)
+    scored = [(r["score"], labels[r["doc_id"]]) for r in rows if r["held_out"] and r["doc_id"] in labels]
+    good = [s for s, t in scored if not t]
+    bad = [s for s, t in scored if t]
+    auc = np.mean([(b > g) + 0.5 * (b == g) for b in bad for g in good])
+    assert auc > 0.75
+    assert np.mean([g >= 0.3 for g in good]) < 0.1
+
+
+def test_awkward_rows_and_labels(spark, frame, awkward):
+    docs = frame(awkward, clash=("score", "predicted", "toxic"))
+    labels = spark.createDataFrame(
+        [(4, 1), (4, 0), (6, 0), (5, None), (None, 1), (77, 1)], "doc_id long, toxic int"
+    )
+    network = M.fit(docs, labels)
+    rows = M.with_toxicity(docs, network).collect()
+    assert len(rows) == len(awkward)
+    assert len({r["score"] for r in rows if not (r["text"] or "").strip()}) == 1
+    none = M.fit(docs, labels.where("false"))
+    assert M.with_toxicity(docs, none).where("predicted = 1").count() == 0
+    assert M.with_toxicity(frame([]), network).count() == 0

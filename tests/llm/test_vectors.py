@@ -1,0 +1,79 @@
+import numpy as np
+import pytest
+
+from innsight.llm.vectors import near_vectors, quantised, tile_links
+
+SCHEMA = "vec_id long, embedding array<float>, label int, kept string"
+
+
+def brute(rows, threshold=0.98):
+    def able(r):
+        e = r[1]
+        return (
+            r[0] is not None and r[2] is not None and e and all(x is not None for x in e)
+            and np.isfinite(e).all() and np.any(e)
+        )
+
+    n, root, links = len(rows), list(range(len(rows))), [0] * len(rows)
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(n):
+        for j in range(i):
+            a, b = rows[i], rows[j]
+            if able(a) and able(b) and a[2] == b[2] and len(a[1]) == len(b[1]):
+                x, y = (np.array(v[1], np.float32).astype(float) for v in (a, b))
+                if x @ y / np.sqrt((x @ x) * (y @ y)) >= threshold:
+                    links[i] += 1
+                    links[j] += 1
+                    p, q = find(i), find(j)
+                    root[max(p, q)] = min(p, q)
+    least = {}
+    for i, r in enumerate(rows):
+        if r[0] is not None:
+            least[find(i)] = min(r[0], least.get(find(i), r[0]))
+    return [(r[0], links[i], least.get(find(i)) if r[0] is not None else None) for i, r in enumerate(rows)]
+
+
+def test_bounds_hold_and_no_pair_is_lost():
+    draw = np.random.default_rng(1)
+    x = draw.standard_normal((300, 24)) * np.exp(draw.standard_normal((300, 1)) * 5)
+    y = x + draw.standard_normal(x.shape) * np.abs(x) * draw.uniform(0, 0.4, (300, 1))
+    unit_x, q, s, lost = quantised(x)
+    unit_y, r, t, lost_y = quantised(y)
+    true = unit_x @ unit_y.T
+    rounded = (q.astype(float) @ r.T) * s[:, None] * t
+    bound = lost[:, None] + lost_y + lost[:, None] * lost_y
+    assert (np.abs(true - rounded) <= bound + 1e-12).all()
+    i, j = tile_links(x, y, 0.98)
+    assert sorted(zip(i, j)) == sorted(zip(*np.nonzero(true >= 0.98)))
+
+
+@pytest.mark.parametrize("tile", [2048, 7])
+def test_equals_brute_force(spark, tile):
+    draw = np.random.default_rng(2)
+    base = draw.standard_normal((12, 8))
+    rows = []
+    for i in range(150):
+        e = base[i % 12] + draw.standard_normal(8) * 0.12
+        rows.append((i, [float(v) for v in e.astype(np.float32)], int(i % 3 if i % 5 else 0), "x"))
+    rows += [(200 + k, rows[3][1], rows[3][2], "x") for k in range(9)]  # copies
+    rows += [(200, rows[3][1], rows[3][2], "x"), (4, rows[9][1], 1, "x")]  # repeated ids
+    nan, inf = float("nan"), float("inf")
+    rows += [
+        (300, None, 1, "x"), (301, [], 1, "x"), (302, [0.0] * 8, 1, "x"), (303, [nan] * 8, 1, "x"),
+        (304, [inf] + [1.0] * 7, 1, "x"), (305, [None] + [1.0] * 7, 1, "x"), (306, [1.0] * 8, None, "x"),
+        (None, [1.0] * 8, 1, "x"), (307, [1.0] * 8, 1, "x"), (308, [1.0] * 4, 1, "x"), (309, [1e-30] * 8, 1, "x"),
+    ]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = near_vectors(df, tile=tile).collect()
+    key = lambda r: tuple(map(str, r))
+    assert sorted((tuple(r)[:3] for r in got), key=key) == sorted(brute(rows), key=key)
+    assert all(r["kept"] == (r["vec_id"] is not None and r["vec_id"] == r["component_id"]) for r in got)
+
+
+def test_empty(spark):
+    assert near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0

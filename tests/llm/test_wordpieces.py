@@ -1,0 +1,57 @@
+import public_tokenizers
+from tokenizers import Tokenizer, models
+
+from innsight.llm.wordpieces import LongestMatch, count_tokens
+
+MODEL = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def greedy(word, first, rest):
+    at, count = 0, 0
+    while at < len(word):
+        pieces = rest if at else first
+        end = next((e for e in range(len(word), at, -1) if word[at:e] in pieces), None)
+        if end is None:
+            return 1
+        at, count = end, count + 1
+    return count
+
+
+def test_automaton_equals_greedy_matching():
+    first, rest = {"a", "ab", "abc", "b", "abcd"}, {"a", "bc", "c", "cd", "d", "de", "bcde"}
+    automaton = LongestMatch(first, rest)
+    words = [""]
+    for _ in range(6):
+        words += [w + c for w in words for c in "abcdex" if len(w) < 6]
+    for word in set(words):
+        assert automaton.length(word) == greedy(word, first, rest), word
+
+
+def test_query_equals_word_piece_library(spark, contract, documents):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    names = ["[UNK]"]
+    for i in range(259, sp.get_piece_size()):
+        piece = sp.id_to_piece(i)
+        names.append(piece[1:] if piece[0] == "▁" else "##" + piece)
+    vocabulary = {n: i for i, n in enumerate(dict.fromkeys(names)) if n}
+    library = Tokenizer(
+        models.WordPiece(vocabulary, unk_token="[UNK]", max_input_chars_per_word=10**6)
+    )
+    lengths = {}
+    df = contract.queries()["op8_token_counts"](spark, "/root/testdata/sf0.001")
+    got = {r["doc_id"]: r for r in df.collect()}
+    for doc_id, text in documents:
+        words = [w.decode() for w in (text or "").encode().split()]
+        for w in set(words) - lengths.keys():
+            lengths[w] = len(library.encode(w).ids)
+        assert got[doc_id]["n_words"] == len(words)
+        assert got[doc_id]["n_tokens"] == sum(lengths[w] for w in words)
+
+
+def test_awkward_rows(frame, awkward):
+    rows = count_tokens(frame(awkward, clash=("n_words",)), MODEL).collect()
+    assert len(rows) == len(awkward)
+    assert all(r["n_tokens"] == 0 for r in rows if not (r["text"] or "").strip())
+    assert count_tokens(frame([]), MODEL).count() == 0
