@@ -111,6 +111,33 @@ def blocks_of(data: bytes, length: int) -> Iterator[tuple[np.ndarray, ...]]:
         yield first + at, end - first, ranks[place], _mixed(text ^ shape * np.uint64(_BASE))
 
 
+def folded(
+    first: np.ndarray, starts: np.ndarray, rank: np.ndarray, text: np.ndarray
+) -> tuple[np.ndarray, ...]:
+    """Blocks of a text with those that repeat within it folded: the first of each
+    stays, with the number of all as its times; the others, which are settled, become
+    runs with times 0."""
+    _, at, times = np.unique(rank ^ text * np.uint64(_BASE), return_index=True, return_counts=True)
+    count = np.zeros(len(first), np.int64)
+    count[at] = times
+    more = np.flatnonzero(count == 0)
+    if not len(more):
+        return first, starts, rank, text, count
+    begin = np.flatnonzero(
+        np.concatenate([[True], (np.diff(more) > 1) | (first[more[1:]] != (first + starts)[more[:-1]])])
+    )
+    runs = more[begin]
+    lengths = np.add.reduceat(starts[more], begin)
+    at = np.sort(at)
+    return (
+        np.concatenate([first[at], first[runs]]),
+        np.concatenate([starts[at], lengths]),
+        np.concatenate([rank[at], rank[runs] + first[runs].astype(np.uint64)]),  # spread
+        np.concatenate([text[at], text[runs]]),
+        np.concatenate([count[at], np.zeros(len(runs), np.int64)]),
+    )
+
+
 def starts_hashed(data: bytes, first: int, count: int, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Two hashes of each of ``count`` strings from ``first`` on."""
     piece = memoryview(data)[first : first + count - 1 + length]
@@ -135,6 +162,7 @@ def _blocks(length: int):
         "starts": pa.int32(),
         "rank": pa.int64(),
         "text_hash": pa.int64(),
+        "times": pa.int64(),
     }
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,13 +171,15 @@ def _blocks(length: int):
                 columns: dict[str, list] = {k: [] for k in schema}
                 rows, tags = part.column("row").to_pylist(), part.column("tag").to_pylist()
                 for row, tag, text in zip(rows, tags, part.column("text").to_pylist()):
-                    for first, starts, rank, hashed in blocks_of((text or "").encode(), length):
+                    for found in blocks_of((text or "").encode(), length):
+                        first, starts, rank, hashed, times = folded(*found)
                         columns["row"].append(np.full(len(first), row, np.int64))
                         columns["tag"].append(np.full(len(first), tag, np.int32))
                         columns["first"].append(first)
                         columns["starts"].append(starts.astype(np.int32))
                         columns["rank"].append(rank.view(np.int64))
                         columns["text_hash"].append(hashed.view(np.int64))
+                        columns["times"].append(times)
                 yield _rows(schema, columns)
 
     return run
@@ -257,16 +287,19 @@ def remove_repeats(
     long = own.select("row", "tag", "text").where(F.octet_length("text") >= length)
     with _shuffles_freed(spark):
         every = long.mapInArrow(
-            _blocks(length), "row long, tag int, first long, starts int, rank long, text_hash long"
+            _blocks(length),
+            "row long, tag int, first long, starts int, rank long, text_hash long, times long",
         )
         # written, so that both sides of the joins with them are plain exchanges, whose
         # large partitions adaptive execution splits
-        shared = every.groupBy("rank").count().where("count > 1").select("rank")
-        shared = stage_table(shared, "ranks")
-        blocks = stage_table(every.join(shared, "rank", "left_semi"), "blocks")
-
-        texts = blocks.groupBy("rank", "text_hash").agg(
-            F.count(F.lit(1)).alias("times"), F.min(F.struct("row", "tag", "first", "starts")).alias("one")
+        shared = every.groupBy("rank").agg(F.sum("times").alias("n")).where("n > 1")
+        shared = stage_table(shared.select("rank", F.lit(True).alias("hit")), "ranks")
+        found = every.join(shared, "rank", "left").where("hit or times = 0").drop("hit")
+        blocks = stage_table(found, "blocks")
+
+        open_blocks = blocks.where("times > 0")
+        texts = open_blocks.groupBy("rank", "text_hash").agg(
+            F.sum("times").alias("times"), F.min(F.struct("row", "tag", "first", "starts")).alias("one")
         )
         texts = stage_table(texts, "block_texts")
         alone = texts.where("times = 1")
@@ -287,7 +320,9 @@ def remove_repeats(
         repeated = suffixes.groupBy("hash", "check").count().where("count > 1")
         repeated = stage_table(repeated.select("hash", "check"), "repeated_suffixes")
         single = suffixes.where("start >= 0").join(repeated, ["hash", "check"], "left_semi")
-        settled = blocks.join(texts.where("times > 1"), ["rank", "text_hash"], "left_semi")
+        several = texts.where("times > 1").select("rank", "text_hash")
+        settled = open_blocks.join(several, ["rank", "text_hash"], "left_semi")
+        settled = settled.unionByName(blocks.where("times = 0"))
         ranges = settled.select("row", "tag", "first", "starts").unionByName(
             single.select("row", "tag", F.col("start").alias("first"), F.lit(1).alias("starts"))
         )
