@@ -33,8 +33,8 @@ INPUT = WORD_SIZE + PAIR_SIZE
 EPOCHS, BATCH, RATE = 8, 64, 0.01
 PRIOR = 3  # texts of each class that every word counts as seen in
 TOXIC_SHARE = 0.25
-REMEMBERED = 200_000  # words per task
-AT_ONCE = 4096  # windows
+REMEMBERED = 100_000  # words per task
+AT_ONCE = 1024  # windows
 
 _FOLD = bytes(
     b + 32 if 65 <= b <= 90 else 32 if b < 128 and not chr(b).isalnum() else b for b in range(256)
