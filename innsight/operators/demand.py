@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from innsight.functions.signals import demand_signal
-from innsight.operators.lookup import lookup
+from innsight.operators.lookup import lookup, measured_bytes
 
 
 def with_demand(rows: DataFrame, calendar: DataFrame | None, date: str = "date") -> DataFrame:
@@ -21,8 +21,10 @@ def with_demand(rows: DataFrame, calendar: DataFrame | None, date: str = "date")
         .groupBy("city", date)
         .agg(F.max("uplift").alias("uplift"))
     )
+    # the calendar as it is stored bounds what is drawn from it
+    size = measured_bytes(calendar.select("city", "date", "uplift"))
     return (
-        lookup(rows, events, ["city", date], "left")
+        lookup(rows, events, ["city", date], "left", salt=["hotel_id"], at_most_bytes=size)
         .withColumn("demand_score", demand_signal(date, F.col("uplift")))
         .drop("uplift")
     )

@@ -1,19 +1,25 @@
 """Attaching columns of a dimension to a large table.
 
 A dimension of measured, small size is broadcast and the large side does not
-move. Beyond that the join is shuffled, and salted, because one hotel or city
-may hold a large part of the rows.
+move. Beyond that the join is shuffled. Both ways take the same schemas and read
+the same columns under the same filters. The shuffled one spreads the rows of keys
+that hold a notable part of the table, where the caller names narrow columns to
+spread them by; all other keys are neither salted nor copied.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 BROADCAST_CONF = "innsight.lookup.broadcastBytes"  # overrides it in a session
 SALTS = 32
+#: A key is hot if it holds this part of the rows; there are at most so many of them.
+HOT_SHARE = 1 / 64
 
 _WIDTHS = {
     T.BooleanType: 1,
@@ -51,15 +57,19 @@ def lookup(
     dimension: DataFrame,
     on: list[str],
     how: str = "left",
+    salt: list[str] | None = None,
     salts: int = SALTS,
     at_most_bytes: int | None = None,
 ) -> DataFrame:
     """``fact`` joined with ``dimension`` on equal columns.
 
-    ``how`` is inner, left, left_semi or left_anti. Both ways give the same rows;
-    neither needs the dimension's key to be unique. ``at_most_bytes`` is a bound
-    the caller has measured already, for instance on what the dimension is drawn
-    from; without it the dimension is measured here.
+    ``how`` is inner, left, left_semi or left_anti. All ways give the same rows;
+    none needs the dimension's key to be unique. ``at_most_bytes`` is a bound the
+    caller has measured already, for instance on what the dimension is drawn from;
+    without it the dimension is measured here. ``salt`` names columns of ``fact``
+    whose values spread the rows of one key; without them a shuffled join leaves
+    hot keys to adaptive execution, which can split them unless a grouping by the
+    same key follows.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type: {how}")
@@ -68,22 +78,50 @@ def lookup(
     limit = int(fact.sparkSession.conf.get(BROADCAST_CONF, str(BROADCAST_BYTES)))
     if at_most_bytes <= limit:
         return fact.join(F.broadcast(dimension), on, how)
-    return salted_join(fact, dimension, on, how, salts)
+    if not salt or fact.isStreaming:
+        return fact.join(dimension, on, how)
+    return salted_join(fact, dimension, on, how, salt, salts)
+
+
+def hot_keys(fact: DataFrame, on: list[str], share: float = HOT_SHARE) -> list[tuple]:
+    """Keys that hold more than ``share`` of the rows, so less than 1 / share keys.
+
+    One aggregate over the key columns alone; it combines ahead of the shuffle.
+    """
+    counts = fact.where(_present(on)).groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
+    total = fact.where(_present(on)).agg(F.count(F.lit(1))).scalar()
+    hot = counts.where(F.col("n") > total * F.lit(share))
+    return [tuple(row) for row in hot.select(*on).collect()]
+
+
+def _present(on: list[str]) -> Column:
+    return reduce(Column.__and__, [F.col(name).isNotNull() for name in on])
 
 
 def salted_join(
-    fact: DataFrame, dimension: DataFrame, on: list[str], how: str, salts: int = SALTS
+    fact: DataFrame,
+    dimension: DataFrame,
+    on: list[str],
+    how: str,
+    salt: list[str],
+    salts: int = SALTS,
 ) -> DataFrame:
-    """A shuffled join that spreads every key over ``salts`` tasks.
+    """A shuffled join that spreads every hot key over ``salts`` tasks.
 
-    Unlike the adaptive skew join it also holds when the result is grouped by
-    the same key afterwards. The salt is a function of the row and its input
-    partition, so a task that is run again gives its rows the same salts, and
-    equal rows of different partitions still spread out.
+    Unlike the adaptive skew join it also holds when the result is grouped by the
+    same key afterwards. The salt is a hash of the row's own values, so a task that
+    is run again gives its rows the same salts. Only rows of the dimension with a
+    hot key are copied.
     """
-    spread = F.pmod(F.xxhash64(F.spark_partition_id(), *fact.columns), F.lit(salts))
-    salted = fact.withColumn("lookup_salt", spread.cast("int"))
-    copies = dimension.withColumn(
-        "lookup_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    )
+    hot = hot_keys(fact, on)
+    if not hot:
+        return fact.join(dimension, on, how)
+    matches = [
+        reduce(Column.__and__, [F.col(n) == F.lit(v) for n, v in zip(on, key)]) for key in hot
+    ]
+    is_hot = F.coalesce(reduce(Column.__or__, matches), F.lit(False))
+    spread = F.pmod(F.xxhash64(*salt), F.lit(salts)).cast("int")
+    salted = fact.withColumn("lookup_salt", F.when(is_hot, spread).otherwise(F.lit(0)))
+    every, one = F.sequence(F.lit(0), F.lit(salts - 1)), F.array(F.lit(0))
+    copies = dimension.withColumn("lookup_salt", F.explode(F.when(is_hot, every).otherwise(one)))
     return salted.join(copies, [*on, "lookup_salt"], how).drop("lookup_salt")

@@ -10,18 +10,21 @@ def _as_date(value) -> Column:
     return value if isinstance(value, Column) else F.lit(value).cast("date")
 
 
+def active(bookings: DataFrame) -> DataFrame:
+    """The bookings that were not cancelled; a missing status counts as confirmed."""
+    return bookings.where(F.coalesce("status", F.lit("confirmed")) != "cancelled")
+
+
 def booked_nights(bookings: DataFrame, first=None, last=None) -> DataFrame:
     """(hotel_id, night, booked_rooms) over every night from check-in to the one
-    before check-out, without cancelled bookings.
+    before check-out, without cancelled bookings. A booking without a number of
+    rooms takes one, which is the column's default.
 
     With ``first``/``last`` only stays that touch those nights are read, and they
     are cut to them before the nights are generated. The sums combine ahead of
     the shuffle, so its size is hotels times nights, not bookings times nights.
     """
-    stays = bookings.where(
-        (F.coalesce("status", F.lit("confirmed")) != "cancelled")
-        & (F.col("check_out") > F.col("check_in"))
-    )
+    stays = active(bookings).where(F.col("check_out") > F.col("check_in"))
     start, end = F.col("check_in"), F.date_sub("check_out", 1)
     if first is not None:
         stays = stays.where(F.col("check_out") > _as_date(first))
@@ -30,17 +33,19 @@ def booked_nights(bookings: DataFrame, first=None, last=None) -> DataFrame:
         stays = stays.where(F.col("check_in") <= _as_date(last))
         end = F.least(end, _as_date(last))
     return (
-        stays.select("hotel_id", "rooms", F.explode(F.sequence(start, end)).alias("night"))
+        stays.select("hotel_id", F.coalesce("rooms", F.lit(1)).alias("rooms"), F.explode(F.sequence(start, end)).alias("night"))
         .groupBy("hotel_id", "night")
         .agg(F.sum("rooms").cast("long").alias("booked_rooms"))
     )
 
 
 def free_share(booked_rooms, total_rooms) -> Column:
-    """Share of rooms free within 0..1; a hotel without rooms has none free."""
-    taken = F.try_divide(F.col(booked_rooms).cast("double"), F.col(total_rooms))
+    """Share of rooms free within 0..1. A hotel that has no rooms has none free; where
+    the number of rooms is not known, neither is the share."""
+    total = F.col(total_rooms)
+    taken = F.try_divide(F.coalesce(booked_rooms, F.lit(0)).cast("double"), total)
     share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(1.0) - taken))
-    return F.when(taken.isNull(), F.lit(0.0)).otherwise(share)
+    return F.when(total == 0, F.lit(0.0)).when(total.isNotNull(), share)
 
 
 def supply_factors(bookings: DataFrame, hotels: DataFrame, first=None, last=None) -> DataFrame:

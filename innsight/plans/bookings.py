@@ -9,6 +9,7 @@ from innsight.functions import constants as C
 from innsight.functions.pricing import lead_time_band
 from innsight.functions.signals import condition_bucket, is_weekend
 from innsight.functions.stats import confidence, safe_corr, safe_slope
+from innsight.operators.nights import active
 
 
 def _log(column: str) -> Column:
@@ -17,8 +18,8 @@ def _log(column: str) -> Column:
 
 def segments(bookings: DataFrame) -> DataFrame:
     """Bookings by lead-time band: share, mean lead and price, and how strongly
-    the rooms booked react to the price (elasticity)."""
-    bands = bookings.groupBy(lead_time_band("lead_days").alias("segment")).agg(
+    the rooms booked react to the price (elasticity). Cancelled ones do not count."""
+    bands = active(bookings).groupBy(lead_time_band("lead_days").alias("segment")).agg(
         F.count(F.lit(1)).alias("bookings"),
         F.avg("lead_days").alias("avg_lead_days"),
         F.avg("price_paid").alias("avg_price"),
@@ -46,7 +47,7 @@ def _comparison(kind: str, group: Column, base: Column, price: str, factor: Colu
 def recommendations(history: DataFrame, bookings: DataFrame) -> DataFrame:
     """Price uplifts that the data shows: weekends, good weather, early and late
     bookings. Two findings from one pass over the history, two from one pass over
-    the bookings."""
+    the bookings that were not cancelled."""
     weekend = is_weekend("recorded_date")
     sunny = condition_bucket("weather_score") == 0
     from_history = history.agg(
@@ -58,7 +59,7 @@ def recommendations(history: DataFrame, bookings: DataFrame) -> DataFrame:
     lead = F.col("lead_days")
     early, late = lead >= C.EARLY_BIRD_DAYS, lead <= C.LAST_MINUTE_DAYS
     standard = (lead > C.WEEK_DAYS) & (lead < C.EARLY_BIRD_DAYS)
-    from_bookings = bookings.agg(
+    from_bookings = active(bookings).agg(
         F.array(
             _comparison("early_bird_discount", early, standard, "price_paid", lead),
             _comparison("last_minute_premium", late, standard, "price_paid", lead),
@@ -79,8 +80,11 @@ def overbooking(bookings: DataFrame) -> DataFrame:
 
 
 def early_bird_value(bookings: DataFrame) -> DataFrame:
-    """Mean spend of guests with at least one early booking, and of the others."""
-    guests = bookings.groupBy("guest_id").agg(
+    """Mean spend of guests with at least one early booking, and of the others.
+    Cancelled bookings cost nothing and do not count; a booking without guest is a
+    guest of its own."""
+    guest = F.struct("guest_id", F.when(F.col("guest_id").isNull(), F.col("booking_id")))
+    guests = active(bookings).groupBy(guest.alias("guest")).agg(
         F.sum("price_paid").alias("spend"),
         F.count(F.lit(1)).alias("bookings"),
         F.coalesce(F.bool_or(F.col("lead_days") >= C.EARLY_BIRD_DAYS), F.lit(False)).alias(

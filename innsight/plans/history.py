@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from innsight.functions.stats import pair_count, safe_corr
 from innsight.operators.lookup import lookup
+from innsight.operators.nights import active
+
+#: Narrow columns of the history that tell the rows of one hotel apart.
+SALT = ["recorded_date", "price"]
 
 
 def with_hotel_columns(
@@ -16,12 +20,13 @@ def with_hotel_columns(
     if city is not None:
         hotels = hotels.where(F.col("city") == city)
     columns = hotels.select("hotel_id", "city", "star_rating", "base_price")
-    return lookup(history, columns, ["hotel_id"], "inner")
+    return lookup(history, columns, ["hotel_id"], "inner", salt=SALT)
 
 
 def price_statistics(history: DataFrame) -> DataFrame:
     """Price statistics and signal correlations per hotel id. All of them combine
     ahead of the shuffle, so the rows of a hotel are never brought together."""
+    # fixed values: the names of the result's columns
     return history.groupBy("hotel_id").agg(
         F.avg("price").alias("avg_price"),
         F.stddev_samp("price").alias("price_volatility"),
@@ -44,7 +49,7 @@ def hotel_stats(history: DataFrame, hotels: DataFrame, city: str | None = None)
         known = hotels.select("hotel_id")
         return price_statistics(history).join(known, "hotel_id", "left_semi")
     chosen = hotels.where(F.col("city") == city).select("hotel_id")
-    return price_statistics(lookup(history, chosen, ["hotel_id"], "left_semi"))
+    return price_statistics(lookup(history, chosen, ["hotel_id"], "left_semi", salt=SALT))
 
 
 def weekly_pattern(history: DataFrame) -> DataFrame:
@@ -81,7 +86,7 @@ def monthly_index(history: DataFrame) -> DataFrame:
 
 def correlations(history: DataFrame, bookings: DataFrame) -> DataFrame:
     """Correlation of weather, demand, supply and lead time with price: one pass
-    over the history and one over the bookings."""
+    over the history and one over the bookings that were not cancelled."""
     supply = F.lit(1.0) - F.col("occupancy_rate") / F.lit(100.0)
     factors = {
         "weather_vs_price": F.col("weather_score"),
@@ -100,7 +105,7 @@ def correlations(history: DataFrame, bookings: DataFrame) -> DataFrame:
             ]
         ).alias("rows")
     ).select(F.inline("rows"))
-    lead = bookings.agg(
+    lead = active(bookings).agg(
         F.lit("lead_time_vs_price").alias("factor"),
         safe_corr("lead_days", "price_paid").alias("correlation"),
         pair_count("lead_days", "price_paid").alias("pairs"),

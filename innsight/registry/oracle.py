@@ -378,7 +378,10 @@ _BODIES = {
     FROM price_history JOIN hotels USING (hotel_id)""",
     "market_columns": "SELECT hotel_id, occupancy, revenue, tier FROM market",
     "hotel_amenities": """
-    SELECT hotel_id, unnest(from_json(amenities, '["VARCHAR"]')) AS amenity FROM hotels""",
+    SELECT hotel_id, amenity
+    FROM hotels LEFT JOIN (
+        SELECT hotel_id AS id, unnest(from_json(amenities, '["VARCHAR"]')) AS amenity
+        FROM hotels) ON id = hotel_id""",
     "calendar_columns": f"""
     SELECT booking_id, {_day("check_in")}, {_day("check_in + CAST(rooms AS INTEGER)", "later")},
            CAST(month(check_in) AS BIGINT) AS month,
@@ -506,7 +509,12 @@ _BODIES = {
             ("weather_vs_price", "weather_score", "price", "price_history"),
             ("demand_vs_price", "demand_score", "price", "price_history"),
             ("supply_vs_price", "supply_factor", "price", "price_history"),
-            ("lead_time_vs_price", "lead_days", "price_paid", "bookings"),
+            (
+                "lead_time_vs_price",
+                "lead_days",
+                "price_paid",
+                "bookings WHERE status <> 'cancelled'",
+            ),
         )
     ),
     "rolling_weather": f"""
@@ -538,7 +546,8 @@ _BODIES = {
            {_rounded("avg(price_paid)", 4, "avg_price")},
            {_rounded("covar_pop(ln(price_paid), ln(rooms)) / nullif(var_pop(ln(price_paid)), 0)",
                      8, "price_elasticity")}
-    FROM (SELECT *, {_BAND} AS segment FROM bookings) GROUP BY segment""",
+    FROM (SELECT *, {_BAND} AS segment FROM bookings WHERE status <> 'cancelled')
+    GROUP BY segment""",
     "recommendations": "\nUNION ALL ".join(
         (
             _finding(
@@ -563,7 +572,7 @@ _BODIES = {
                 "lead_days > 7 AND lead_days < 60",
                 "price_paid",
                 "lead_days",
-                "bookings",
+                "bookings WHERE status <> 'cancelled'",
             ),
             _finding(
                 "last_minute_premium",
@@ -571,7 +580,7 @@ _BODIES = {
                 "lead_days > 7 AND lead_days < 60",
                 "price_paid",
                 "lead_days",
-                "bookings",
+                "bookings WHERE status <> 'cancelled'",
             ),
         )
     ),
@@ -586,7 +595,7 @@ _BODIES = {
            {_rounded("avg(bookings)", 9, "avg_bookings")}
     FROM (SELECT guest_id, sum(price_paid) AS spend, count(*) AS bookings,
                  bool_or(lead_days >= 60) AS early_bird
-          FROM bookings GROUP BY guest_id) GROUP BY early_bird""",
+          FROM bookings WHERE status <> 'cancelled' GROUP BY guest_id) GROUP BY early_bird""",
     "integrity_audit": _AUDIT,
     "stream_reprice": f"""
     SELECT signal_id, hotel_id, city, {_moment("event_time")},

@@ -241,7 +241,7 @@ def market_columns(views: Views) -> DataFrame:
 @query
 def hotel_amenities(views: Views) -> DataFrame:
     parsed = views.hotels.select("hotel_id", detail.parse_amenities("amenities").alias("list"))
-    return parsed.select("hotel_id", F.explode("list").alias("amenity"))
+    return parsed.select("hotel_id", F.explode_outer("list").alias("amenity"))
 
 
 @query

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +26,31 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever file system holds it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scratch_tables(spark: SparkSession, name: str) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Gives a function that stages frames; what it staged is deleted at the end, so
+    only what is finished within the block may read it."""
+    paths = []
+
+    def stage(df: DataFrame) -> DataFrame:
+        path = scratch_folder(spark, name)
+        paths.append(path)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield stage
+    finally:
+        for path in paths:
+            remove_folder(spark, path)
+
+
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Writes a frame that several jobs read and returns the written table.
 

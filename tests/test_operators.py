@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from innsight.operators.audit import audit_stored_tables
 from innsight.operators.latest import first_rows, latest_reviews
-from innsight.operators.lookup import lookup, measured_bytes, salted_join
+from innsight.operators.latest import first_rows
+from innsight.operators.lookup import hot_keys, lookup, measured_bytes, salted_join
 from innsight.operators.nights import booked_nights, supply_factors, with_supply
 
 
@@ -35,7 +36,7 @@ def skewed(spark):
 def test_salted_join_equals_broadcast(spark, how):
     fact, dimension = skewed(spark)
     plain = lookup(fact, dimension, ["k"], how)
-    salted = salted_join(fact, dimension, ["k"], how, salts=5)
+    salted = salted_join(fact, dimension, ["k"], how, ["v"], salts=5)
     assert plain.columns == salted.columns
     assert sorted(plain.collect(), key=repr) == sorted(salted.collect(), key=repr)
 
@@ -55,7 +56,7 @@ def test_lookup_chooses_by_measured_size(spark):
 
 def test_salt_spreads_a_hot_key(spark):
     hot = spark.range(0, 8000, 1, 8).select(F.lit(1).alias("k"), F.col("id").alias("v"))
-    joined = salted_join(hot, spark.createDataFrame([(1, 2)], "k int, d int"), ["k"], "left", 16)
+    joined = salted_join(hot, spark.createDataFrame([(1, 2)], "k int, d int"), ["k"], "left", ["v"], 16)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
@@ -66,6 +67,61 @@ def test_salt_spreads_a_hot_key(spark):
     assert sum(sizes) == 8000 and max(sizes) < 8000 * 0.6
 
 
+@pytest.fixture
+def stored_history(spark, tmp_path):
+    rows = [(1 if i % 3 else i % 50, f"2024-01-{i % 28 + 1:02d}", float(i), "wide") for i in range(900)]
+    df = spark.createDataFrame(rows, "hotel_id int, recorded_date string, price double, wide string")
+    df.withColumn("extra", F.create_map(F.lit("k"), "wide")).write.parquet(str(tmp_path / "h"))
+    return spark.read.parquet(str(tmp_path / "h"))
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_both_ways_prune_and_filter_alike(spark, stored_history, salted, how):
+    dimension = spark.createDataFrame([(i, i * 2) for i in range(0, 40, 2)], "hotel_id int, d int")
+
+    def used(limit):
+        spark.conf.set("innsight.lookup.broadcastBytes", limit)
+        rows = lookup(stored_history.where("price > 10"), dimension, ["hotel_id"], how, salt=["recorded_date"])
+        return rows.groupBy("hotel_id").agg(F.sum("price").alias("p"))
+
+    plans = [plan_of(used(limit)) for limit in ("1000000", "-1")]
+    for plan in plans:
+        scan = next(x for x in plan.splitlines() if "ReadSchema" in x)
+        assert "wide" not in scan and "extra" not in scan
+        pushed = next(x for x in plan.splitlines() if "PushedFilters" in x)
+        assert "GreaterThan(price,10.0)" in pushed
+    assert sorted(used("1000000").collect()) == sorted(used("-1").collect())
+
+
+def test_maps_pass_the_shuffled_way(spark, stored_history, salted):
+    dimension = spark.createDataFrame([(1, 2)], "hotel_id int, d int")
+    joined = lookup(stored_history, dimension, ["hotel_id"], "inner", salt=["recorded_date"])
+    assert joined.where(F.col("extra")["k"] == "wide").count() == joined.count() > 0
+
+
+def test_only_hot_keys_are_copied(spark, stored_history):
+    assert hot_keys(stored_history, ["hotel_id"]) == [(1,)]
+    dimension = spark.createDataFrame([(i, i) for i in range(50)], "hotel_id int, d int")
+    joined = salted_join(stored_history, dimension, ["hotel_id"], "inner", ["recorded_date"], 8)
+    assert joined.count() == 900
+
+
+@pytest.mark.parametrize("k", [3, 5000])
+def test_first_rows_of_a_hot_key(spark, k):
+    df = spark.range(0, 20_000, 1, 6).select(
+        F.when(F.col("id") % 10 < 9, 1).otherwise(F.col("id") % 7).alias("key"), "id"
+    )
+    df = df.withColumn("m", F.create_map(F.lit("a"), "id"))
+    got = first_rows(df, ["key"], [F.col("id").desc()], k, rank="n")
+    assert got.columns == ["key", "id", "m", "n"]
+    ids = [r["id"] for r in got.where("key = 1").orderBy("n").collect()]
+    expected = [i for i in range(19_999, -1, -1) if i % 10 < 9 or i % 7 == 1][:k]
+    assert ids == expected
+    if k > 1000:
+        sizes = df.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(64))).count().agg(F.max("count")).first()[0]
+        assert sizes < 1000 and "rank_part" in plan_of(got)
+
+
 def test_measured_bytes(spark):
     df = spark.createDataFrame([("ab", 1), (None, 2), ("cde", None)], "s string, n int")
     assert measured_bytes(df) == 3 * (8 + 4) + 5
@@ -180,3 +236,28 @@ def test_audit_of_stored_tables(spark):
         ("reviews", "missing", "rating"): 1,
         ("reviews", "orphan", "hotel_id"): 2,
     }
+
+
+def test_missing_rooms_count_as_one_and_missing_totals_as_unknown(spark):
+    stays = spark.createDataFrame(
+        [(1, day("2024-01-01"), day("2024-01-02"), None, None), (2, day("2024-01-01"), day("2024-01-02"), 2, None),
+         (3, day("2024-01-01"), day("2024-01-02"), 2, None)],
+        "hotel_id long, check_in date, check_out date, rooms int, status string",
+    )
+    hotels = spark.createDataFrame([(1, 4), (2, None), (3, 0)], "hotel_id long, total_rooms int")
+    rows = {r.hotel_id: r for r in supply_factors(stays, hotels).collect()}
+    assert (rows[1].booked_rooms, rows[1].supply_factor, rows[1].occupancy) == (1, 0.75, 25.0)
+    assert rows[2].supply_factor is None and rows[2].occupancy is None
+    assert rows[3].supply_factor == 0.0
+
+
+def test_scratch_tables_are_deleted(spark):
+    import os
+
+    from innsight.sources.scratch import scratch_tables
+
+    with scratch_tables(spark, "gone") as stage:
+        df = stage(spark.range(5))
+        path = df.inputFiles()[0].removeprefix("file://")
+        assert df.count() == 5 and os.path.exists(path)
+    assert not os.path.exists(os.path.dirname(path))

@@ -257,9 +257,14 @@ def band(days):
     return "early_bird" if days >= 60 else "standard"
 
 
+def active_rows(rows):
+    return [r for r in rows if r[7] != "cancelled"]
+
+
 def test_segments(spark):
     rows = random_bookings(900)
     found = {r.segment: r for r in B.segments(bookings(spark, rows)).collect()}
+    rows = active_rows(rows)
     assert sum(r.share_pct for r in found.values()) == pytest.approx(100)
     for name, row in found.items():
         own = [r for r in rows if band(r[2]) == name]
@@ -288,7 +293,7 @@ def test_overbooking_and_guest_value(spark):
     assert found[1].overbooking_rate == pytest.approx(c / (1 - c))
     assert found[77].cancelled_share == 1.0 and found[77].overbooking_rate is None
     guests = {}
-    for r in rows:
+    for r in active_rows(rows):
         guests.setdefault(r[1], []).append(r)
     spend = {True: [], False: []}
     for stays in guests.values():
@@ -300,6 +305,12 @@ def test_overbooking_and_guest_value(spark):
             assert value[early].avg_spend == pytest.approx(statistics.fmean(sums))
 
 
+def test_bookings_without_guest_are_guests_of_their_own(spark):
+    stay = (1, None, 70, day("2024-01-01"), day("2024-01-02"), 1, 10.0, None)
+    row = B.early_bird_value(bookings(spark, [stay, stay, (*stay[:7], "cancelled")])).first()
+    assert (row.guests, row.avg_spend, row.avg_bookings) == (2, 10.0, 1.0)
+
+
 def test_recommendations(spark):
     rows, stays = random_history(1200), random_bookings(600)
     found = {
@@ -320,8 +331,8 @@ def test_recommendations(spark):
     assert row.uplift_pct == pytest.approx((mean / statistics.fmean(other) - 1) * 100)
     error = statistics.stdev(weekend) / math.sqrt(len(weekend)) / mean
     assert row.confidence == pytest.approx(1 - error)
-    late = [r[6] for r in stays if r[2] <= 2]
-    standard = [r[6] for r in stays if 7 < r[2] < 60]
+    late = [r[6] for r in active_rows(stays) if r[2] <= 2]
+    standard = [r[6] for r in active_rows(stays) if 7 < r[2] < 60]
     row = found["last_minute_premium"]
     assert row.uplift_pct == pytest.approx(
         (statistics.fmean(late) / statistics.fmean(standard) - 1) * 100
@@ -340,7 +351,9 @@ def test_correlations(spark):
     }
     assert found["supply_vs_price"] == pytest.approx(python_corr([(-r[3], r[2]) for r in rows]))
     assert found["demand_vs_price"] == pytest.approx(python_corr([(r[5], r[2]) for r in rows]))
-    assert found["lead_time_vs_price"] == pytest.approx(python_corr([(r[2], r[6]) for r in stays]))
+    assert found["lead_time_vs_price"] == pytest.approx(python_corr(
+        [(r[2], r[6]) for r in active_rows(stays)]
+    ))
 
 
 # --- model --------------------------------------------------------------------
