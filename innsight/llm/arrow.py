@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 PIECE_BYTES = 4 << 20
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+BATCH_DEFAULT = "67108864b"
 
 Work = Callable[[list], list]
 
@@ -28,14 +30,32 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE_BYTES) -> Iter
         yield batch.slice(start)
 
 
+def map_batches(df: DataFrame, run: Callable, schema: T.StructType | str) -> DataFrame:
+    """``df.mapInArrow`` with batches for texts.
+
+    Batches are counted in rows first and then in bytes; whole texts make those of
+    the default size heavy on both sides of the pipe. The setting is read when a
+    frame runs, so it is lowered for the session, unless somebody has set it.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_CONF) == BATCH_DEFAULT:
+        conf.set(BATCH_CONF, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def with_text_columns(
-    df: DataFrame, text: str, fields: list[T.StructField], make: Callable[[], Work]
+    df: DataFrame,
+    text: str,
+    fields: list[T.StructField],
+    make: Callable[[], Work],
+    limit: int = PIECE_BYTES,
 ) -> DataFrame:
     """``df`` with columns that a function of the text column computes.
 
     ``make`` runs once in each task and returns the function, which takes a list
     of texts (null: None) and returns a list of values for each field. Fields
-    replace columns of the same name; every row stays, in its partition.
+    replace columns of the same name; every row stays, in its partition. ``limit`` is
+    the bytes of text that are worked on at once.
     """
     new = {f.name for f in fields}
     kept = [f for f in df.schema if f.name not in new]
@@ -46,13 +66,13 @@ def with_text_columns(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for part in pieces(batch, text):
+            for part in pieces(batch, text, limit):
                 made = work(part.column(text).to_pylist())
                 columns = [part.column(n) for n in names]
                 columns += [pa.array(v, t) for v, t in zip(made, kinds)]
                 yield pa.RecordBatch.from_arrays(columns, [*names, *(f.name for f in fields)])
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def field(name: str, kind: T.DataType) -> T.StructField:

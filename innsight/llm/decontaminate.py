@@ -11,16 +11,18 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from itertools import repeat
 
 import ahocorasick
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from innsight.llm.arrow import field, with_text_columns
+from innsight.llm.arrow import field, map_batches, pieces
 
 WINDOW = 13
 #: Benchmark bytes in one automaton; a larger benchmark is scanned for in several.
@@ -121,62 +123,55 @@ def find_contamination(
     automaton is built over a bounded part of the benchmark; a benchmark beyond
     that bound is searched part after part, in the same pass over the documents.
     """
-    span = T.ArrayType(T.LongType(), False)
     context = docs.sparkSession.sparkContext
+    shards = list(_shards(benchmark, item, item_text, shard_bytes))
     found = docs
-    for number, items in enumerate(_shards(benchmark, item, item_text, shard_bytes)):
-        shared = context.broadcast(items)
-        hits, names = f"_hits{number}", f"_items{number}"
-        fields = [
-            field("n_words", T.LongType()),
-            field(hits, T.ArrayType(span, False)),
-            field(names, T.ArrayType(T.StringType(), False)),
-        ]
-
-        def make(shared=shared):
-            automaton = Automaton(shared.value, window)
-
-            def work(texts):
-                counts, ranges, items = [], [], []
-                for value in texts:
-                    words = words_of(value or "")
-                    hit, names = automaton.matches(words)
-                    counts.append(len(words))
-                    ranges.append([list(x) for x in hit])
-                    items.append(list(names))
-                return [counts, ranges, items]
-
-            return work
-
-        found = with_text_columns(found, text, fields, make)
-    parts = range(number + 1)
-    gathered = found.withColumn("_hits", F.flatten(F.array(*[f"_hits{i}" for i in parts])))
-    gathered = gathered.withColumn(
-        "items", F.array_sort(F.array_distinct(F.flatten(F.array(*[f"_items{i}" for i in parts]))))
-    ).drop(*[f"{x}{i}" for i in parts for x in ("_hits", "_items")])
-    fields = [field("n_hit", T.LongType()), field("hit_spans", T.ArrayType(span, False))]
-    return _settled(gathered, text, fields)
-
-
-def _settled(gathered: DataFrame, text: str, fields: list[T.StructField]) -> DataFrame:
-    """Merges the ranges of all parts; only documents with hits are looked at again."""
-    kept = [f for f in gathered.schema if f.name not in ("_hits", "n_hit", "hit_spans")]
-    schema = T.StructType([*kept, *fields])
-    kinds = [f.type for f in to_arrow_schema(T.StructType(fields))]
+    for number, items in enumerate(shards):
+        found = _scanned(
+            found, context.broadcast(items), text, window, number == 0, number == len(shards) - 1
+        )
+    hit, words = F.col("n_hit"), F.col("n_words")
+    return found.withColumn("contaminated", (hit > 0) & (hit * 20 >= words))
+
+
+def _scanned(
+    docs: DataFrame, shared: Broadcast, text: str, window: int, first: bool, last: bool
+) -> DataFrame:
+    """One part of the benchmark searched for. What earlier parts have found comes in
+    the columns __hits and items; the last part settles it."""
+    span = T.ArrayType(T.LongType(), False)
+    made = [field("n_words", T.LongType()), field("items", T.ArrayType(T.StringType(), False))]
+    if last:
+        made += [field("n_hit", T.LongType()), field("hit_spans", T.ArrayType(span, False))]
+    else:
+        made.append(field("__hits", T.ArrayType(span, False)))
+    replaced = {"n_words", "items", "n_hit", "hit_spans", "__hits"}
+    kept = [f for f in docs.schema if f.name not in replaced]
     names = [f.name for f in kept]
+    kinds = [f.type for f in to_arrow_schema(T.StructType(made))]
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = Automaton(shared.value, window)
         for batch in batches:
-            counts, spans = [], []
-            column = batch.column(text)
-            for row, hits in enumerate(batch.column("_hits").to_pylist()):
-                ranges = merged([tuple(x) for x in hits])
-                counts.append(sum(b - a for a, b in ranges))
-                spans.append([list(x) for x in places(column[row].as_py(), ranges)] if ranges else [])
-            columns = [batch.column(n) for n in names]
-            columns += [pa.array(counts, kinds[0]), pa.array(spans, kinds[1])]
-            yield pa.RecordBatch.from_arrays(columns, [*names, *(f.name for f in fields)])
-
-    settled = gathered.mapInArrow(run, schema)
-    hit, words = F.col("n_hit"), F.col("n_words")
-    return settled.withColumn("contaminated", (hit > 0) & (hit * 20 >= words))
+            for part in pieces(batch, text):
+                rows = part.num_rows
+                before = [[]] * rows if first else part.column("__hits").to_pylist()
+                known = [[]] * rows if first else part.column("items").to_pylist()
+                columns: list[list] = [[] for _ in made]
+                for value, hits, items in zip(part.column(text).to_pylist(), before, known):
+                    words = words_of(value or "")
+                    ranges, found = automaton.matches(words)
+                    ranges = merged([*ranges, *map(tuple, hits)])
+                    out = [len(words), sorted({*items, *found})]
+                    if last:
+                        out += [sum(b - a for a, b in ranges), places(value or "", ranges)]
+                    else:
+                        out.append(ranges)
+                    for column, x in zip(columns, out):
+                        column.append(x)
+                arrays = [pa.array(v, t) for v, t in zip(columns, kinds)]
+                yield pa.RecordBatch.from_arrays(
+                    [*[part.column(n) for n in names], *arrays], [*names, *(f.name for f in made)]
+                )
+
+    return map_batches(docs, run, T.StructType([*kept, *made]))

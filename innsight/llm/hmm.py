@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from innsight.llm.arrow import pieces
+from innsight.llm.arrow import map_batches, pieces
 from innsight.sources.scratch import stage_table
 
 STATES = 6
@@ -216,7 +216,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         if counts:
             yield made(counts)
 
-    partial = docs.select("text").mapInArrow(run, "word string, class int, n long")
+    partial = map_batches(docs.select("text"), run, "word string, class int, n long")
     return partial.groupBy("word").agg(F.first("class").alias("class"), F.sum("n").alias("n"))
 
 
@@ -271,7 +271,8 @@ def _prepare(docs: DataFrame, frequent: list[tuple[str, int]]) -> DataFrame:
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    prepared = docs.select("doc_id", "held_out", "text").mapInArrow(
+    prepared = map_batches(
+        docs.select("doc_id", "held_out", "text"),
         run,
         f"doc_id {kind}, held_out boolean, n_tokens long, classes binary, part double, "
         "known long, rare array<string>",
@@ -296,7 +297,7 @@ def baum_welch(model: Model, stored: DataFrame) -> Model:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"place": pa.array(at, pa.int32()), "n": total[at]})
 
-    counted = stored.select("n_tokens", "classes").mapInArrow(run, "place int, n double")
+    counted = map_batches(stored.select("n_tokens", "classes"), run, "place int, n double")
     total = np.zeros(STATES + STATES * STATES + STATES * (CLASSES + 1))
     for place, n in counted.groupBy("place").agg(F.sum("n")).collect():  # of fixed number
         total[place] = n
@@ -364,9 +365,8 @@ def score_texts(
             out = rows.drop_columns(["classes"]).append_column("chain", pa.array(chain))
             yield from out.to_batches()
 
-    chains = stored.select(
-        "row", "doc_id", "held_out", "n_tokens", "part", "known", "classes"
-    ).mapInArrow(
+    chains = map_batches(
+        stored.select("row", "doc_id", "held_out", "n_tokens", "part", "known", "classes"),
         run,
         f"row long, doc_id {kind}, held_out boolean, n_tokens long, part double, "
         "known long, chain double",

@@ -37,9 +37,10 @@ codecs.register_error("mark_each_byte", lambda e: ("\ufffd" * (e.end - e.start),
 SPACE = "▁"
 MARKS = ("\n", ",", ".")
 #: Stretches remembered by a worker, twice: the last ones used and those before.
-REMEMBERED = 350_000
+REMEMBERED = 250_000
 LONG = 60  # longer ones are not remembered
 LISTED = 24  # characters
+AT_ONCE = 1 << 20  # bytes of text whose ids a task holds as numbers
 NEVER = 1 << 29  # no rank
 
 
@@ -279,4 +280,4 @@ def encode_texts(
 
         return work
 
-    return with_text_columns(docs, text, fields, make)
+    return with_text_columns(docs, text, fields, make, limit=AT_ONCE)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from innsight.llm.arrow import pieces
+from innsight.llm.arrow import map_batches, pieces
 from innsight.sources.scratch import stage_table
 
 LENGTH = 400
@@ -286,7 +286,8 @@ def remove_repeats(
     ).withColumns({"row": F.xxhash64("doc_id", "text"), "tag": F.hash("text", "doc_id")})
     long = own.select("row", "tag", "text").where(F.octet_length("text") >= length)
     with _shuffles_freed(spark):
-        every = long.mapInArrow(
+        every = map_batches(
+            long,
             _blocks(length),
             "row long, tag int, first long, starts int, rank long, text_hash long, times long",
         )
@@ -312,8 +313,10 @@ def remove_repeats(
             F.collect_list(F.struct("first", "starts", "open")).alias("blocks")
         )
         suffixes = stage_table(
-            long.join(of_text, ["row", "tag"]).mapInArrow(
-                _suffixes(length), "row long, tag int, start long, hash long, check int"
+            map_batches(
+                long.join(of_text, ["row", "tag"]),
+                _suffixes(length),
+                "row long, tag int, start long, hash long, check int",
             ),
             "suffixes",
         )
@@ -336,7 +339,8 @@ def remove_repeats(
     found = own.join(ranges, ["row", "tag"], "left").select(
         "doc_id", "text", F.col("ranges.first").alias("firsts"), F.col("ranges.starts").alias("starts")
     )
-    return found.mapInArrow(
+    return map_batches(
+        found,
         _removed(length),
         f"doc_id {kind}, n_bytes long, n_removed long, spans array<array<long>>, kept binary",
     )
