@@ -1,8 +1,8 @@
 """Weather and demand signals as pure functions of place and date.
 
-What is random in a simulation is an input here: noise columns default to 0,
-observed temperature or rain replace the modelled ones, and the event uplift
-comes from a calendar.
+They stand in where nothing was measured: a measured score replaces the modelled
+one, observed temperature or rain replace the modelled ones, and the event uplift
+comes from a calendar. Noise columns default to 0.
 """
 
 from __future__ import annotations
@@ -85,9 +85,16 @@ def condition_label(score) -> Column:
 
 
 def weather_signal(
-    lat, date, temp_noise=0.0, rain_noise=0.0, observed_temp=None, observed_rain=None
+    lat,
+    date,
+    temp_noise=0.0,
+    rain_noise=0.0,
+    observed_temp=None,
+    observed_rain=None,
+    measured_score=None,
 ) -> Column:
-    """Weather at a latitude on a date: a struct with a ``score`` in 0.1..1."""
+    """Weather at a latitude on a date: a struct with a ``score`` in 0.1..1. Where a
+    measured score is given, it and its condition are what counts."""
     temp = temperature(lat, date, temp_noise)
     rain = rain_probability(lat, rain_noise)
     if observed_temp is not None:
@@ -95,12 +102,16 @@ def weather_signal(
     if observed_rain is not None:
         rain = F.coalesce(_col(observed_rain), rain)
     score = raw_weather_score(temp, rain)
+    shown = F.round(score, 3)
+    if measured_score is not None:
+        measured = _bounded(_col(measured_score))
+        score, shown = F.coalesce(measured, score), F.coalesce(measured, shown)
     humidity = F.lit(C.HUMIDITY_BASE) + rain * F.lit(C.HUMIDITY_RAIN)
     return F.struct(
         F.round(temp, 1).alias("temperature"),
         F.round(rain * F.lit(100.0), 1).alias("precipitation"),
         condition_label(score).alias("condition"),
-        F.round(score, 3).alias("score"),
+        shown.alias("score"),
         F.round(humidity, 1).alias("humidity"),
     )
 
@@ -118,6 +129,12 @@ def is_weekend(date) -> Column:
     return weekday_of(date) >= F.lit(C.WEEKEND_FROM)
 
 
+def measured_demand_signal(measured, event_uplift=0.0) -> Column:
+    """Measured demand plus the uplift of an event, in 0.1..1; null where nothing was
+    measured."""
+    return _bounded(_col(measured) + F.coalesce(_col(event_uplift), F.lit(0.0)))
+
+
 def demand_signal(date, event_uplift=0.0, noise=0.0) -> Column:
     """Demand on a date in 0.1..1: weekday, season and event uplift."""
     weekend = F.when(is_weekend(date), F.lit(C.WEEKEND_UPLIFT)).otherwise(F.lit(0.0))

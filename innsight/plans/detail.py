@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from innsight.functions import constants as C
 from innsight.functions.signals import date_ahead
 from innsight.operators.latest import latest_reviews
+from innsight.operators.nights import supply_factors
 from innsight.plans.pricing import price_rows
 
 
@@ -39,17 +40,28 @@ def hotel_detail(
     hotels: DataFrame,
     reviews: DataFrame,
     as_of=None,
-    supply: DataFrame | None = None,
+    bookings: DataFrame | None = None,
     calendar: DataFrame | None = None,
+    history: DataFrame | None = None,
     k: int = C.DETAIL_REVIEWS,
 ) -> DataFrame:
-    """The profile of all hotels; filter ``hotels`` by id for one. An unknown id
+    """The profile of all hotels; filter ``hotels`` by id for one, then only its
+    bookings, for the night priced, and its history are aggregated. An unknown id
     gives an empty frame."""
     today = date_ahead(as_of, F.lit(0))
+    ids = hotels.select("hotel_id")
+    supply = None
+    if bookings is not None:
+        own = bookings.join(ids, "hotel_id", "left_semi")
+        supply = supply_factors(own, hotels, today, today)
+    if history is not None:
+        history = history.join(ids, "hotel_id", "left_semi")
     rows = hotel_reviews(hotels, reviews, k).withColumns(
         {"date": today, "days_ahead": F.lit(1)}
     )
-    priced = price_rows(rows, "days_ahead", supply, calendar, span=(today, today))
+    priced = price_rows(
+        rows, "days_ahead", supply, calendar, span=(today, today), history=history
+    )
     return priced.withColumns(
         {
             "amenities": parse_amenities("amenities"),

@@ -16,11 +16,12 @@ def price_forecast(
     horizon: int = C.FORECAST_DAYS,
     supply: DataFrame | None = None,
     calendar: DataFrame | None = None,
+    history: DataFrame | None = None,
 ) -> DataFrame:
     """A price for every hotel on each of the next ``horizon`` days.
 
-    The days are generated on the row of the hotel, so without supply and
-    calendar nothing is shuffled. Filter ``hotels`` for a single forecast.
+    The days are generated on the row of the hotel, so without supply, calendar and
+    history nothing is shuffled. Filter ``hotels`` for a single forecast.
     """
     offsets = F.sequence(F.lit(0), F.lit(horizon - 1))
     rows = hotels.select(
@@ -32,9 +33,8 @@ def price_forecast(
         F.explode(offsets).alias("day_offset"),
     ).withColumn("date", date_ahead(as_of, "day_offset"))
     span = (date_ahead(as_of, F.lit(0)), date_ahead(as_of, F.lit(horizon - 1)))
-    return price_rows(rows, "day_offset", supply, calendar, span=span).withColumn(
-        "price", F.round("raw_price", 2)
-    )
+    priced = price_rows(rows, "day_offset", supply, calendar, span=span, history=history)
+    return priced.withColumn("price", F.round("raw_price", 2))
 
 
 def forecast_documents(forecast: DataFrame) -> DataFrame:

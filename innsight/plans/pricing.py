@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from innsight.functions.pricing import raw_dynamic_price
 from innsight.functions.signals import weather_signal
 from innsight.operators.demand import with_demand
+from innsight.operators.measured import with_measured
 from innsight.operators.nights import with_supply
 
 
@@ -18,11 +19,14 @@ def price_rows(
     calendar: DataFrame | None = None,
     date: str = "date",
     span: tuple[Column, Column] | None = None,
+    history: DataFrame | None = None,
 ) -> DataFrame:
     """Adds weather, demand_score, supply_factor and the unrounded raw_price.
 
     ``rows`` needs hotel_id, city, lat, base_price, the date and the days ahead.
-    Everything but the two optional joins is a projection of the row itself.
+    Everything but the optional joins is a projection of the row itself. Weather and
+    demand are those that ``history`` has measured for the hotel, the modelled ones
+    where it has none.
     ``span`` is the first and last date of the rows, where the caller knows them:
     of supply and calendar only these dates are then read.
     """
@@ -30,9 +34,10 @@ def price_rows(
         supply = supply.where(F.col("night").between(*span))
     if span is not None and calendar is not None:
         calendar = calendar.where(F.col("date").between(*span))
-    rows = with_supply(rows, supply, date)
+    rows = with_measured(with_supply(rows, supply, date), history, date)
     rows = with_demand(rows, calendar, date)
-    rows = rows.withColumn("weather", weather_signal("lat", date))
+    weather = weather_signal("lat", date, measured_score="measured_weather")
+    rows = rows.withColumn("weather", weather).drop("measured_weather", "measured_demand")
     price = raw_dynamic_price(
         "base_price", F.col("weather.score"), "demand_score", "supply_factor", days_ahead
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from innsight.functions import constants as C
 from innsight.functions import pricing as P
 from innsight.functions.signals import date_ahead
+from innsight.operators.nights import supply_factors
 from innsight.operators.radius import top_within_radius, top_within_radius_of_points
 from innsight.plans.pricing import price_rows
 
@@ -32,17 +33,27 @@ def search_hotels(
     radius_km: float = C.SEARCH_RADIUS_KM,
     as_of=None,
     days_ahead: int = C.SEARCH_DAYS_AHEAD,
-    supply: DataFrame | None = None,
+    bookings: DataFrame | None = None,
     calendar: DataFrame | None = None,
+    history: DataFrame | None = None,
     limit: int = C.SEARCH_LIMIT,
 ) -> DataFrame:
     """The best hotels around a point, priced for a stay ``days_ahead`` from
-    ``as_of``. Only the rows that are returned get priced."""
+    ``as_of``. Only the rows that are returned get priced, and only their bookings
+    and history are read into aggregates, the bookings for the night of the stay."""
     date = date_ahead(as_of, F.lit(days_ahead))
     found = top_within_radius(hotels, lat, lon, radius_km, limit).withColumns(
         {"days_ahead": F.lit(days_ahead), "date": date}
     )
-    return _with_offer(price_rows(found, "days_ahead", supply, calendar, span=(date, date)))
+    few = F.broadcast(found.select("hotel_id"))  # at most ``limit`` rows
+    supply = None
+    if bookings is not None:
+        own = bookings.join(few, "hotel_id", "left_semi")
+        supply = supply_factors(own, found, date, date)
+    if history is not None:
+        history = history.join(few, "hotel_id", "left_semi")
+    priced = price_rows(found, "days_ahead", supply, calendar, span=(date, date), history=history)
+    return _with_offer(priced)
 
 
 def search_batch(
@@ -58,7 +69,8 @@ def search_batch(
 def search_document(found: DataFrame) -> DataFrame:
     """One row with the list of results, best first, and their number. A search
     is limited, so the list is too."""
-    row = F.struct((-F.col("star_rating")).alias("order"), *found.columns)
+    first = (-F.col("star_rating")).alias("order"), F.col("hotel_id").alias("order_id")
+    row = F.struct(*first, *found.columns)
     return found.agg(
         F.transform(
             F.sort_array(F.collect_list(row)),

@@ -74,6 +74,22 @@ def _corr(x: str, y: str) -> str:
 
 
 def _demand(date: str, uplift: str) -> str:
+    """Demand of rows joined with measured_demand d."""
+    return (
+        f"coalesce(round(greatest(0.1e0, least(1e0, d.measured + coalesce({uplift}, 0e0))), 9), "
+        f"{_modelled_demand(date, uplift)})"
+    )
+
+
+def _measured_demand(rows: str) -> str:
+    """The join that ``_demand`` needs."""
+    return (
+        f"LEFT JOIN measured_demand d "
+        f"ON d.hotel_id = {rows}.hotel_id AND d.weekday = isodow({rows}.date) - 1"
+    )
+
+
+def _modelled_demand(date: str, uplift: str) -> str:
     return (
         "round(greatest(0.1e0, least(1e0, 0.3e0 "
         f"+ (CASE WHEN isodow({date}) >= 5 THEN 0.3e0 ELSE 0e0 END) "
@@ -104,15 +120,19 @@ _SUPPLIERS = "(SELECT count(*) FROM supplier)"
 
 
 def _weather_view(rows: str) -> str:
-    """Rows with lat and date, plus the modelled weather."""
+    """Rows with hotel_id, lat and date, plus the weather: measured, or else modelled."""
     return f"""
-    SELECT *, round(raw_score, 3) AS weather_score, {_CONDITION} AS condition
-    FROM (SELECT *, greatest(0.1e0, least(1e0, (1e0 - rain) * 0.6e0
-                     + least(temp, 30e0) / 30e0 * 0.4e0)) AS raw_score
-          FROM (SELECT *, 20e0 + (1e0 - abs(lat) / 90e0) * 15e0
-                       + sin((month(date) - 3) * pi() / 6e0) * 10e0 AS temp,
-                       greatest(0e0, 0.4e0 - (1e0 - abs(lat) / 90e0) * 0.3e0) AS rain
-                FROM ({rows})))"""
+    SELECT *, coalesce(bounded, round(modelled, 3)) AS weather_score, {_CONDITION} AS condition
+    FROM (SELECT *, greatest(0.1e0, least(1e0, measured)) AS bounded,
+                 coalesce(greatest(0.1e0, least(1e0, measured)), modelled) AS raw_score
+          FROM (SELECT *, greatest(0.1e0, least(1e0, (1e0 - rain) * 0.6e0
+                           + least(temp, 30e0) / 30e0 * 0.4e0)) AS modelled
+                FROM (SELECT r.*, m.measured, 20e0 + (1e0 - abs(lat) / 90e0) * 15e0
+                             + sin((month(date) - 3) * pi() / 6e0) * 10e0 AS temp,
+                             greatest(0e0, 0.4e0 - (1e0 - abs(lat) / 90e0) * 0.3e0) AS rain
+                      FROM ({rows}) r
+                      LEFT JOIN measured_weather m
+                      ON m.hotel_id = r.hotel_id AND m.month = month(r.date))))"""
 
 
 _VIEWS = {
@@ -172,6 +192,12 @@ _VIEWS = {
            greatest(0e0, least(1e0, 1e0 - CAST(booked_rooms AS DOUBLE) / total_rooms))
                AS supply_factor
     FROM nights JOIN hotels USING (hotel_id)""",
+    "measured_weather": """
+    SELECT hotel_id, month(recorded_date) AS month, round(avg(weather_score), 9) AS measured
+    FROM price_history GROUP BY ALL""",
+    "measured_demand": """
+    SELECT hotel_id, isodow(recorded_date) - 1 AS weekday, round(avg(demand_score), 9) AS measured
+    FROM price_history GROUP BY ALL""",
     "hotel_year": f"""
     SELECT hotel_id, city, lat, {_AS_OF} + CAST(k AS INTEGER) AS date
     FROM hotels, (SELECT unnest(range(365)) AS k)""",
@@ -180,6 +206,15 @@ _VIEWS = {
     SELECT * FROM (SELECT *, {_distance(*_POINT, "lat", "lon")} AS distance_km FROM hotels)
     WHERE distance_km <= {_RADIUS} ORDER BY star_rating DESC, hotel_id LIMIT 20""",
     "found_weather": _weather_view(f"SELECT *, {_AS_OF} + 1 AS date FROM found"),
+    "offers": f"""
+    SELECT *, {_price("base_price", "weather_score", "demand_score", "supply_factor", "1")}
+               AS raw_price
+    FROM (SELECT w.*, coalesce(s.supply_factor, 1e0) AS supply_factor,
+                 {_demand("w.date", "e.uplift")} AS demand_score
+          FROM found_weather w
+          LEFT JOIN supply s ON s.hotel_id = w.hotel_id AND s.night = w.date
+          LEFT JOIN events_calendar e ON e.city = w.city AND e.date = w.date
+          {_measured_demand("w")})""",
     "forecast_days": f"""
     SELECT hotel_id, name, city, lat, base_price, k AS day_offset,
            {_AS_OF} + CAST(k AS INTEGER) AS date
@@ -192,7 +227,8 @@ _VIEWS = {
                  {_demand("w.date", "e.uplift")} AS demand_score
           FROM forecast_weather w
           LEFT JOIN supply s ON s.hotel_id = w.hotel_id AND s.night = w.date
-          LEFT JOIN events_calendar e ON e.city = w.city AND e.date = w.date)""",
+          LEFT JOIN events_calendar e ON e.city = w.city AND e.date = w.date
+          {_measured_demand("w")})""",
     "detail_weather": _weather_view(f"SELECT *, {_AS_OF} AS date FROM hotels"),
     "ranked_reviews": """
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY hotel_id
@@ -247,6 +283,12 @@ def _with_views(body: str) -> str:
 # --- queries ------------------------------------------------------------------
 
 _LINE = "l_orderkey, l_linenumber, hotel_id"
+_SEARCH = f"""hotel_id, name, star_rating, {_rounded("distance_km", 6)},
+           {_significant("raw_price")},
+           {_rounded("(raw_price - base_price) / base_price * 100e0", 6, "change_pct")},
+           true AS shown_as_rounded, demand_score, supply_factor,
+           CAST(trunc(total_rooms * supply_factor) AS INTEGER) AS available_rooms,
+           weather_score, condition, 'High' AS time_urgency"""
 _STATS = f"""
     SELECT hotel_id, {_significant("avg(price)", "avg_price")},
            {_significant("stddev_samp(price)", "price_volatility")},
@@ -406,12 +448,12 @@ _BODIES = {
            CAST(trunc(lat) AS INTEGER) AS truncated
     FROM hotels""",
     "weather_signal": f"""
-    SELECT hotel_id, {_day("date")}, {_rounded("temp", 9, "temperature")}, rain,
-           weather_score AS score, condition
+    SELECT hotel_id, {_day("date")}, weather_score AS score, condition
     FROM weather_year""",
     "demand_signal": f"""
-    SELECT hotel_id, {_day("y.date", "date")}, {_demand("y.date", "e.uplift")} AS demand_score
-    FROM hotel_year y LEFT JOIN events_calendar e ON e.city = y.city AND e.date = y.date""",
+    SELECT y.hotel_id, {_day("y.date", "date")}, {_demand("y.date", "e.uplift")} AS demand_score
+    FROM hotel_year y LEFT JOIN events_calendar e ON e.city = y.city AND e.date = y.date
+    {_measured_demand("y")}""",
     "hotel_days_grid": f"SELECT hotel_id, day_offset, {_day('date')} FROM forecast_days",
     "history_with_hotels": f"""
     SELECT {_LINE}, city, star_rating, base_price, price
@@ -425,18 +467,12 @@ _BODIES = {
     FROM hotels h LEFT JOIN ranked_reviews r ON r.hotel_id = h.hotel_id""",
     "search_radius": f"""
     SELECT hotel_id, name, star_rating, {_rounded("distance_km", 6)} FROM found""",
-    "search_hotels": f"""
-    SELECT hotel_id, name, star_rating, {_rounded("distance_km", 6)},
-           {_significant(_price("base_price", "weather_score", "demand_score",
-                                "supply_factor", "1"), "raw_price")},
-           demand_score, supply_factor,
-           CAST(trunc(total_rooms * supply_factor) AS INTEGER) AS available_rooms,
-           weather_score, condition, 'High' AS time_urgency
-    FROM (SELECT w.*, coalesce(s.supply_factor, 1e0) AS supply_factor,
-                 {_demand("w.date", "e.uplift")} AS demand_score
-          FROM found_weather w
-          LEFT JOIN supply s ON s.hotel_id = w.hotel_id AND s.night = w.date
-          LEFT JOIN events_calendar e ON e.city = w.city AND e.date = w.date)""",
+    "search_hotels": f"SELECT {_SEARCH} FROM offers",
+    "search_document": f"""
+    SELECT {_SEARCH}, least(total, 7) AS total, place - 1 AS position
+    FROM (SELECT *, count(*) OVER () AS total,
+                 row_number() OVER (ORDER BY star_rating DESC, hotel_id) AS place FROM offers)
+    WHERE place <= 7""",
     "search_batch": f"""
     SELECT point_id, result_rank, hotel_id, star_rating, {_rounded("distance_km", 4)}
     FROM (SELECT *, row_number() OVER (PARTITION BY point_id
@@ -450,24 +486,24 @@ _BODIES = {
            condition, demand_score, supply_factor
     FROM forecast""",
     "forecast_documents": f"""
-    SELECT hotel_id, name AS hotel_name, count(*) AS days, {_day("min(date)", "first_day")},
-           {_day("max(date)", "last_day")}, max(demand_score) AS peak_demand
-    FROM forecast GROUP BY hotel_id, name""",
+    SELECT hotel_id, name AS hotel_name, count(*) OVER (PARTITION BY hotel_id) AS days,
+           day_offset AS position, {_day("date")}, weather_score, demand_score AS demand, condition
+    FROM forecast""",
     "hotel_detail": f"""
-    SELECT hotel_id, name,
-           CAST(len(from_json(amenities, '["VARCHAR"]')) AS BIGINT) AS amenity_count,
-           review_count, newest_review,
+    SELECT hotel_id, name, array_to_string(from_json(amenities, '["VARCHAR"]'), ',') AS amenities,
+           coalesce(reviews, '') AS reviews, {_rounded("coalesce(ratings, 0e0)", 6, "ratings")},
            {_significant(_price("base_price", "weather_score", "demand_score",
-                                "supply_factor", "1"), "current_price")},
-           demand_score AS current_demand, weather_score
+                                "supply_factor", "1"), "raw_price")},
+           true AS shown_as_rounded, demand_score AS current_demand, weather_score, condition
     FROM (SELECT w.*, coalesce(s.supply_factor, 1e0) AS supply_factor,
-                 {_demand("w.date", "e.uplift")} AS demand_score,
-                 coalesce(r.review_count, 0) AS review_count, newest_review
+                 {_demand("w.date", "e.uplift")} AS demand_score, reviews, ratings
           FROM detail_weather w
           LEFT JOIN supply s ON s.hotel_id = w.hotel_id AND s.night = w.date
           LEFT JOIN events_calendar e ON e.city = w.city AND e.date = w.date
-          LEFT JOIN (SELECT hotel_id, count(*) AS review_count,
-                            max(review_id) FILTER (review_rank = 1) AS newest_review
+          {_measured_demand("w")}
+          LEFT JOIN (SELECT hotel_id, sum(rating) AS ratings,
+                            string_agg(review_id || '/' || reviewer_name || '/' || comment, ','
+                                       ORDER BY review_rank) AS reviews
                      FROM ranked_reviews GROUP BY hotel_id) r ON r.hotel_id = w.hotel_id)""",
     "market_summary": f"SELECT {_MARKET}",
     "market_by_city": f"SELECT city, {_MARKET} GROUP BY city",
@@ -476,12 +512,15 @@ _BODIES = {
     SELECT hotel_id, name, {_rounded("occupancy", 1)}, {_rounded("revenue", 0)},
            star_rating AS stars
     FROM market ORDER BY round(market.revenue, 0) DESC, hotel_id LIMIT 5""",
-    "market_document": """
+    "market_document": f"""
     SELECT (SELECT count(*) FROM market) AS total_hotels,
            (SELECT round(sum(revenue), 0) FROM market) AS total_revenue_estimate,
+           (SELECT count(*) FROM market WHERE tier = 'budget') AS budget,
+           (SELECT count(*) FROM market WHERE tier = 'mid') AS mid,
            (SELECT count(*) FROM market WHERE tier = 'luxury') AS luxury,
-           position - 1 AS position, name
-    FROM (SELECT name, row_number() OVER (ORDER BY round(revenue, 0) DESC, hotel_id) AS position
+           position - 1 AS position, name, {_rounded("occupancy", 1)},
+           {_rounded("revenue", 0)}, star_rating AS stars
+    FROM (SELECT *, row_number() OVER (ORDER BY round(revenue, 0) DESC, hotel_id) AS position
           FROM market)
     WHERE position <= 5""",
     "hotel_stats": _STATS.format(where=""),

@@ -19,6 +19,7 @@ from innsight.operators.audit import integrity_audit as run_audit
 from innsight.operators.demand import with_demand
 from innsight.operators.latest import latest_reviews as newest
 from innsight.operators.lookup import lookup
+from innsight.operators.measured import with_measured
 from innsight.operators.nights import booked_nights as taken_nights
 from innsight.operators.nights import supply_factors
 from innsight.operators.radius import top_within_radius
@@ -305,26 +306,19 @@ def _hotel_year(views: Views) -> DataFrame:
 
 @query
 def weather_signal(views: Views) -> DataFrame:
-    rows = _hotel_year(views).withColumns(
-        {
-            "weather": signals.weather_signal("lat", "date"),
-            "temperature": signals.temperature("lat", "date"),
-            "rain": signals.rain_probability("lat"),
-        }
-    )
-    return rows.select(
-        "hotel_id",
-        _text("date"),
-        *_rounded(9, "temperature"),
-        "rain",
-        "weather.score",
-        "weather.condition",
+    """Measured weather of every hotel on every day of a year."""
+    rows = with_measured(_hotel_year(views), views.price_history)
+    weather = signals.weather_signal("lat", "date", measured_score="measured_weather")
+    return rows.withColumn("weather", weather).select(
+        "hotel_id", _text("date"), "weather.score", "weather.condition"
     )
 
 
 @query
 def demand_signal(views: Views) -> DataFrame:
-    rows = with_demand(_hotel_year(views), views.events_calendar)
+    """Measured demand with the uplift of events."""
+    rows = with_measured(_hotel_year(views), views.price_history)
+    rows = with_demand(rows, views.events_calendar)
     return rows.select("hotel_id", _text("date"), "demand_score")
 
 
@@ -377,15 +371,20 @@ def search_radius(views: Views) -> DataFrame:
     return found.select("hotel_id", "name", "star_rating", *_rounded(6, "distance_km"))
 
 
-@query
-def search_hotels(views: Views) -> DataFrame:
-    found = search.search_hotels(
-        views.hotels,
-        *POINT,
-        RADIUS_KM,
-        as_of=AS_OF,
-        supply=_supply(views),
-        calendar=views.events_calendar,
+def _near(shown, exact, digits: int) -> Column:
+    """Whether a displayed number is the exact one to its digits. Engines round exact
+    halves differently, so the numbers themselves are compared unrounded."""
+    return F.abs(F.col(shown) - exact) <= 0.5 * 10.0**-digits + 1e-9
+
+
+def _search_row(found: DataFrame) -> DataFrame:
+    change = P.raw_price_change("raw_price", "base_price")
+    shown = (
+        _near("optimized_price", F.col("raw_price"), 2)
+        & _near("price_change_pct", P.raw_price_change("optimized_price", "base_price"), 1)
+        & _near("price_factors.weather", F.col("weather.score"), 2)
+        & _near("price_factors.demand", F.col("demand_score"), 2)
+        & _near("price_factors.supply", F.lit(1.0) - F.col("supply_factor"), 2)
     )
     return found.select(
         "hotel_id",
@@ -393,6 +392,8 @@ def search_hotels(views: Views) -> DataFrame:
         "star_rating",
         *_rounded(6, "distance_km"),
         *_significant("raw_price"),
+        F.round(change, 6).alias("change_pct"),
+        shown.alias("shown_as_rounded"),
         "demand_score",
         "supply_factor",
         "available_rooms",
@@ -402,6 +403,35 @@ def search_hotels(views: Views) -> DataFrame:
     )
 
 
+def _found(views: Views, limit: int = C.SEARCH_LIMIT) -> DataFrame:
+    return search.search_hotels(
+        views.hotels,
+        *POINT,
+        RADIUS_KM,
+        limit=limit,
+        as_of=AS_OF,
+        bookings=views.bookings,
+        calendar=views.events_calendar,
+        history=views.price_history,
+    )
+
+
+@query
+def search_hotels(views: Views) -> DataFrame:
+    return _search_row(_found(views))
+
+
+@query
+def search_document(views: Views) -> DataFrame:
+    """The nested answer with a limit of its own, one row per entry."""
+    document = search.search_document(_found(views, limit=7))
+    flat = document.select("total", F.posexplode("hotels").alias("position", "hotel"))
+    return _search_row(flat.select("total", "position", "hotel.*")).join(
+        flat.select("hotel.hotel_id", "total", F.col("position").cast("long").alias("position")),
+        "hotel_id",
+    )
+
+
 @query
 def search_batch(views: Views) -> DataFrame:
     found = search.search_batch(views.hotels, views.query_points, BATCH_RADIUS_KM)
@@ -416,7 +446,12 @@ def search_batch(views: Views) -> DataFrame:
 
 def _forecast(views: Views) -> DataFrame:
     return forecast.price_forecast(
-        views.hotels, AS_OF, C.FORECAST_DAYS, _supply(views), views.events_calendar
+        views.hotels,
+        AS_OF,
+        C.FORECAST_DAYS,
+        _supply(views),
+        views.events_calendar,
+        views.price_history,
     )
 
 
@@ -436,32 +471,48 @@ def price_forecast(views: Views) -> DataFrame:
 
 @query
 def forecast_documents(views: Views) -> DataFrame:
-    """The nested day lists, measured: length, first and last day, peak demand."""
+    """The nested day lists, one row per entry with its place in the list."""
     documents = forecast.forecast_documents(_forecast(views))
-    return documents.select(
+    flat = documents.select(
         "hotel_id",
         "hotel_name",
         F.size("forecast").cast("long").alias("days"),
-        F.element_at("forecast", 1)["date"].alias("first_day"),
-        F.element_at("forecast", -1)["date"].alias("last_day"),
-        F.array_max("forecast.demand").alias("peak_demand"),
+        F.posexplode("forecast").alias("position", "day"),
+    )
+    return flat.select(
+        "hotel_id",
+        "hotel_name",
+        "days",
+        F.col("position").cast("long").alias("position"),
+        "day.date",
+        "day.weather_score",
+        "day.demand",
+        "day.condition",
     )
 
 
 @query
 def hotel_detail(views: Views) -> DataFrame:
     rows = detail.hotel_detail(
-        views.hotels, views.reviews, AS_OF, _supply(views), views.events_calendar
+        views.hotels,
+        views.reviews,
+        AS_OF,
+        views.bookings,
+        views.events_calendar,
+        views.price_history,
     )
+    shown = F.transform("reviews", lambda r: F.concat_ws("/", r["review_id"], r["reviewer_name"], r["comment"]))
     return rows.select(
         "hotel_id",
         "name",
-        F.size("amenities").cast("long").alias("amenity_count"),
-        F.size("reviews").cast("long").alias("review_count"),
-        F.element_at("reviews", 1)["review_id"].alias("newest_review"),
-        F.col("raw_price").cast("float").cast("double").alias("current_price"),
+        F.array_join("amenities", ",").alias("amenities"),
+        F.array_join(shown, ",").alias("reviews"),
+        F.round(F.aggregate("reviews", F.lit(0.0), lambda a, r: a + r["rating"]), 6).alias("ratings"),
+        F.col("raw_price").cast("float").cast("double").alias("raw_price"),
+        _near("current_price", F.col("raw_price"), 2).alias("shown_as_rounded"),
         "current_demand",
         F.col("current_weather.score").alias("weather_score"),
+        F.col("current_weather.condition").alias("condition"),
     )
 
 
@@ -497,18 +548,23 @@ def top_hotels(views: Views) -> DataFrame:
 
 @query
 def market_document(views: Views) -> DataFrame:
+    """The nested market answer, one row per hotel of its list."""
     document = market.market_document(_market(views))
-    return document.select(
+    flat = document.select(
         "total_hotels",
         "total_revenue_estimate",
-        F.col("price_distribution.luxury").alias("luxury"),
+        "price_distribution.*",
         F.posexplode("top_hotels").alias("position", "hotel"),
-    ).select(
+    )
+    return flat.select(
         "total_hotels",
         "total_revenue_estimate",
-        "luxury",
+        *market.TIERS,
         F.col("position").cast("long").alias("position"),
         F.col("hotel.name").alias("name"),
+        F.col("hotel.occupancy").alias("occupancy"),
+        F.col("hotel.revenue").alias("revenue"),
+        F.col("hotel.stars").alias("stars"),
     )
 
 

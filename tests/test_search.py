@@ -16,6 +16,11 @@ from innsight.plans.search import search_document, search_hotels
 HERE = (20.2961, 85.8245)
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+
 def python_distance(lat_a, lon_a, lat_b, lon_b):
     a, b = math.radians(lat_a), math.radians(lat_b)
     cosine = math.cos(a) * math.cos(b) * math.cos(math.radians(lon_b - lon_a))
@@ -117,28 +122,54 @@ def test_batch_salted_equals_brute_force(spark, salted):
 
 
 def test_search_prices_only_results(spark):
-    supply = spark.sql("select 1L hotel_id, date'2024-03-05' night, 0.2D supply_factor")
+    stays = spark.sql(
+        "select * from values (1L, date'2024-03-01', date'2024-04-06', 60, 'confirmed'), "
+        "(8L, date'2024-03-01', date'2024-04-06', 9, 'confirmed') "
+        "as t(hotel_id, check_in, check_out, rooms, status)"
+    )
     calendar = spark.sql(
         "select * from values ('Bhubaneswar', date'2024-03-05', 0.3D), "
         "('Bhubaneswar', date'2024-03-05', 0.5D), ('Cuttack', date'2024-03-06', 0.5D) "
         "as t(city, date, uplift)"
     )
     found = search_hotels(
-        hotels(spark), *HERE, 50.0, as_of="2024-03-04", supply=supply, calendar=calendar
+        hotels(spark), *HERE, 50.0, as_of="2024-03-04", bookings=stays, calendar=calendar
     )
+    # one night of the stays found, not of all
+    generated = [x for x in plan_of(found).splitlines() if "explode(sequence" in x]
+    assert generated and all("2024-03-05" in x and "2024-03-06" not in x for x in generated)
+    assert "LeftSemi" in plan_of(found)
     rows = {row.hotel_id: row for row in found.collect()}
     assert set(rows) == {1, 2, 3, 4, 5, 9}
-    assert rows[1].supply_factor == 0.2 and rows[2].supply_factor == 1.0
+    assert rows[1].supply_factor == 0.25 and rows[2].supply_factor == 1.0
     assert rows[1].demand_score == 0.9 and rows[9].demand_score == 0.4
-    assert rows[1].available_rooms == 16 and rows[2].available_rooms == 60
+    assert rows[1].available_rooms == 20 and rows[2].available_rooms == 60
     assert rows[1].price_factors.time_urgency == "High"
     row = rows[1]
     weather = 0.85 + row.weather.score * 0.35
-    expected = 8500 * weather * (0.75 + 0.9**1.4 * 0.65) * (1 + 0.1 * 1.8) * 1.25
+    expected = 8500 * weather * (0.75 + 0.9**1.4 * 0.65) * (1 + 0.05 * 1.8) * 1.25
     assert row.optimized_price == pytest.approx(expected, abs=0.011)
     assert row.price_change_pct == round((row.optimized_price - 8500) / 8500 * 100, 1)
 
 
+def test_measured_signals_replace_modelled_ones(spark):
+    history = spark.sql(
+        "select * from values (1L, date'2023-03-09', 0.5D, 0.2D), (1L, date'2022-03-10', 0.7D, 0.9D), "
+        "(1L, date'2023-03-14', 0.9D, 0.4D), (2L, date'2023-07-04', 0.1D, 0.9D) "
+        "as t(hotel_id, recorded_date, weather_score, demand_score)"
+    )
+    # a Tuesday in March: hotel 1 has both, hotel 2 the weekday only, hotel 3 nothing
+    calendar = spark.sql("select 'Bhubaneswar' city, date'2024-03-05' date, 0.3D uplift")
+    plain = {r.hotel_id: r for r in search_hotels(hotels(spark), *HERE, 50.0, as_of="2024-03-04").collect()}
+    found = search_hotels(hotels(spark), *HERE, 50.0, as_of="2024-03-04", history=history, calendar=calendar)
+    rows = {r.hotel_id: r for r in found.collect()}
+    assert rows[1].weather.score == 0.7 and rows[1].weather.condition == "Partly Cloudy"
+    assert rows[1].demand_score == pytest.approx(0.7) and rows[2].demand_score == 1.0
+    assert rows[2].weather == plain[2].weather and rows[3].weather == plain[3].weather
+    assert rows[3].demand_score == pytest.approx(plain[3].demand_score + 0.3)
+    assert "measured_weather" not in found.columns
+
+
 def test_search_document(spark):
     document = search_document(search_hotels(hotels(spark), as_of="2024-03-04")).first()
     assert document.total == 6
