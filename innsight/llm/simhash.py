@@ -14,7 +14,7 @@ from itertools import combinations
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -157,21 +157,24 @@ def drop_near_duplicates(
     """``docs`` with one document of each component: the one with the smallest id
     (null last), among equal ids the one with the smallest row hash. Rows equal in
     id and text are one document and stay as one row."""
-    row = F.xxhash64(F.col(doc_id), F.col(text)).alias("__row_hash")
+    value = F.col(text).cast("string")
+    row = {"__hash": F.xxhash64(F.col(doc_id), value), "__check": F.hash(value, F.col(doc_id))}
+    key = list(row)
     own = docs.select(
-        F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), row
+        F.col(doc_id).alias("doc_id"), value.alias("text"), *[c.alias(n) for n, c in row.items()]
     )
     prints = stage_table(with_fingerprint(own, "text", shingle).drop("text"), "fingerprints")
     roots = _groups(prints, max_bits, segments)
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row_hash")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *key)
     best = prints.groupBy("fingerprint").agg(F.min(order).alias("best"))
     rooted = best.join(roots, "fingerprint", "left").withColumn(
         "root", F.coalesce("root", "fingerprint")
     )
-    kept = rooted.groupBy("root").agg(F.min("best").alias("best")).select("best.__row_hash")
-    times = prints.groupBy("__row_hash").agg(F.count(F.lit(1)).alias("__row_times"))
-    kept = stage_table(kept.distinct().join(times, "__row_hash"), "kept_documents")
-    found = docs.withColumn("__row_hash", row).join(kept, "__row_hash")
-    once = found.where("__row_times = 1")
-    again = found.where("__row_times > 1").dropDuplicates(["__row_hash"])
-    return once.unionByName(again).select(*docs.columns)
+    kept = rooted.groupBy("root").agg(F.min("best").alias("best"))
+    kept = stage_table(kept.select(*[f"best.{n}" for n in key]).distinct(), "kept_documents")
+    # one of equal rows, limited to one a task before the shuffle; the join that follows
+    # finds the rows where they are
+    same = Window.partitionBy(*key).orderBy(*key)
+    once = docs.withColumns(row).withColumn("__number", F.row_number().over(same))
+    once = once.where("__number <= 1").drop("__number")
+    return once.join(kept, key, "left_semi").select(*docs.columns)
