@@ -12,7 +12,17 @@ from innsight.functions import constants as C
 from innsight.functions.features import with_features
 from innsight.plans.history import with_hotel_columns
 
-SPLIT_KEYS = ("hotel_id", "recorded_date", "price", "weather_score", "demand_score")
+#: Columns that the training, its split and the reports read; no others are stored.
+KEPT = (
+    "hotel_id",
+    "city",
+    "recorded_date",
+    "price",
+    "occupancy_rate",
+    "weather_score",
+    "demand_score",
+)
+PARTITIONS = 64  # of the training rows
 
 
 def feature_table(history: DataFrame, hotels: DataFrame, city: str | None = None) -> DataFrame:
@@ -25,34 +35,61 @@ def complete(features: DataFrame) -> DataFrame:
     return features.dropna(subset=[*C.FEATURES, C.LABEL])
 
 
-def in_training(keys: tuple[str, ...] = SPLIT_KEYS) -> Column:
-    """Whether a row belongs to the training part, from a hash of its values: the
-    answer does not depend on partitioning, and equal rows stay on one side."""
-    return F.pmod(F.xxhash64(*keys), F.lit(100)) < C.TRAIN_PERCENT
+def training_columns(features: DataFrame) -> DataFrame:
+    """What has to be stored of the feature table."""
+    return features.select(*dict.fromkeys([*KEPT, *C.FEATURES, C.LABEL]))
 
 
-def _spread(rows: DataFrame) -> DataFrame:
-    """At least one partition per core. Training goes over its rows many times, so
-    rows that come from a few file splits are spread once; larger inputs keep
-    theirs."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+def in_training() -> Column:
+    """Whether a row belongs to the training part: a bucket of the md5 of its hotel,
+    date and price in cents. The answer does not depend on partitioning, equal rows
+    stay on one side, and any other engine can repeat it."""
+    cents = F.floor(F.col("price") * F.lit(100.0)).cast("string")
+    date = F.date_format("recorded_date", "yyyy-MM-dd")
+    text = F.concat_ws("|", F.col("hotel_id").cast("string"), date, cents)
+    bucket = F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("long")
+    return bucket % F.lit(100) < C.TRAIN_PERCENT
 
 
-def train_price_model(features: DataFrame, **forest) -> PipelineModel:
+def _laid_out(rows: DataFrame, partitions: int) -> DataFrame:
+    """The training rows by a hash of their values, sorted within each partition. The
+    forest draws its samples by partition, so the layout is a parameter of the model:
+    with it the same rows give the same model on any cluster."""
+    return rows.repartition(partitions, *rows.columns).sortWithinPartitions(*rows.columns)
+
+
+def assembler() -> VectorAssembler:
+    """The features as one vector; rows without one of them are left out."""
+    return VectorAssembler(
+        inputCols=list(C.FEATURES), outputCol="features", handleInvalid="skip"
+    )
+
+
+def train_price_model(
+    features: DataFrame, partitions: int = PARTITIONS, **forest
+) -> PipelineModel:
     """Fits the pipeline on the training part.
 
     ``features`` is read in several passes, so it should be a stored table (see
-    ``stage_table``), not a join. ``forest`` overrides parameters of the regressor,
-    for example ``maxMemoryInMB`` on large clusters.
+    ``scratch_tables``), not a join. ``partitions`` lays the rows out and belongs to
+    the model; larger inputs want more. ``forest`` overrides parameters of the
+    regressor, for example ``maxMemoryInMB`` on large clusters.
     """
     parameters = {"numTrees": C.TREES, "maxDepth": C.TREE_DEPTH, "seed": C.SEED} | forest
-    assembler = VectorAssembler(
-        inputCols=list(C.FEATURES), outputCol="features", handleInvalid="skip"
-    )
     regressor = RandomForestRegressor(featuresCol="features", labelCol=C.LABEL, **parameters)
     train = complete(features).where(in_training()).select(*C.FEATURES, C.LABEL)
-    return Pipeline(stages=[assembler, regressor]).fit(_spread(train))
+    return Pipeline(stages=[assembler(), regressor]).fit(_laid_out(train, partitions))
+
+
+def mean_ratio_prediction(features: DataFrame) -> DataFrame:
+    """The complete rows with a plain prediction to compare a model with: the mean
+    ratio of the hotel's training rows, or of all where it has none."""
+    rows = complete(features)
+    train = rows.where(in_training())
+    own = train.groupBy("hotel_id").agg(F.avg(C.LABEL).alias("own_mean"))
+    overall = train.agg(F.avg(C.LABEL)).scalar()
+    joined = rows.join(own, "hotel_id", "left")
+    return joined.withColumn("prediction", F.coalesce("own_mean", overall)).drop("own_mean")
 
 
 def predict(model: PipelineModel, features: DataFrame) -> DataFrame:

@@ -16,18 +16,22 @@ from innsight.plans.model import (
     predict,
     price_adjustment,
     train_price_model,
+    training_columns,
 )
-from innsight.sources.scratch import stage_table
+from innsight.sources.scratch import scratch_tables
 
 
 @dataclass(frozen=True)
 class Optimisation:
-    """Results of one job; every frame is lazy and distributed. ``model`` and the
-    frames that need it are None when there are no rows to train on."""
+    """Results of one job; every frame is lazy and distributed. ``overall`` and
+    ``quality`` (by city) are measured, and ``adjustments`` drawn, on the rows held
+    out. ``model`` and the frames that need it are None when there are no rows to
+    train on."""
 
     summary: DataFrame
     stats: DataFrame
     model: PipelineModel | None
+    overall: DataFrame | None
     quality: DataFrame | None
     adjustments: DataFrame | None
 
@@ -37,21 +41,24 @@ def optimise(
 ) -> Optimisation:
     """Runs the job for one city or for all cities at once.
 
-    The feature table feeds the statistics, the training passes and the scoring,
-    so it is written once to the shared folder instead of being joined again for
-    each. An unknown city gives empty results.
+    The columns that training reads are written to the shared folder for its many
+    passes and deleted when it is done. Statistics and scoring are single passes and
+    read the tables themselves. An unknown city gives empty results.
     """
-    features = stage_table(feature_table(history, hotels, city), "features")
-    stats = price_statistics(features)  # the staged rows are those of known hotels
+    features = feature_table(history, hotels, city)
+    stats = price_statistics(features)  # rows of known hotels only
     summary = run_summary(features)
-    if complete(features).where(in_training()).isEmpty():
-        return Optimisation(summary, stats, None, None, None)
-    model = train_price_model(features, **forest)
+    with scratch_tables(history.sparkSession, "features") as stage:
+        stored = stage(training_columns(features))
+        if complete(stored).where(in_training()).isEmpty():
+            return Optimisation(summary, stats, None, None, None, None)
+        model = train_price_model(stored, **forest)
     held_out = predict(model, features.where(~in_training()))
     return Optimisation(
         summary=summary,
         stats=stats,
         model=model,
+        overall=evaluate(held_out),
         quality=evaluate(held_out, ["city"]),
-        adjustments=price_adjustment(predict(model, features), ["hotel_id"]),
+        adjustments=price_adjustment(held_out, ["hotel_id"]),
     )

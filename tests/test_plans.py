@@ -389,6 +389,24 @@ def test_model_and_its_quality(spark):
         assert row.adjustment_pct == pytest.approx(expected)
 
 
+def test_layout_decides_on_the_model_not_the_partitions(spark):
+    features = model.feature_table(history(spark, random_history(1200)), hotels(spark))
+    texts = set()
+    for frame in (features.coalesce(1), features.repartition(7), features.orderBy("price")):
+        fitted = model.train_price_model(frame, partitions=5, numTrees=6)
+        texts.add(fitted.stages[-1].toDebugString.split("\n", 1)[1])
+    assert len(texts) == 1
+
+
+def test_training_leaves_no_folder(spark, tmp_path):
+    import os
+
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(shared))
+    optimise(history(spark, random_history(300)), hotels(spark), numTrees=2).overall.collect()
+    assert set(os.listdir(shared)) == before
+
+
 def test_optimisation_job(spark):
     df = history(spark, random_history(1500))
     result = optimise(df, hotels(spark), numTrees=5)
@@ -396,7 +414,11 @@ def test_optimisation_job(spark):
     direct = {r.hotel_id: r.avg_price for r in H.hotel_stats(df, hotels(spark)).collect()}
     assert stats == pytest.approx(direct)
     assert {r.city for r in result.quality.collect()} <= {row[1] for row in HOTELS}
-    assert result.adjustments.count() == len(stats)
+    held_out = df.where(~model.in_training()).select("hotel_id").distinct().count()
+    assert result.adjustments.count() == held_out <= len(stats)
+    overall = result.overall.first()
+    assert overall.records == sum(r.records for r in result.quality.collect())
+    assert overall.rmse > 0 and overall.r2 < 1
     assert result.summary.first().records_processed == 1500
     one = optimise(df, hotels(spark), "Puri", numTrees=5)
     assert {r.hotel_id for r in one.stats.collect()} <= {6, 7, 8}
