@@ -39,21 +39,40 @@ def repeated_keys(df: DataFrame, table: str, key: list[str]) -> DataFrame:
     return _finding(surplus, table, "repeated", ",".join(key))
 
 
-def orphan_rows(
-    child: DataFrame, table: str, column: str, parent: DataFrame, parent_key: str
+def column_checks(
+    df: DataFrame,
+    table: str,
+    column: str,
+    checks: list[str],
+    parents: DataFrame | None = None,
 ) -> DataFrame:
-    """Rows whose parent does not exist. The child is counted per key first, so a
-    key that holds most rows enters the join as one row; null keys have no parent
-    to miss."""
-    counts = (
-        child.where(F.col(column).isNotNull())
-        .groupBy(F.col(column).alias("parent_key"))
-        .agg(F.count(F.lit(1)).alias("children"))
+    """All checks of one column from one count per value: ``missing`` (no value),
+    ``repeated`` (rows beyond the first of a value) and ``orphan`` (a value that the
+    single column of ``parents`` does not hold; null has no parent to miss).
+
+    The rows are counted per value ahead of the shuffle, so a value that holds most
+    of them enters the join as one row.
+    """
+    value, n = F.col("value"), F.col("n")
+    counts = df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    known = F.lit(True)
+    if parents is not None:
+        held = parents.toDF("value").distinct().withColumn("known", F.lit(True))
+        counts = counts.join(held, "value", "left")
+        known = F.col("known")
+    violations = {
+        "missing": F.when(value.isNull(), n),
+        "repeated": n - 1,
+        "orphan": F.when(value.isNotNull() & known.isNull(), n),
+    }
+    summed = counts.agg(*[F.coalesce(F.sum(violations[c]), F.lit(0)).alias(c) for c in checks])
+    long = summed.unpivot([], checks, "check_name", "violations")
+    return long.select(
+        F.lit(table).alias("table_name"),
+        "check_name",
+        F.lit(column).alias("column_name"),
+        F.col("violations").cast("long").alias("violations"),
     )
-    parents = parent.select(F.col(parent_key).alias("parent_key"))
-    lost = counts.join(parents, "parent_key", "left_anti")
-    total = lost.agg(F.coalesce(F.sum("children"), F.lit(0)).alias("violations"))
-    return _finding(total, table, "orphan", column)
 
 
 def integrity_audit(
@@ -62,18 +81,32 @@ def integrity_audit(
     keys: Mapping[str, list[list[str]]],
     parents: Mapping[str, Mapping[str, tuple[str, str]]],
 ) -> DataFrame:
-    """All checks on all tables: (table_name, check_name, column_name, violations)."""
+    """All checks on all tables: (table_name, check_name, column_name, violations).
+
+    A table is read once for each column that is a key or has a parent, with all
+    checks of that column, once for each key of several columns, and once for all
+    other required columns together.
+    """
     findings = []
-    for table, columns in required.items():
-        if columns:
-            findings.append(null_counts(tables[table], table, columns))
-    for table, table_keys in keys.items():
-        findings += [repeated_keys(tables[table], table, key) for key in table_keys]
-    for table, references in parents.items():
-        for column, (parent, parent_key) in references.items():
-            findings.append(
-                orphan_rows(tables[table], table, column, tables[parent], parent_key)
-            )
+    for table in dict.fromkeys([*required, *keys, *parents]):
+        df, references = tables[table], parents.get(table, {})
+        single = [key[0] for key in keys.get(table, []) if len(key) == 1]
+        counted = dict.fromkeys([*single, *references])
+        for column in counted:
+            checks = ["missing"] if column in required.get(table, []) else []
+            checks += ["repeated"] if column in single else []
+            held = None
+            if column in references:
+                parent, parent_key = references[column]
+                checks.append("orphan")
+                held = tables[parent].select(parent_key)
+            findings.append(column_checks(df, table, column, checks, held))
+        rest = [name for name in required.get(table, []) if name not in counted]
+        if rest:
+            findings.append(null_counts(df, table, rest))
+        findings += [
+            repeated_keys(df, table, key) for key in keys.get(table, []) if len(key) > 1
+        ]
     return reduce(DataFrame.unionByName, findings)
 
 

@@ -361,10 +361,21 @@ _AUDIT = "\nUNION ALL ".join(
     [
         *[
             _missing("hotels", name)
-            for name in ("name", "city", "lat", "lon", "base_price", "total_rooms")
+            for name in (
+                "name",
+                "city",
+                "lat",
+                "lon",
+                "star_rating",
+                "base_price",
+                "total_rooms",
+            )
         ],
         *[_missing("reviews", name) for name in ("hotel_id", "rating")],
         *[_missing("bookings", name) for name in ("hotel_id", "check_in", "status")],
+        _missing("price_history", "hotel_id"),
+        _repeated("reviews", "review_id"),
+        _orphan("bookings", "hotel_id", "hotels", "hotel_id"),
         _repeated("hotels", "hotel_id"),
         _repeated("bookings", "booking_id"),
         _repeated("price_history", "l_orderkey", "l_linenumber"),

@@ -27,6 +27,7 @@ from innsight.operators.radius import top_within_radius
 from innsight.plans import bookings as booking_plans
 from innsight.plans import detail, forecast, history, market, model, optimisation, search
 from innsight.registry.views import Views
+from innsight.sources.schemas import TABLES
 from innsight.sources.scratch import scratch_folder
 from innsight.sources.tables import (
     from_json_documents,
@@ -715,8 +716,8 @@ def early_bird_value(views: Views) -> DataFrame:
 
 @query
 def integrity_audit(views: Views) -> DataFrame:
-    """The views, and the generic tables whose keys are known to repeat or to miss
-    their parents."""
+    """The declared rules of the stored tables on their views, and further keys of the
+    generic tables that are known to repeat or to miss their parents."""
     tables = {
         "hotels": views.hotels,
         "reviews": views.reviews,
@@ -727,29 +728,27 @@ def integrity_audit(views: Views) -> DataFrame:
         "customer": views.table("customer"),
         "events": views.table("events"),
     }
-    return run_audit(
-        tables,
-        required={
-            "hotels": ["name", "city", "lat", "lon", "base_price", "total_rooms"],
-            "reviews": ["hotel_id", "rating"],
-            "bookings": ["hotel_id", "check_in", "status"],
-        },
-        keys={
-            "hotels": [["hotel_id"]],
-            "bookings": [["booking_id"]],
-            "price_history": [["l_orderkey", "l_linenumber"], ["hotel_id", "recorded_date"]],
-        },
-        parents={
-            "reviews": {"hotel_id": ("hotels", "hotel_id")},
-            "price_history": {
-                "hotel_id": ("hotels", "hotel_id"),
-                "l_orderkey": ("bookings", "booking_id"),
-            },
-            "bookings": {"guest_id": ("customer", "c_custkey")},
-            "events": {"user_id": ("hotels", "hotel_id")},
-            "documents": {"doc_id": ("labels", "doc_id")},
-        },
-    )
+    declared = {name: TABLES[name] for name in ("hotels", "reviews", "bookings", "price_history")}
+    required = {
+        name: [c for c in rule.required if c in tables[name].columns]
+        for name, rule in declared.items()
+    }
+    keys = {
+        name: [[rule.key_alias]]
+        for name, rule in declared.items()
+        if rule.key_alias in tables[name].columns
+    }
+    parents = {
+        name: {column: (parent, "hotel_id") for column, (parent, _) in rule.parents.items()}
+        for name, rule in declared.items()
+    }
+    required["bookings"] += ["check_in", "status"]
+    keys["price_history"] = [["l_orderkey", "l_linenumber"], ["hotel_id", "recorded_date"]]
+    parents["price_history"]["l_orderkey"] = ("bookings", "booking_id")
+    parents["bookings"]["guest_id"] = ("customer", "c_custkey")
+    parents["events"] = {"user_id": ("hotels", "hotel_id")}
+    parents["documents"] = {"doc_id": ("labels", "doc_id")}
+    return run_audit(tables, required, keys, parents)
 
 
 # --- model --------------------------------------------------------------------
