@@ -41,8 +41,9 @@ def market_summary(market: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def market_tiers(market: DataFrame) -> DataFrame:
-    """The tier counts as rows."""
-    return market.groupBy("tier").agg(F.count(F.lit(1)).alias("hotels"))
+    """The tier counts as rows; a tier without hotels has zero."""
+    counts = market.agg(*[F.count_if(F.col("tier") == name).alias(name) for name in TIERS])
+    return counts.unpivot([], list(TIERS), "tier", "hotels")
 
 
 def top_hotels(market: DataFrame, k: int = C.MARKET_TOP) -> DataFrame:

@@ -531,7 +531,9 @@ _BODIES = {
                      FROM ranked_reviews GROUP BY hotel_id) r ON r.hotel_id = w.hotel_id)""",
     "market_summary": f"SELECT {_MARKET}",
     "market_by_city": f"SELECT city, {_MARKET} GROUP BY city",
-    "market_tiers": "SELECT tier, count(*) AS hotels FROM market GROUP BY tier",
+    "market_tiers": """
+    SELECT tier, (SELECT count(*) FROM market m WHERE m.tier = t.tier) AS hotels
+    FROM (VALUES ('budget'), ('mid'), ('luxury')) t(tier)""",
     "top_hotels": f"""
     SELECT hotel_id, name, {_rounded("occupancy", 1)}, {_rounded("revenue", 0)},
            star_rating AS stars

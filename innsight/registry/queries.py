@@ -855,7 +855,9 @@ def price_adjustment(views: Views) -> DataFrame:
 
 @query
 def stream_reprice(views: Views) -> DataFrame:
-    priced = run_append(reprice(views.signals(views.event_stream()), views.hotels), "reprice")
+    hotels = views.hotels
+    stream = views.signals(views.event_stream())
+    priced = run_append(stream, "reprice", lambda batch: reprice(batch, hotels))
     return priced.select(
         "signal_id", "hotel_id", "city", _moment("event_time"), *_rounded(4, "raw_price")
     )

@@ -2,24 +2,41 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from innsight.sources.scratch import scratch_folder
 
 
-def append_to_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Appends rows to a parquet folder; the file sink's log makes it exactly once."""
+Transform = Callable[[DataFrame], DataFrame]
+
+
+def _run(stream: DataFrame, write: Callable, mode: str, checkpoint: str) -> StreamingQuery:
     return (
-        stream.writeStream.format("parquet")
-        .outputMode("append")
+        stream.writeStream.foreachBatch(write)
+        .outputMode(mode)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .start(path)
+        .start()
     )
 
 
+def append_to_table(
+    stream: DataFrame, path: str, checkpoint: str, transform: Transform = lambda batch: batch
+) -> StreamingQuery:
+    """Appends the transformed rows of every micro-batch in a folder of its own. A
+    batch that is run again replaces its folder, so failures leave no double rows."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        transform(batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return _run(stream, write, "append", checkpoint)
+
+
 def update_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Writes the changed rows of every micro-batch to a folder of its own. A batch
     that is run again replaces its folder, so failures leave no double rows."""
@@ -27,29 +44,58 @@ def update_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuer
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    return (
-        stream.writeStream.foreachBatch(write)
-        .outputMode("update")
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return _run(stream, write, "update", checkpoint)
 
 
 def read_updated(spark: SparkSession, path: str, stream: DataFrame, keys: list[str]) -> DataFrame:
     """The newest version of every key that ``update_table`` has written."""
     values = [name for name in stream.columns if name not in keys]
-    versions = spark.read.schema(stream.schema.add("batch_id", "long")).parquet(path)
+    # a schema's own add() would change that of the stream
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch_id", T.LongType())])
+    versions = spark.read.schema(schema).parquet(path)
     newest = F.max_by(F.struct(*values), "batch_id").alias("newest")
     return versions.groupBy(*keys).agg(newest).select(*keys, "newest.*")
 
 
-def run_append(stream: DataFrame, name: str) -> DataFrame:
+def compact_updates(spark: SparkSession, path: str, stream: DataFrame, keys: list[str]) -> None:
+    """Replaces all batches that ``update_table`` has written by one with the newest
+    version of every key, so that the folder grows with the keys and not with time.
+
+    For use between runs of the stream. The new batch has a number below all that
+    follow and is complete before the old ones go; a reader in between sees both,
+    which gives the same rows.
+    """
+    conf = spark._jsc.hadoopConfiguration()
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(conf)
+    found = [f.getPath() for f in files.listStatus(root)]
+    old = [p for p in found if p.getName().startswith("batch_id=")]
+    if len(old) < 2:
+        return
+    last = max(int(p.getName().split("=")[1]) for p in old)
+    side = spark._jvm.org.apache.hadoop.fs.Path(f"{path}-compacted")
+    read_updated(spark, path, stream, keys).write.mode("overwrite").parquet(side.toString())
+    # the newest batch's number, as a part of its own: equal versions are equal rows
+    kept = [p for p in old if p.getName() != f"batch_id={last}"]
+    target = spark._jvm.org.apache.hadoop.fs.Path(root, f"batch_id={last}")
+    for part in files.listStatus(side):
+        if part.getPath().getName().startswith("part-"):
+            name = f"compacted-{part.getPath().getName()}"
+            files.rename(part.getPath(), spark._jvm.org.apache.hadoop.fs.Path(target, name))
+    for p in kept:
+        files.delete(p, True)
+    files.delete(side, True)
+
+
+def run_append(
+    stream: DataFrame, name: str, transform: Transform = lambda batch: batch
+) -> DataFrame:
     """Processes all available input in append mode and returns the result."""
     spark = stream.sparkSession
     folder = scratch_folder(spark, name)
-    append_to_table(stream, f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+    query = append_to_table(stream, f"{folder}/rows", f"{folder}/checkpoint", transform)
+    query.awaitTermination()
+    return spark.read.parquet(f"{folder}/rows").drop("batch_id")
 
 
 def run_update(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
@@ -57,4 +103,5 @@ def run_update(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
     spark = stream.sparkSession
     folder = scratch_folder(spark, name)
     update_table(stream, f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
+    compact_updates(spark, f"{folder}/rows", stream, keys)
     return read_updated(spark, f"{folder}/rows", stream, keys)

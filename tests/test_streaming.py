@@ -1,14 +1,15 @@
 import datetime as dt
+import os
 
 import pytest
-from data import hotels
+from data import HOTELS, hotels
 from pyspark.sql import functions as F
 
 from innsight.functions.pricing import dynamic_price
 from innsight.sources.schemas import SIGNAL_STREAM
 from innsight.streaming.demand import demand_windows
 from innsight.streaming.reprice import reprice
-from innsight.streaming.sinks import read_updated, run_append, run_update, update_table
+from innsight.streaming.sinks import compact_updates, read_updated, run_append, run_update, update_table
 
 EVENTS = "hotel_id long, event_time timestamp, value double"
 KEYS = ["hotel_id", "window_start", "window_end"]
@@ -40,7 +41,13 @@ def test_reprice_stream_equals_batch(spark, tmp_path, way, request):
         for i in range(200)
     ]
     add_file(spark, folder, rows, SIGNAL_STREAM)
-    streamed = run_append(reprice(stream(spark, folder, SIGNAL_STREAM), hotels(spark)), "reprice")
+    known = hotels(spark)
+    streamed = run_append(
+        stream(spark, folder, SIGNAL_STREAM), "reprice", lambda batch: reprice(batch, known)
+    )
+    lost = streamed.where("price is null")
+    assert lost.count() == sum(r[0] not in {h[0] for h in HOTELS} for r in rows) > 0
+    streamed = streamed.where("price is not null")
     batch = spark.read.parquet(folder).join(hotels(spark), "hotel_id")
     expected = batch.select(
         "hotel_id",
@@ -68,13 +75,20 @@ def test_windows_over_several_batches(spark, tmp_path):
         add_file(spark, folder, rows)
         windows = demand_windows(stream(spark, folder), "1 hour", "1 hour")
         update_table(windows, out, checkpoint).awaitTermination()
-    assert totals(read_updated(spark, out, windows, KEYS)) == {
+    expected = {
         (1, 8): (2, 5.0),
         (2, 8): (1, 2.0),
         (1, 9): (1, 8.0),
         (1, 12): (1, 16.0),
         (1, 11): (1, 64.0),
     }
+    assert totals(read_updated(spark, out, windows, KEYS)) == expected
+    compact_updates(spark, out, windows, KEYS)
+    assert len([n for n in os.listdir(out) if n.startswith("batch_id=")]) == 1
+    assert totals(read_updated(spark, out, windows, KEYS)) == expected
+    add_file(spark, folder, [(1, at(12, 30), 3.0)])  # and the stream goes on
+    update_table(windows, out, checkpoint).awaitTermination()
+    assert totals(read_updated(spark, out, windows, KEYS)) == expected | {(1, 12): (2, 19.0)}
 
 
 def test_windows_equal_batch(spark, tmp_path):
