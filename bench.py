@@ -40,8 +40,12 @@ HEADLINE = (
     "segments",
     "overbooking",
     "early_bird_value",
+    "rolling_weather",
+    "forecast_documents",
+    "write_history_by_month",
     "integrity_audit",
     "model_metrics",
+    "price_adjustment",
     "stream_reprice",
     "stream_demand",
 )

@@ -418,6 +418,7 @@ _BODIES = {
     SELECT {_day("date_trunc('month', recorded_date)", "month_start")}, count(*) AS records,
            {_rounded("sum(occupancy_rate)", 4, "occupancy_total")}, max(price) AS peak_price
     FROM price_history GROUP BY 1""",
+    "json_text": "SELECT hotel_id, name, lat, amenities FROM hotels",
     "json_documents": "SELECT * FROM hotels",
     "price_multipliers": f"""
     SELECT {_LINE}, {_weather_multiplier("weather_score")} AS weather_multiplier,
@@ -433,7 +434,7 @@ _BODIES = {
     "sql_dynamic_price": f"""
     SELECT {_LINE}, {_rounded(_price("base_price", "weather_score", "demand_score",
                                      "supply_factor", "days_ahead"), 4, "price")},
-           {_tier("base_price")} AS tier
+           true AS whole_price_agrees, {_tier("base_price")} AS tier
     FROM price_history JOIN hotels USING (hotel_id)""",
     "history_price": f"SELECT {_LINE}, price FROM price_history",
     "price_change": f"""
@@ -601,6 +602,7 @@ _BODIES = {
     "booked_nights": f"""
     SELECT hotel_id, {_day("night")}, booked_rooms FROM nights
     WHERE night BETWEEN {_AS_OF} AND {_UNTIL}""",
+    "all_booked_nights": f"SELECT hotel_id, {_day('night')}, booked_rooms FROM nights",
     "supply_factor": f"""
     SELECT hotel_id, {_day("night")}, booked_rooms, supply_factor,
            (1e0 - supply_factor) * 100e0 AS occupancy FROM supply""",

@@ -35,6 +35,7 @@ from innsight.sources.tables import (
     load_table,
     to_json_documents,
     with_month,
+    write_json,
     write_table,
 )
 from innsight.streaming.demand import demand_windows
@@ -158,6 +159,18 @@ def write_history_by_month(views: Views) -> DataFrame:
     ).withColumn("month_start", _text("month_start"))
 
 
+@query
+def json_text(views: Views) -> DataFrame:
+    """What was written as JSON, read back as plain text and parsed by path."""
+    path = scratch_folder(views.spark, "json")
+    write_json(views.hotels, path)
+    lines = views.spark.read.text(path)
+    shown = {"hotel_id": "bigint", "name": "string", "lat": "double", "amenities": "string"}
+    return lines.select(
+        *[F.get_json_object("value", f"$.{k}").cast(t).alias(k) for k, t in shown.items()]
+    )
+
+
 @query
 def json_documents(views: Views) -> DataFrame:
     """Hotels to JSON texts and back."""
@@ -203,6 +216,8 @@ def sql_dynamic_price(views: Views) -> DataFrame:
                round(base_price * weather_multiplier(weather_score)
                    * demand_multiplier(demand_score) * scarcity_multiplier(supply_factor)
                    * urgency_multiplier(days_ahead), 4) AS price,
+               abs(dynamic_price(base_price, weather_score, demand_score, supply_factor,
+                                 days_ahead) - raw_price) <= 0.0051 AS whole_price_agrees,
                price_tier(base_price) AS tier
         FROM {rows}
         """,
@@ -667,6 +682,13 @@ def booked_nights(views: Views) -> DataFrame:
     return rows.select("hotel_id", _text("night"), "booked_rooms")
 
 
+@query
+def all_booked_nights(views: Views) -> DataFrame:
+    """Every night of every stay, without a window."""
+    rows = taken_nights(views.bookings)
+    return rows.select("hotel_id", _text("night"), "booked_rooms")
+
+
 @query
 def supply_factor(views: Views) -> DataFrame:
     rows = supply_factors(views.bookings, views.hotels)

@@ -23,9 +23,6 @@ _EVENTS = T.StructType(
     ]
 )
 
-# Reading a file's schema is a job of its own; it is done once per table.
-_SCHEMAS: dict[str, T.StructType] = {}
-
 
 def _base_price(key: str) -> Column:
     return (F.lit(3000) + F.pmod(F.col(key) * 7919, F.lit(42000))).cast("double")
@@ -37,12 +34,14 @@ class Views:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self.schemas: dict[str, T.StructType] = {}
 
     def table(self, name: str) -> DataFrame:
+        """Reading a file's schema is a job of its own; a query does it once per table."""
         path = f"{self.folder}/{name}.parquet"
-        if path not in _SCHEMAS:
-            _SCHEMAS[path] = self.spark.read.parquet(path).schema
-        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
+        if name not in self.schemas:
+            self.schemas[name] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(self.schemas[name]).parquet(path)
 
     def _hotel_number(self, key: str) -> Column:
         """Spreads a key over the hotels; their number comes from a scalar subquery."""
