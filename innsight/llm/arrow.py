@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-PIECE_BYTES = 4 << 20
-BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+PIECE_BYTES = 2 << 20
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 BATCH_DEFAULT = "67108864b"
 
 Work = Callable[[list], list]
@@ -49,13 +49,14 @@ def with_text_columns(
     fields: list[T.StructField],
     make: Callable[[], Work],
     limit: int = PIECE_BYTES,
+    end: Callable[[], None] | None = None,
 ) -> DataFrame:
     """``df`` with columns that a function of the text column computes.
 
     ``make`` runs once in each task and returns the function, which takes a list
     of texts (null: None) and returns a list of values for each field. Fields
     replace columns of the same name; every row stays, in its partition. ``limit`` is
-    the bytes of text that are worked on at once.
+    the bytes of text that are worked on at once; ``end`` runs when a task is done.
     """
     new = {f.name for f in fields}
     kept = [f for f in df.schema if f.name not in new]
@@ -71,6 +72,8 @@ def with_text_columns(
                 columns = [part.column(n) for n in names]
                 columns += [pa.array(v, t) for v, t in zip(made, kinds)]
                 yield pa.RecordBatch.from_arrays(columns, [*names, *(f.name for f in fields)])
+        if end:
+            end()
 
     return map_batches(df, run, schema)
 

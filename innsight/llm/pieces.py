@@ -280,4 +280,8 @@ def encode_texts(
 
         return work
 
-    return with_text_columns(docs, text, fields, make, limit=AT_ONCE)
+    def end():
+        # idle workers stay for a while, and there may be more of them than cores
+        vocabulary(model).older = {}
+
+    return with_text_columns(docs, text, fields, make, limit=AT_ONCE, end=end)
