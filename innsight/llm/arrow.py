@@ -78,5 +78,17 @@ def with_text_columns(
     return map_batches(df, run, schema)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores behind it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        found.append(name)
+    return found
+
+
 def field(name: str, kind: T.DataType) -> T.StructField:
     return T.StructField(name, kind)

@@ -8,7 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from innsight.llm import decontaminate, hmm, pieces, pii, secrets, simhash, suffixes, toxicity, vectors, wordpieces
+from innsight.llm import (
+    decontaminate,
+    hmm,
+    middles,
+    pieces,
+    pii,
+    secrets,
+    simhash,
+    suffixes,
+    toxicity,
+    vectors,
+    wordpieces,
+)
 
 PIECES = "piece_bpe_32k.model"
 PII_KEY = "a key of the test tables"  # a real one comes from the caller
@@ -174,3 +186,49 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM docs LEFT JOIN hit USING (place) LEFT JOIN named USING (place)
 """
+
+
+@query
+def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    made = middles.fill_in_middle(docs)
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(middles.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+ORACLE["op12_fill_in_middle"] = """
+WITH units AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256(concat('7:', doc_id)) AS h,
+    regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') AS u
+  FROM documents
+), drawn AS (
+  SELECT doc_id, t, u, len(u) AS n,
+    ('0x' || substr(h, 1, 8))::BIGINT % (len(u) + 1) AS r1,
+    ('0x' || substr(h, 9, 8))::BIGINT % (len(u) + 1) AS r2,
+    ('0x' || substr(h, 17, 8))::BIGINT % 100 AS r3,
+    ('0x' || substr(h, 25, 8))::BIGINT % 100 AS r4
+  FROM units
+), cut AS (
+  SELECT doc_id, t, n,
+    array_to_string(u[1 : least(r1, r2)], '') AS p,
+    array_to_string(u[least(r1, r2) + 1 : greatest(r1, r2)], '') AS m,
+    array_to_string(u[greatest(r1, r2) + 1 :], '') AS s,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r3 >= 100
+      THEN 'plain' WHEN r4 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn
+)
+SELECT doc_id, n, form,
+  CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN concat('<P>', p, '<S>', s, '<M>', m)
+    ELSE concat('<S>', s, '<P>', p, '<M>', m) END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM cut
+"""
