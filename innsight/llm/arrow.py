@@ -50,6 +50,7 @@ def with_text_columns(
     make: Callable[[], Work],
     limit: int = PIECE_BYTES,
     end: Callable[[], None] | None = None,
+    also: tuple[str, ...] = (),
 ) -> DataFrame:
     """``df`` with columns that a function of the text column computes.
 
@@ -57,6 +58,7 @@ def with_text_columns(
     of texts (null: None) and returns a list of values for each field. Fields
     replace columns of the same name; every row stays, in its partition. ``limit`` is
     the bytes of text that are worked on at once; ``end`` runs when a task is done.
+    The values of the columns ``also`` names are further arguments of the function.
     """
     new = {f.name for f in fields}
     kept = [f for f in df.schema if f.name not in new]
@@ -68,7 +70,7 @@ def with_text_columns(
         work = make()
         for batch in batches:
             for part in pieces(batch, text, limit):
-                made = work(part.column(text).to_pylist())
+                made = work(*(part.column(c).to_pylist() for c in (text, *also)))
                 columns = [part.column(n) for n in names]
                 columns += [pa.array(v, t) for v, t in zip(made, kinds)]
                 yield pa.RecordBatch.from_arrays(columns, [*names, *(f.name for f in fields)])

@@ -14,6 +14,7 @@ from innsight.llm import (
     middles,
     pieces,
     pii,
+    quality,
     secrets,
     simhash,
     suffixes,
@@ -188,6 +189,16 @@ FROM docs LEFT JOIN hit USING (place) LEFT JOIN named USING (place)
 """
 
 
+@query
+def op11_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "n_chars")
+    machine = quality.fit(docs, table(spark, folder, "labels"), numbers=("n_chars",))
+    scored = quality.with_quality(docs, machine, numbers=("n_chars",))
+    return scored.select(
+        "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted"
+    )
+
+
 @query
 def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
