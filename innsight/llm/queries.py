@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from innsight.llm import (
     decontaminate,
+    divergence,
     hmm,
     middles,
     pieces,
@@ -243,3 +244,51 @@ SELECT doc_id, n, form,
   sha256(t) AS restored_sha256
 FROM cut
 """
+
+
+@query
+def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, folder, "documents").select("text", "lang", "source"))
+
+
+ORACLE["op13_source_divergence"] = """
+WITH docs AS (
+  SELECT row_number() OVER () AS place, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents
+), occurring AS (SELECT place, lang, source, unnest(w) AS term FROM docs),
+kept AS (
+  SELECT lang, term, count(*)::HUGEINT AS total FROM occurring GROUP BY lang, term
+  HAVING count(DISTINCT place) >= 3
+), langs AS (SELECT lang, count(*) AS v, sum(total)::HUGEINT AS n_lang FROM kept GROUP BY lang),
+counted AS (
+  SELECT lang, source, term, count(*)::HUGEINT AS c
+  FROM occurring SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term
+), groups AS (
+  SELECT g.lang, g.source, coalesce(v, 0)::HUGEINT AS v, coalesce(n_lang, 0) AS n_lang,
+    coalesce((SELECT sum(c) FROM counted k WHERE k.lang = g.lang AND k.source = g.source), 0)::HUGEINT AS n
+  FROM (SELECT DISTINCT lang, source FROM docs) g LEFT JOIN langs USING (lang)
+), chances AS (
+  SELECT g.lang, g.source, t.term, coalesce(c, 0) AS c,
+    1 + (1000000000::HUGEINT * (coalesce(c, 0) + 1)) // (g.n + g.v) AS p,
+    1 + (1000000000::HUGEINT * (t.total + 1)) // (g.n_lang + g.v) AS q
+  FROM groups g JOIN kept t USING (lang) LEFT JOIN counted USING (lang, source, term)
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
+    coalesce((SELECT sum((x.p - y.p) * (x.p - y.p) // y.p) FROM chances x JOIN chances y
+      ON x.lang = y.lang AND x.term = y.term
+      WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+), terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value
+  FROM chances WHERE c > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part
+    ORDER BY value DESC, encode(item)) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM ranked
+WHERE part = 'pair' OR rank <= 200
+"""

@@ -1,0 +1,154 @@
+import random
+import re
+from collections import Counter, defaultdict
+
+import pyarrow as pa
+import pytest
+from pyspark.sql import types as T
+
+from innsight.llm import divergence as M
+
+
+def plain_audit(rows, top=200, min_docs=3):
+    """The contract, term by term and pair by pair; rows are (lang, source, text)."""
+    lower = {c: c + 32 for c in range(65, 91)}
+    docs = [
+        (a or "", s or "", re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", (t or "").translate(lower)))
+        for a, s, t in rows
+    ]
+    result = []
+    for lang in {d[0] for d in docs}:
+        own = [d for d in docs if d[0] == lang]
+        seen = Counter(t for d in own for t in set(d[2]))
+        kept = {t for t, n in seen.items() if n >= min_docs}
+        counts = {s: Counter() for _, s, _ in own}
+        whole = Counter()
+        for _, s, words in own:
+            some = [w for w in words if w in kept]
+            counts[s].update(some)
+            whole.update(some)
+
+        def p(counter, term):
+            return 1 + 10**9 * (counter[term] + 1) // (sum(counter.values()) + len(kept))
+
+        def ranked(part, values):
+            order = sorted(values, key=lambda v: (-v[1], v[0].encode()))
+            return [(part, *v, i) for i, v in enumerate(order, 1)]
+
+        for s, c in counts.items():
+            pairs = [
+                (o, sum((p(c, t) - p(d, t)) ** 2 // p(d, t) for t in kept))
+                for o, d in counts.items()
+                if o != s
+            ]
+            terms = [
+                (t, (p(c, t) - p(whole, t)) ** 2 // p(whole, t))
+                for t in kept
+                if c[t] and p(c, t) > p(whole, t)
+            ]
+            result += [(lang, s, *r) for r in ranked("pair", pairs)]
+            result += [(lang, s, *r) for r in ranked("term", terms)[:top]]
+    return sorted(result)
+
+
+def table_of(spark, rows, clash=()):
+    names = ["lang", "source", "text", *clash]
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    return spark.createDataFrame([(*r, *("x" for _ in clash)) for r in rows], schema)
+
+
+@pytest.fixture
+def rows(prose):
+    draw = random.Random(3)
+    made = []
+    for i in range(300):
+        # one source and one word hold a third of everything
+        source = "big" if i % 3 == 0 else f"s{i % 17}"
+        text = prose(draw.randint(0, 40)) + " THE" * (i % 9) + f" Straße{i % 40},É{i % 5}x_y"
+        made.append((draw.choice(("en", "de", None)), source, text))
+    made += [(None, None, None), ("en", "", ""), ("xx", "alone", "one word"), ("yy", "a", "1 2 3"),
+             ("yy", "b", None), ("en", "s1", "z" * 20_000), ("de", "s2", prose(20_000))]
+    return made + made[:20]
+
+
+def test_audit_equals_the_contract(spark, rows):
+    for top in (200, 3):
+        df = M.audit_sources(table_of(spark, rows, clash=("p", "value", "TERM", "n", "docs")), top_terms=top)
+        assert df.columns == ["lang", "source", "part", "item", "value", "rank"]
+        assert sorted(tuple(r) for r in df.collect()) == plain_audit(rows, top)
+
+
+def test_columns_by_any_name_and_no_rows(spark, rows):
+    df = table_of(spark, rows).toDF("item", "part", "body")
+    got = M.audit_sources(df, lang="item", source="part", text="body", min_docs=5)
+    assert sorted(tuple(r) for r in got.collect()) == plain_audit(rows, min_docs=5)
+    assert M.audit_sources(table_of(spark, [])).count() == 0
+    rare = [("en", "a", "one two"), ("en", "b", "three"), ("en", "c", None)]
+    got = M.audit_sources(table_of(spark, rare)).collect()
+    assert sorted(tuple(r) for r in got) == plain_audit(rare)
+    assert len(got) == 6 and not any(r["value"] for r in got)
+
+
+def folded(rows, at_once):
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([r[i] or "" for r in rows], pa.string()) for i in range(3)], ["lang", "source", "text"]
+    )
+    parts = (batch.slice(i, at_once) for i in range(0, len(rows), at_once))
+    return [r for b in M.fold_documents(parts) for r in b.to_pylist()]
+
+
+@pytest.mark.parametrize("entries, pending, at_once", [(10, 20, 7), (100, 500, 50), (10**6, 10**6, 400)])
+def test_stripes_that_leave_early_add_up(rows, monkeypatch, entries, pending, at_once):
+    monkeypatch.setattr(M, "ENTRIES", entries)
+    monkeypatch.setattr(M, "PENDING", pending)
+    monkeypatch.setattr(M, "ROWS", 16)
+    stripes = folded(rows, at_once)
+    expected, docs = defaultdict(Counter), Counter()
+    for lang, source, text in rows:
+        words = [w.decode() for w in M.terms_of(text or "")]
+        docs.update((lang or "", w) for w in set(words))
+        for w in words:
+            expected[lang or "", w][source or ""] += 1
+    assert len(stripes) > len(docs) if entries < 10**6 else len(stripes) == len(docs)
+
+    schema = pa.schema(
+        [("lang", pa.string()), ("term", pa.string()), ("docs", pa.int64()),
+         ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))]
+    )
+    stripes.sort(key=lambda r: (r["lang"], r["term"]))
+    ordered = pa.RecordBatch.from_pylist(stripes, schema)
+    parts = (ordered.slice(i, 9) for i in range(0, len(stripes), 9))
+    whole = [r for b in M.merged(parts, 1) for r in b.to_pylist()]
+    assert {(r["lang"], r["term"]): r["docs"] for r in whole} == dict(docs)
+    assert len(whole) == len(docs)
+    for r in whole:
+        assert dict(zip(r["sources"], r["counts"])) == expected[r["lang"], r["term"]]
+
+
+@pytest.mark.parametrize("pairs, sums, at_once", [(4, 3, 5), (1 << 19, 10**6, 1000)])
+def test_pair_sums_in_parts_equal_all_pairs(monkeypatch, pairs, sums, at_once):
+    monkeypatch.setattr(M, "PAIRS", pairs)
+    monkeypatch.setattr(M, "SUMS", sums)
+    draw = random.Random(1)
+    rows, expected = [], Counter()
+    f = lambda p, q: (p - q) ** 2 // q
+    for term in range(60):
+        some = [(f"s{s}", draw.randint(1, 10**9), draw.randint(1, 99)) for s in draw.sample(range(12), 1 + term % 12)]
+        rows += [{"lang": "a", "term": f"{term:03}", "source": s, "p": p, "p0": z} for s, p, z in some]
+        for s, p, y in some:
+            for o, q, z in some:
+                if o != s:
+                    expected["a", s, o] += f(p, q) - f(p, z) - f(y, q) + f(y, z)
+    batch = pa.RecordBatch.from_pylist(rows)
+    got = Counter()
+    for b in M.pair_sums(batch.slice(i, at_once) for i in range(0, len(rows), at_once)):
+        for r in b.to_pylist():
+            got[r["lang"], r["source"], r["item"]] += r["value"]
+    assert got == expected
+
+
+def test_chances_are_exact_for_large_counts(spark):
+    cases = [(0, 0, 1), (7, 10, 3), (10**15, 3 * 10**15 + 1, 10**9 + 7), (10**18, 10**18, 5)]
+    df = spark.createDataFrame(cases, "c long, n long, v long").select("c", "n", "v", M.chance("c", "n", "v").alias("p"))
+    for r in df.collect():
+        assert r["p"] == 1 + 10**9 * (r["c"] + 1) // (r["n"] + r["v"])
