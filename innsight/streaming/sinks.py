@@ -1,4 +1,9 @@
-"""Running a stream over what has arrived and reading its result as a table."""
+"""Running a stream over what has arrived and reading its result as a table.
+
+Every micro-batch is a numbered part of a stored table (see ``sources.parts``). The
+checkpoint may lose the note that a batch is done and run it again; its part counts
+already then, whether by itself or folded into the base, and nothing is written.
+"""
 
 from __future__ import annotations
 
@@ -9,8 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from innsight.sources.parts import PartTable, empty_like
 from innsight.sources.scratch import scratch_folder
 
+NUMBER = "batch_id"  # the column that tells versions of a key apart
 
 Transform = Callable[[DataFrame], DataFrame]
 
@@ -28,74 +35,68 @@ def _run(stream: DataFrame, write: Callable, mode: str, checkpoint: str) -> Stre
 def append_to_table(
     stream: DataFrame, path: str, checkpoint: str, transform: Transform = lambda batch: batch
 ) -> StreamingQuery:
-    """Appends the transformed rows of every micro-batch in a folder of its own. A
-    batch that is run again replaces its folder, so failures leave no double rows."""
+    """Appends the transformed rows of every micro-batch to the table of parts at
+    ``path``. A batch that is run again adds nothing."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        transform(batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        PartTable(batch.sparkSession, path).put(batch_id, transform(batch))
 
     return _run(stream, write, "append", checkpoint)
 
 
 def update_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Writes the changed rows of every micro-batch to a folder of its own. A batch
-    that is run again replaces its folder, so failures leave no double rows."""
+    """Adds the changed rows of every micro-batch, with the batch's number, to the table
+    of parts at ``path``. A batch that is run again adds nothing."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        number = F.lit(batch_id).cast("long")
+        PartTable(batch.sparkSession, path).put(batch_id, batch.withColumn(NUMBER, number))
 
     return _run(stream, write, "update", checkpoint)
 
 
-def read_updated(spark: SparkSession, path: str, stream: DataFrame, keys: list[str]) -> DataFrame:
-    """The newest version of every key that ``update_table`` has written."""
-    values = [name for name in stream.columns if name not in keys]
+def _numbered(stream: DataFrame) -> T.StructType:
     # a schema's own add() would change that of the stream
-    schema = T.StructType([*stream.schema.fields, T.StructField("batch_id", T.LongType())])
-    versions = spark.read.schema(schema).parquet(path)
-    newest = F.max_by(F.struct(*values), "batch_id").alias("newest")
+    return T.StructType([*stream.schema.fields, T.StructField(NUMBER, T.LongType())])
+
+
+def _newest(versions: DataFrame, keys: list[str]) -> DataFrame:
+    values = [name for name in versions.columns if name not in keys]
+    newest = F.max_by(F.struct(*values), NUMBER).alias("newest")
     return versions.groupBy(*keys).agg(newest).select(*keys, "newest.*")
 
 
-def compact_updates(spark: SparkSession, path: str, stream: DataFrame, keys: list[str]) -> None:
-    """Replaces all batches that ``update_table`` has written by one with the newest
-    version of every key, so that the folder grows with the keys and not with time.
+def read_updated(spark: SparkSession, path: str, stream: DataFrame, keys: list[str]) -> DataFrame:
+    """The newest version of every key that ``update_table`` has written; no rows if
+    there was no input yet."""
+    versions = PartTable(spark, path).read(_numbered(stream))
+    return _newest(versions, keys).select(*stream.columns)
+
+
+def compact_updates(spark: SparkSession, path: str, keys: list[str]) -> bool:
+    """Folds what ``update_table`` has written into one base with the newest version of
+    every key, so that the folder grows with the keys and not with time.
 
-    For use between runs of the stream. The new batch has a number below all that
-    follow and is complete before the old ones go; a reader in between sees both,
-    which gives the same rows.
+    The stream may run meanwhile. Versions keep their batch's number, and the manifest
+    keeps the numbers that were folded, so a batch that comes again meets neither the
+    base nor another batch.
     """
-    conf = spark._jsc.hadoopConfiguration()
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = root.getFileSystem(conf)
-    found = [f.getPath() for f in files.listStatus(root)]
-    old = [p for p in found if p.getName().startswith("batch_id=")]
-    if len(old) < 2:
-        return
-    last = max(int(p.getName().split("=")[1]) for p in old)
-    side = spark._jvm.org.apache.hadoop.fs.Path(f"{path}-compacted")
-    read_updated(spark, path, stream, keys).write.mode("overwrite").parquet(side.toString())
-    # the newest batch's number, as a part of its own: equal versions are equal rows
-    kept = [p for p in old if p.getName() != f"batch_id={last}"]
-    target = spark._jvm.org.apache.hadoop.fs.Path(root, f"batch_id={last}")
-    for part in files.listStatus(side):
-        if part.getPath().getName().startswith("part-"):
-            name = f"compacted-{part.getPath().getName()}"
-            files.rename(part.getPath(), spark._jvm.org.apache.hadoop.fs.Path(target, name))
-    for p in kept:
-        files.delete(p, True)
-    files.delete(side, True)
+    return PartTable(spark, path).fold(lambda versions: _newest(versions, keys))
 
 
 def run_append(
     stream: DataFrame, name: str, transform: Transform = lambda batch: batch
 ) -> DataFrame:
-    """Processes all available input in append mode and returns the result."""
+    """Processes all available input in append mode and returns the result; no rows if
+    there is no input yet."""
     spark = stream.sparkSession
     folder = scratch_folder(spark, name)
     query = append_to_table(stream, f"{folder}/rows", f"{folder}/checkpoint", transform)
     query.awaitTermination()
-    return spark.read.parquet(f"{folder}/rows").drop("batch_id")
+    table = PartTable(spark, f"{folder}/rows")
+    if table.state().folders():
+        return table.read()
+    return transform(empty_like(stream))
 
 
 def run_update(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
@@ -103,5 +104,4 @@ def run_update(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
     spark = stream.sparkSession
     folder = scratch_folder(spark, name)
     update_table(stream, f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
-    compact_updates(spark, f"{folder}/rows", stream, keys)
     return read_updated(spark, f"{folder}/rows", stream, keys)

@@ -1,0 +1,107 @@
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from innsight.sources.parts import PartTable, joined
+
+
+def rows(spark, *ids):
+    return spark.createDataFrame([(i,) for i in ids], "id long").coalesce(1)
+
+
+def ids(table):
+    return sorted(r.id for r in table.read().collect())
+
+
+def test_joined_ranges():
+    assert joined([[5, 7], [1, 2], [3, 3], [9, 9], [6, 8]]) == [[1, 3], [5, 9]]
+    assert joined([[4, 5], [1, 2]]) == [[1, 2], [4, 5]]
+    assert joined([]) == []
+
+
+def test_parts_count_once(spark, tmp_path):
+    table = PartTable(spark, str(tmp_path / "t"))
+    with pytest.raises(ValueError):
+        table.read()
+    assert table.read(rows(spark).schema).count() == 0
+    assert table.put(3, rows(spark, 30)) and not table.put(3, rows(spark, 31))
+    assert table.put(5, rows(spark, 50, 51), last=8) and not table.put(6, rows(spark, 9), last=7)
+    with pytest.raises(ValueError):
+        table.put(8, rows(spark, 1), last=9)
+    with pytest.raises(ValueError):
+        table.put(10, rows(spark, 1).select(F.col("id").cast("int")))
+    assert ids(table) == [30, 50, 51]
+    # one part after another covers a range as one would
+    assert table.put(4, rows(spark, 40)) and not table.put(3, rows(spark, 1), last=8)
+
+
+def test_folding_keeps_numbers_and_readers(spark, tmp_path):
+    table = PartTable(spark, str(tmp_path / "t"))
+    for i in range(4):
+        table.put(i, rows(spark, i))
+    begun = table.read()
+    assert table.fold(lambda df: df.where("id <> 2"))
+    assert not table.fold(lambda df: df)
+    assert ids(table) == [0, 1, 3] and begun.count() == 4
+    assert not table.put(2, rows(spark, 2)) and table.put(4, rows(spark, 4))
+    folders = table.state().folders()
+    assert len(folders) == 2 and table.state().folded == [[0, 3]]
+    assert table.fold(lambda df: df) and ids(table) == [0, 1, 3, 4]
+    # the folders before the last folding are gone, the last ones stay for readers
+    left = set(os.listdir(tmp_path / "t" / "data"))
+    assert left == {f.split("/")[1] for f in [*folders, *table.state().folders()]}
+
+
+def test_writers_at_once(spark, tmp_path):
+    path = str(tmp_path / "t")
+    table, other = PartTable(spark, path), PartTable(spark, path)
+    table.put(0, rows(spark, 0))
+    publish = table._publish
+
+    def late(state):
+        # another writer comes first, once
+        table._publish = publish
+        other.put(1, rows(spark, 1))
+        return publish(state)
+
+    table._publish = late
+    assert table.put(2, rows(spark, 2)) and ids(table) == [0, 1, 2]
+
+    def same(state):
+        table._publish = publish
+        other.put(3, rows(spark, 3))
+        return publish(state)
+
+    table._publish = same
+    assert not table.put(3, rows(spark, 33)) and ids(other) == [0, 1, 2, 3]
+
+    def added(state):
+        table._publish = publish
+        other.put(4, rows(spark, 4))
+        return publish(state)
+
+    table._publish = added  # a part that arrives while others are folded stays
+    assert table.fold(lambda df: df.coalesce(1)) and ids(table) == [0, 1, 2, 3, 4]
+    assert table.state().folded == [[0, 3]] and len(table.state().parts) == 1
+
+    def folded(state):
+        table._publish = publish
+        assert other.fold(lambda df: df)
+        return publish(state)
+
+    table._publish = folded  # of two that fold, one gives up
+    assert not table.fold(lambda df: df.limit(0)) and ids(table) == [0, 1, 2, 3, 4]
+
+
+def test_failed_writes_leave_nothing(spark, tmp_path):
+    table = PartTable(spark, str(tmp_path / "t"))
+    table.put(0, rows(spark, 0))
+    broken = rows(spark, 1).select(F.raise_error(F.lit("no")).cast("long").alias("id"))
+    with pytest.raises(Exception, match="no"):
+        table.put(1, broken)
+    assert ids(table) == [0]
+    assert table.put(1, rows(spark, 1)) and ids(table) == [0, 1]
+    for version in range(2, 20):
+        table.put(version, rows(spark, version))
+    assert len(table._versions()) == 10 and len(ids(table)) == 20

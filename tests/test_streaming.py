@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from innsight.functions.pricing import dynamic_price
 from innsight.sources.schemas import SIGNAL_STREAM
+from innsight.sources.parts import PartTable
 from innsight.streaming.demand import demand_windows
 from innsight.streaming.reprice import reprice
 from innsight.streaming.sinks import compact_updates, read_updated, run_append, run_update, update_table
@@ -83,8 +84,8 @@ def test_windows_over_several_batches(spark, tmp_path):
         (1, 11): (1, 64.0),
     }
     assert totals(read_updated(spark, out, windows, KEYS)) == expected
-    compact_updates(spark, out, windows, KEYS)
-    assert len([n for n in os.listdir(out) if n.startswith("batch_id=")]) == 1
+    assert compact_updates(spark, out, KEYS) and not compact_updates(spark, out, KEYS)
+    assert len(PartTable(spark, out).state().folders()) == 1
     assert totals(read_updated(spark, out, windows, KEYS)) == expected
     add_file(spark, folder, [(1, at(12, 30), 3.0)])  # and the stream goes on
     update_table(windows, out, checkpoint).awaitTermination()
@@ -99,3 +100,44 @@ def test_windows_equal_batch(spark, tmp_path):
     batch = demand_windows(spark.read.parquet(folder), "1 hour")
     assert sorted(streamed.collect()) == sorted(batch.collect())
     assert batch.agg(F.sum("events")).first()[0] == 500
+
+
+def test_no_input_yet(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    events = stream(spark, str(tmp_path / "none"))
+    windows = demand_windows(events, "1 hour")
+    counted = run_update(windows, "demand", KEYS)
+    assert counted.columns == windows.columns and counted.count() == 0
+    known = hotels(spark)
+    signals = stream(spark, str(tmp_path / "none"), SIGNAL_STREAM)
+    priced = run_append(signals, "reprice", lambda batch: reprice(batch, known))
+    assert "price" in priced.columns and priced.count() == 0
+
+
+@pytest.mark.parametrize("compact", ["never", "before", "after", "both"])
+@pytest.mark.parametrize("lost", [[1], [0, 1]])
+def test_batches_that_run_again_lose_nothing(spark, tmp_path, compact, lost):
+    """The notes that batches are done get lost; the stream runs them again."""
+    folder, out, checkpoint = (str(tmp_path / name) for name in ("in", "out", "checkpoint"))
+    windows = None
+    for rows in ([(1, at(8), 10.0), (2, at(8), 20.0)], [(2, at(8, 5), 1.0)]):
+        add_file(spark, folder, rows)
+        windows = demand_windows(stream(spark, folder), "1 hour")
+        update_table(windows, out, checkpoint).awaitTermination()
+        if compact == "both":
+            compact_updates(spark, out, KEYS)
+    expected = {(1, 8): (1, 10.0), (2, 8): (2, 21.0)}
+    assert totals(read_updated(spark, out, windows, KEYS)) == expected
+    for batch in lost:
+        os.remove(f"{checkpoint}/commits/{batch}")
+    if compact in ("before", "both"):
+        compact_updates(spark, out, KEYS)
+    windows = demand_windows(stream(spark, folder), "1 hour")
+    update_table(windows, out, checkpoint).awaitTermination()
+    assert totals(read_updated(spark, out, windows, KEYS)) == expected
+    if compact == "after":
+        compact_updates(spark, out, KEYS)
+    add_file(spark, folder, [(1, at(8, 30), 5.0)])
+    windows = demand_windows(stream(spark, folder), "1 hour")
+    update_table(windows, out, checkpoint).awaitTermination()
+    assert totals(read_updated(spark, out, windows, KEYS)) == expected | {(1, 8): (2, 15.0)}
