@@ -10,8 +10,11 @@ from innsight.operators.lookup import lookup, measured_bytes
 from innsight.operators.measured import DIGITS
 
 
-def with_demand(rows: DataFrame, calendar: DataFrame | None, date: str = "date") -> DataFrame:
-    """Adds ``demand_score`` to rows that have ``city`` and a date column.
+def with_demand(
+    rows: DataFrame, calendar: DataFrame | None, date: str = "date", few: bool = False
+) -> DataFrame:
+    """Adds ``demand_score`` to rows that have ``city`` and a date column. ``few`` says that
+    the calendar holds few places and dates, so that it need not be measured.
 
     Several events of one city and day count once, with the largest uplift. Rows may
     have a column measured_demand (see ``with_measured``); where it is not null it
@@ -33,7 +36,7 @@ def with_demand(rows: DataFrame, calendar: DataFrame | None, date: str = "date")
         .agg(F.max("uplift").alias("uplift"))
     )
     # the calendar as it is stored bounds what is drawn from it
-    size = measured_bytes(calendar.select("city", "date", "uplift"))
+    size = 0 if few else measured_bytes(calendar.select("city", "date", "uplift"))
     return (
         lookup(rows, events, ["city", date], "left", salt=["hotel_id"], at_most_bytes=size)
         .withColumn("demand_score", score(F.col("uplift")))

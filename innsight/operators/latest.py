@@ -5,8 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from innsight.sources.scratch import stage_table
+
 GROUP_LIMIT_CONF = "spark.sql.optimizer.windowGroupLimitThreshold"
 PARTS = 64
+LOCAL_ROWS = 1000
+
+
+def local_rows(df: DataFrame, at_most: int) -> DataFrame:
+    """A frame of at most so many rows, computed once for all that reads it: as rows
+    within the plan up to LOCAL_ROWS, as a stored table beyond."""
+    if at_most > LOCAL_ROWS:
+        return stage_table(df, "rows")
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
+
 
 def first_rows(
     df: DataFrame,

@@ -43,7 +43,8 @@ def free_share(booked_rooms, total_rooms) -> Column:
     """Share of rooms free within 0..1. A hotel that has no rooms has none free; where
     the number of rooms is not known, neither is the share."""
     total = F.col(total_rooms)
-    taken = F.try_divide(F.coalesce(booked_rooms, F.lit(0)).cast("double"), total)
+    booked = F.col(booked_rooms) if isinstance(booked_rooms, str) else booked_rooms
+    taken = F.try_divide(F.coalesce(booked, F.lit(0)).cast("double"), total)
     share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(1.0) - taken))
     return F.when(total == 0, F.lit(0.0)).when(total.isNotNull(), share)
 
@@ -64,6 +65,32 @@ def supply_factors(bookings: DataFrame, hotels: DataFrame, first=None, last=None
     )
 
 
+def nights_by_hotel(nights: DataFrame) -> DataFrame:
+    """(hotel_id, booked): the booked nights of a hotel as one map from night to rooms,
+    for nights of a window, which bounds it."""
+    entries = F.collect_list(F.struct("night", "booked_rooms"))
+    return nights.groupBy("hotel_id").agg(F.map_from_entries(entries).alias("booked"))
+
+
+def with_booked(
+    rows: DataFrame, nights: DataFrame, date: str = "date", few: bool = False
+) -> DataFrame:
+    """Adds ``supply_factor`` to rows that have ``hotel_id``, ``total_rooms`` and a date
+    column, from the booked nights of a window; 1 where nothing is booked or the
+    number of rooms is not known.
+
+    The nights join as one row per hotel, so rows of many dates can be generated after
+    this and are not shuffled themselves; rows that have ``booked`` are not joined again.
+    ``few`` says that there are few hotels.
+    """
+    if "booked" not in rows.columns:
+        by_hotel = nights_by_hotel(nights)
+        rows = rows.join(F.broadcast(by_hotel) if few else by_hotel, "hotel_id", "left")
+    taken = F.try_element_at("booked", F.col(date))
+    share = F.when(taken.isNotNull(), free_share(taken, "total_rooms"))
+    return rows.withColumn("supply_factor", F.coalesce(share, F.lit(1.0))).drop("booked")
+
+
 def with_supply(
     rows: DataFrame, supply: DataFrame | None, date: str = "date", default: float = 1.0
 ) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from innsight.functions import constants as C
 from innsight.functions.signals import date_ahead
 from innsight.operators.latest import latest_reviews
-from innsight.operators.nights import supply_factors
+from innsight.operators.measured import measured_profiles
+from innsight.operators.nights import booked_nights
 from innsight.plans.pricing import price_rows
 
 
@@ -42,25 +43,28 @@ def hotel_detail(
     as_of=None,
     bookings: DataFrame | None = None,
     calendar: DataFrame | None = None,
-    history: DataFrame | None = None,
+    sums: DataFrame | None = None,
     k: int = C.DETAIL_REVIEWS,
 ) -> DataFrame:
-    """The profile of all hotels; filter ``hotels`` by id for one, then only its
-    bookings, for the night priced, and its history are aggregated. An unknown id
-    gives an empty frame."""
+    """The profile of all hotels; filter ``hotels`` by id for one. Of the bookings only
+    those of the night priced are read, into one row per hotel. ``sums`` are those of
+    the price history, as kept by a ``SignalSummary``. An unknown id gives an empty
+    frame."""
     today = date_ahead(as_of, F.lit(0))
-    ids = hotels.select("hotel_id")
-    supply = None
+    nights = None
     if bookings is not None:
-        own = bookings.join(ids, "hotel_id", "left_semi")
-        supply = supply_factors(own, hotels, today, today)
-    if history is not None:
-        history = history.join(ids, "hotel_id", "left_semi")
+        # the night's bookings are reduced to one row per hotel before they meet
+        nights = booked_nights(bookings, today, today)
     rows = hotel_reviews(hotels, reviews, k).withColumns(
         {"date": today, "days_ahead": F.lit(1)}
     )
     priced = price_rows(
-        rows, "days_ahead", supply, calendar, span=(today, today), history=history
+        rows,
+        "days_ahead",
+        calendar=calendar,
+        span=(today, today),
+        profiles=None if sums is None else measured_profiles(sums),
+        nights=nights,
     )
     return priced.withColumns(
         {

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from innsight.functions import constants as C
 from innsight.functions.signals import date_ahead, date_text
+from innsight.operators.measured import measured_profiles, with_profiles
+from innsight.operators.nights import booked_nights, nights_by_hotel
 from innsight.plans.pricing import price_rows
 
 
@@ -14,27 +16,30 @@ def price_forecast(
     hotels: DataFrame,
     as_of=None,
     horizon: int = C.FORECAST_DAYS,
-    supply: DataFrame | None = None,
+    bookings: DataFrame | None = None,
     calendar: DataFrame | None = None,
-    history: DataFrame | None = None,
+    sums: DataFrame | None = None,
 ) -> DataFrame:
     """A price for every hotel on each of the next ``horizon`` days.
 
-    The days are generated on the row of the hotel, so without supply, calendar and
-    history nothing is shuffled. Filter ``hotels`` for a single forecast.
+    ``sums`` are those of the price history (see ``signal_sums``), as kept by a
+    ``SignalSummary``. Booked nights and measured signals join as one row per hotel, and
+    the days are generated on that row, so the rows of a forecast are not shuffled.
+    Filter ``hotels`` for a single forecast.
     """
-    offsets = F.sequence(F.lit(0), F.lit(horizon - 1))
-    rows = hotels.select(
-        "hotel_id",
-        "name",
-        "city",
-        "lat",
-        "base_price",
-        F.explode(offsets).alias("day_offset"),
-    ).withColumn("date", date_ahead(as_of, "day_offset"))
     span = (date_ahead(as_of, F.lit(0)), date_ahead(as_of, F.lit(horizon - 1)))
-    priced = price_rows(rows, "day_offset", supply, calendar, span=span, history=history)
-    return priced.withColumn("price", F.round("raw_price", 2))
+    rows = hotels.select("hotel_id", "name", "city", "lat", "base_price", "total_rooms")
+    if bookings is not None:
+        nights = nights_by_hotel(booked_nights(bookings, *span))
+        rows = rows.join(nights, "hotel_id", "left")
+    if sums is not None:
+        rows = with_profiles(rows, measured_profiles(sums))
+    offsets = F.sequence(F.lit(0), F.lit(horizon - 1))
+    days = rows.withColumn("day_offset", F.explode(offsets)).withColumn(
+        "date", date_ahead(as_of, "day_offset")
+    )
+    priced = price_rows(days, "day_offset", calendar=calendar, span=span)
+    return priced.drop("total_rooms").withColumn("price", F.round("raw_price", 2))
 
 
 def forecast_documents(forecast: DataFrame) -> DataFrame:

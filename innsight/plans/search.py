@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from innsight.functions import constants as C
 from innsight.functions import pricing as P
 from innsight.functions.signals import date_ahead
-from innsight.operators.nights import supply_factors
+from innsight.operators.latest import LOCAL_ROWS, local_rows
+from innsight.operators.measured import measured_profiles
+from innsight.operators.nights import booked_nights
 from innsight.operators.radius import top_within_radius, top_within_radius_of_points
 from innsight.plans.pricing import price_rows
 
@@ -35,24 +37,36 @@ def search_hotels(
     days_ahead: int = C.SEARCH_DAYS_AHEAD,
     bookings: DataFrame | None = None,
     calendar: DataFrame | None = None,
-    history: DataFrame | None = None,
+    sums: DataFrame | None = None,
     limit: int = C.SEARCH_LIMIT,
 ) -> DataFrame:
     """The best hotels around a point, priced for a stay ``days_ahead`` from
-    ``as_of``. Only the rows that are returned get priced, and only their bookings
-    and history are read into aggregates, the bookings for the night of the stay."""
+    ``as_of``. ``sums`` are those of the price history (see ``signal_sums``), as kept by
+    a ``SignalSummary``.
+
+    The hotels found, at most ``limit``, are computed once and priced. Of the other
+    tables only their rows are read, by filters that reach the scans, the bookings and
+    events for the night of the stay.
+    """
     date = date_ahead(as_of, F.lit(days_ahead))
-    found = top_within_radius(hotels, lat, lon, radius_km, limit).withColumns(
-        {"days_ahead": F.lit(days_ahead), "date": date}
+    found = local_rows(top_within_radius(hotels, lat, lon, radius_km, limit), limit)
+    few = limit <= LOCAL_ROWS
+    named = found.select("hotel_id", "city").collect() if few else []
+
+    def own(rows: DataFrame, column: str) -> DataFrame:
+        if few:
+            return rows.where(F.col(column).isin(list({r[column] for r in named})))
+        return rows.join(found.select(column).distinct(), column, "left_semi")
+
+    priced = price_rows(
+        found.withColumns({"days_ahead": F.lit(days_ahead), "date": date}),
+        "days_ahead",
+        calendar=None if calendar is None else own(calendar, "city"),
+        span=(date, date),
+        profiles=None if sums is None else measured_profiles(own(sums, "hotel_id")),
+        nights=None if bookings is None else booked_nights(own(bookings, "hotel_id"), date, date),
+        few=few,
     )
-    few = F.broadcast(found.select("hotel_id"))  # at most ``limit`` rows
-    supply = None
-    if bookings is not None:
-        own = bookings.join(few, "hotel_id", "left_semi")
-        supply = supply_factors(own, found, date, date)
-    if history is not None:
-        history = history.join(few, "hotel_id", "left_semi")
-    priced = price_rows(found, "days_ahead", supply, calendar, span=(date, date), history=history)
     return _with_offer(priced)
 
 

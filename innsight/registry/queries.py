@@ -20,7 +20,7 @@ from innsight.operators.audit import integrity_audit as run_audit
 from innsight.operators.demand import with_demand
 from innsight.operators.latest import latest_reviews as newest
 from innsight.operators.lookup import lookup
-from innsight.operators.measured import with_measured
+from innsight.operators.measured import measured_profiles, signal_sums, with_measured
 from innsight.operators.nights import booked_nights as taken_nights
 from innsight.operators.nights import supply_factors
 from innsight.operators.radius import top_within_radius
@@ -324,7 +324,7 @@ def _hotel_year(views: Views) -> DataFrame:
 @query
 def weather_signal(views: Views) -> DataFrame:
     """Measured weather of every hotel on every day of a year."""
-    rows = with_measured(_hotel_year(views), views.price_history)
+    rows = with_measured(_hotel_year(views), measured_profiles(signal_sums(views.price_history)))
     weather = signals.weather_signal("lat", "date", measured_score="measured_weather")
     return rows.withColumn("weather", weather).select(
         "hotel_id", _text("date"), "weather.score", "weather.condition"
@@ -334,7 +334,7 @@ def weather_signal(views: Views) -> DataFrame:
 @query
 def demand_signal(views: Views) -> DataFrame:
     """Measured demand with the uplift of events."""
-    rows = with_measured(_hotel_year(views), views.price_history)
+    rows = with_measured(_hotel_year(views), measured_profiles(signal_sums(views.price_history)))
     rows = with_demand(rows, views.events_calendar)
     return rows.select("hotel_id", _text("date"), "demand_score")
 
@@ -429,7 +429,7 @@ def _found(views: Views, limit: int = C.SEARCH_LIMIT) -> DataFrame:
         as_of=AS_OF,
         bookings=views.bookings,
         calendar=views.events_calendar,
-        history=views.price_history,
+        sums=views.signal_sums,
     )
 
 
@@ -466,9 +466,9 @@ def _forecast(views: Views) -> DataFrame:
         views.hotels,
         AS_OF,
         C.FORECAST_DAYS,
-        _supply(views),
+        views.bookings,
         views.events_calendar,
-        views.price_history,
+        views.signal_sums,
     )
 
 
@@ -516,7 +516,7 @@ def hotel_detail(views: Views) -> DataFrame:
         AS_OF,
         views.bookings,
         views.events_calendar,
-        views.price_history,
+        views.signal_sums,
     )
     shown = F.transform("reviews", lambda r: F.concat_ws("/", r["review_id"], r["reviewer_name"], r["comment"]))
     return rows.select(

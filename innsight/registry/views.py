@@ -6,11 +6,15 @@ Each is what a stored table would hold. The same definitions as SQL text are in
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from innsight.functions.pricing import raw_history_price
+from innsight.operators.measured import SignalSummary
+from innsight.sources.runs import kept_run
 
 _EVENTS = T.StructType(
     [
@@ -44,9 +48,12 @@ class Views:
         return self.spark.read.schema(self.schemas[name]).parquet(path)
 
     def _hotel_number(self, key: str) -> Column:
-        """Spreads a key over the hotels; their number comes from a scalar subquery."""
-        hotels = self.table("supplier").agg(F.count(F.lit(1))).scalar()
-        return F.pmod(F.col(key), hotels)
+        """Spreads a key over the hotels."""
+        return F.pmod(F.col(key), F.lit(self.hotels_count))
+
+    @cached_property
+    def hotels_count(self) -> int:
+        return self.table("supplier").count()
 
     @property
     def hotels(self) -> DataFrame:
@@ -88,6 +95,24 @@ class Views:
         )
         return signals.withColumn("price", price)
 
+    @property
+    def signal_sums(self) -> DataFrame:
+        """The kept sums of the price history. They are made where the
+        history files have not been summed before, and read from then on."""
+
+        def build(path: str) -> None:
+            history = self.price_history
+            first, last = history.agg(F.min("recorded_date"), F.max("recorded_date")).first()
+            summary = SignalSummary(self.spark, path)
+            if first is not None:
+                summary.fold_in(history, first, last)
+                summary.compact()
+            else:
+                history.limit(0).write.parquet(path)
+
+        path = kept_run(self.spark, "signal-sums", [self.table("lineitem")], build, rule=1)
+        return SignalSummary(self.spark, path).sums()
+
     @property
     def bookings(self) -> DataFrame:
         key = F.col("o_orderkey")
@@ -149,16 +174,14 @@ class Views:
         return self.spark.readStream.schema(_EVENTS).parquet(f"{self.folder}/events*.parquet")
 
     def demand_events(self, events: DataFrame) -> DataFrame:
-        hotels = self.table("supplier").count()  # streams take no subquery
         return events.select(
-            F.pmod("event_id", F.lit(hotels)).alias("hotel_id"),
+            self._hotel_number("event_id").alias("hotel_id"),
             F.col("ts").cast("timestamp").alias("event_time"),
             "event_type",
             "value",
         )
 
     def signals(self, events: DataFrame) -> DataFrame:
-        hotels = self.table("supplier").count()
         key = F.col("event_id")
 
         def spread(factor: int, low: float, span: float) -> Column:
@@ -166,7 +189,7 @@ class Views:
 
         return events.select(
             key.alias("signal_id"),
-            F.pmod(key, F.lit(hotels)).alias("hotel_id"),
+            self._hotel_number("event_id").alias("hotel_id"),
             F.col("ts").cast("timestamp").alias("event_time"),
             spread(13, 0.3, 0.7).alias("weather_score"),
             spread(17, 0.2, 0.7).alias("demand_score"),

@@ -15,12 +15,11 @@ import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from innsight.sources.scratch import remove_folder
+from innsight.sources.scratch import file_system, move_new, remove_folder
 
 KEPT_MANIFESTS = 10
 
@@ -75,7 +74,7 @@ class PartTable:
         return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *names]))
 
     def _files(self):
-        return self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return file_system(self.spark, self.path)[0]
 
     def _versions(self) -> list[int]:
         files, folder = self._files(), self._path("manifest")
@@ -103,18 +102,10 @@ class PartTable:
         stream = files.create(draft)
         stream.write(json.dumps(asdict(state)).encode())
         stream.close()
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), conf)
-        options = self.spark.sparkContext._gateway.new_array(
-            jvm.org.apache.hadoop.fs.Options.Rename, 0
-        )
-        try:
-            context.rename(draft, self._path("manifest", f"{state.version:012}.json"), options)
-        except Py4JJavaError as e:
+        named = f"{self.path}/manifest/{state.version:012}.json"
+        if not move_new(self.spark, draft.toString(), named):
             files.delete(draft, False)
-            if "FileAlreadyExistsException" in e.java_exception.getClass().getName():
-                return False
-            raise
+            return False
         for version in self._versions()[:-KEPT_MANIFESTS]:
             files.delete(self._path("manifest", f"{version:012}.json"), False)
         return True
