@@ -31,25 +31,24 @@ _WIDTHS = {
 }
 
 
+def row_bytes(df: DataFrame) -> int:
+    """Bytes of a row without its texts."""
+    return 8 + sum(_WIDTHS.get(type(column.dataType), 0) for column in df.schema)
+
+
 def measured_bytes(df: DataFrame) -> int:
     """Bytes held by a frame: rows times fixed widths plus the text lengths.
 
     One aggregate over the columns that are really used; only two numbers reach
     the driver.
     """
-    fixed = 8  # row overhead
-    texts = []
-    for column in df.schema:
-        width = _WIDTHS.get(type(column.dataType))
-        if width is None:
-            texts.append(F.octet_length(F.col(column.name).cast("string")))
-        else:
-            fixed += width
     text_total = F.lit(0)
-    for length in texts:
-        text_total = text_total + F.coalesce(F.sum(length), F.lit(0))
+    for column in df.schema:
+        if type(column.dataType) not in _WIDTHS:
+            length = F.octet_length(F.col(column.name).cast("string"))
+            text_total = text_total + F.coalesce(F.sum(length), F.lit(0))
     rows, text = df.agg(F.count(F.lit(1)), text_total).first()
-    return rows * fixed + text
+    return rows * row_bytes(df) + text
 
 
 def lookup(

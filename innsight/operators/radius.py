@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,10 +11,14 @@ from pyspark.sql import functions as F
 from innsight.functions.constants import EARTH_RADIUS_KM, SEARCH_LIMIT
 from innsight.functions.geo import box_around, distance_km
 from innsight.operators.latest import first_rows
-from innsight.operators.lookup import lookup, measured_bytes
+from innsight.operators.lookup import lookup, row_bytes
+from innsight.sources.scratch import stage_table
 
 CELLS_PER_RADIUS = 3
 MARGIN = 1e-7  # of the earth radius; far above the rounding error of the distance
+SPLIT = 64  # places in a cell beyond which it is split into eight
+DEEPEST = 20  # splits of a cell; places that are still together are apart by metres
+GRID = ["cx", "cy", "cz"]
 
 
 def within_radius(hotels: DataFrame, lat: float, lon: float, radius_km: float) -> DataFrame:
@@ -46,17 +51,17 @@ def _unit_vector(lat: str, lon: str) -> dict[str, Column]:
     }
 
 
-def _cell(axis: str, edge: float) -> Column:
-    return F.floor(F.col(axis) / F.lit(edge)).cast("long")
+def _cells(edge: float) -> dict[str, Column]:
+    """The cell of a place by its unit vector."""
+    return {f"c{axis}": F.floor(F.col(axis) / F.lit(edge)).cast("long") for axis in ("x", "y", "z")}
 
 
-def _point_cells(points: DataFrame, chord: float, edge: float) -> DataFrame:
-    """Every point with the grid cells its ball touches; ``whole`` marks cells
-    that lie inside the ball completely."""
+def _touched(points: DataFrame, spans: dict[str, tuple[Column, Column]], chord: float, edge: float) -> DataFrame:
+    """Every point with those grid cells of the given spans that its ball touches and
+    that hold a part of the sphere; ``whole`` marks cells inside the ball completely."""
     reach = chord + MARGIN
-    cells = points.withColumns(_unit_vector("point_lat", "point_lon")).withColumns(
-        {"near": F.lit(0.0), "far": F.lit(0.0), "inner": F.lit(0.0), "outer": F.lit(0.0)}
-    )
+    zero = {"near": F.lit(0.0), "far": F.lit(0.0), "inner": F.lit(0.0), "outer": F.lit(0.0)}
+    cells = points.withColumns(zero)
     for axis in ("x", "y", "z"):
         place, cell = F.col(axis), F.col(f"c{axis}")
         low, high = cell * F.lit(edge), (cell + F.lit(1)) * F.lit(edge)
@@ -65,10 +70,8 @@ def _point_cells(points: DataFrame, chord: float, edge: float) -> DataFrame:
         # nearest and farthest distance of the cell from the sphere's centre
         to_zero = F.greatest(low, -high, F.lit(0.0))
         from_zero = F.greatest(F.abs(low), F.abs(high))
-        first = F.floor((place - F.lit(reach)) / F.lit(edge)).cast("long")
-        last = F.floor((place + F.lit(reach)) / F.lit(edge)).cast("long")
         cells = (
-            cells.withColumn(f"c{axis}", F.explode(F.sequence(first, last)))
+            cells.withColumn(f"c{axis}", F.explode(F.sequence(*spans[axis])))
             .withColumns(
                 {
                     "near": F.col("near") + gap * gap,
@@ -84,43 +87,105 @@ def _point_cells(points: DataFrame, chord: float, edge: float) -> DataFrame:
     return (
         cells.where(F.col("outer") >= F.lit(1.0 - 2 * MARGIN))
         .withColumn("whole", F.col("far") <= F.lit(inside * inside))
-        .select("point_id", "point_lat", "point_lon", "cx", "cy", "cz", "whole")
+        .select("point_id", "point_lat", "point_lon", "x", "y", "z", *GRID, "whole")
     )
 
 
-def top_within_radius_of_points(
-    hotels: DataFrame, points: DataFrame, radius_km: float, limit: int = SEARCH_LIMIT
+def _first_cells(points: DataFrame, chord: float, edge: float) -> DataFrame:
+    reach = F.lit(chord + MARGIN)
+    spans = {
+        axis: tuple(
+            F.floor((F.col(axis) + way * reach) / F.lit(edge)).cast("long") for way in (-1, 1)
+        )
+        for axis in ("x", "y", "z")
+    }
+    placed = points.withColumns(_unit_vector("point_lat", "point_lon"))
+    return _touched(placed, spans, chord, edge)
+
+
+def _child_cells(cells: DataFrame, chord: float, edge: float) -> DataFrame:
+    """The same for the eight parts of each cell."""
+    spans = {axis: (F.col(f"c{axis}") * 2, F.col(f"c{axis}") * 2 + 1) for axis in ("x", "y", "z")}
+    return _touched(cells.drop("whole"), spans, chord, edge)
+
+
+def _cell_counts(places: DataFrame) -> DataFrame:
+    """Rows and different places of each cell."""
+    by_place = places.groupBy(*GRID, "lat", "lon").agg(F.count(F.lit(1)).alias("rows"))
+    return by_place.groupBy(*GRID).agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("places"))
+
+
+def candidates_of_points(
+    hotels: DataFrame,
+    points: DataFrame,
+    radius_km: float,
+    limit: int = SEARCH_LIMIT,
+    split: int = SPLIT,
 ) -> DataFrame:
-    """For every point (point_id, point_lat, point_lon) its best ``limit`` hotels
-    within the radius: (point_id, result_rank, hotel_id, star_rating, distance_km).
+    """For every point hotels that hold its best ``limit`` within the radius, few more:
+    (point_id, point_lat, point_lon, hotel_id, star_rating, lat, lon, whole). Where
+    ``whole`` is false the distance is still to be tested.
 
     Hotels and points meet on equal cells of a cubic grid around the unit sphere,
-    where neither the poles nor the 180th meridian are special. Two facts keep
+    where neither the poles nor the 180th meridian are special. Three facts keep
     dense places small without losing a result:
 
     * all hotels of a cell inside the circle qualify, so only the cell's best
       ``limit`` can be among the point's best;
     * hotels at one place qualify together, so the same holds for a place in a
-      cell that the circle cuts. Only these rows need the distance test.
+      cell that the circle cuts;
+    * a cell of more than ``split`` places is split into eight, these again, and
+      so on. The circle cuts only the cells along its edge, of which the small ones
+      hold few places; the cells within it are whole.
+
+    The cells are a tree that is deep only where places are many. It is walked level
+    by level, a join each; two counts a level are all the driver learns.
     """
     angle = min(radius_km / EARTH_RADIUS_KM, math.pi)
     chord = 2.0 * math.sin(angle / 2.0)
     edge = max(chord / CELLS_PER_RADIUS, 1e-5)
-    places = (
-        hotels.select("hotel_id", "star_rating", "lat", "lon")
-        .withColumns(_unit_vector("lat", "lon"))
-        .withColumns({f"c{axis}": _cell(axis, edge) for axis in ("x", "y", "z")})
-        .drop("x", "y", "z")
-    )
-    grid = ["cx", "cy", "cz"]
-    by_place = first_rows(places, [*grid, "lat", "lon"], best_first(), limit)
-    by_cell = first_rows(by_place, grid, best_first(), limit)
-    cells = _point_cells(points, chord, edge)
+    placed = hotels.select("hotel_id", "star_rating", "lat", "lon").withColumns(_unit_vector("lat", "lon"))
+    places = placed.withColumns(_cells(edge))
+    cells = _first_cells(points, chord, edge)
+    shown = ["point_id", "point_lat", "point_lon", "hotel_id", "star_rating", "lat", "lon", "whole"]
+    found = []
+    for level in range(DEEPEST + 1):
+        counts = _cell_counts(places)
+        rows, most = counts.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.max("places"), F.lit(0))).first()
+        size = rows * row_bytes(places)  # bounds all that is drawn from them
+        last = level == DEEPEST or most <= split
+        own = places
+        if not last:
+            dense = stage_table(counts.where(F.col("places") > split).select(*GRID), "dense-cells")
+            own = lookup(places, dense, GRID, "left_anti", salt=["hotel_id"], at_most_bytes=size)
+        by_cell = first_rows(places.drop("x", "y", "z"), GRID, best_first(), limit)
+        by_place = first_rows(own.drop("x", "y", "z"), [*GRID, "lat", "lon"], best_first(), limit)
+        whole, cut = cells.where("whole"), cells.where("NOT whole")
+        for some, rest in ((whole, by_cell), (cut, by_place)):
+            met = lookup(some, rest, GRID, "inner", salt=["point_id"], at_most_bytes=size)
+            found.append(met.select(*shown))
+        if last:
+            break
+        edge /= 2
+        inner = lookup(places, dense, GRID, "left_semi", salt=["hotel_id"], at_most_bytes=size)
+        places = stage_table(inner.withColumns(_cells(edge)), "places")
+        parents = lookup(cut, dense, GRID, "left_semi", salt=["point_id"], at_most_bytes=size)
+        cells = stage_table(_child_cells(parents, chord, edge), "cells")
+    return reduce(DataFrame.unionByName, found)
+
+
+def top_within_radius_of_points(
+    hotels: DataFrame,
+    points: DataFrame,
+    radius_km: float,
+    limit: int = SEARCH_LIMIT,
+    split: int = SPLIT,
+) -> DataFrame:
+    """For every point (point_id, point_lat, point_lon) its best ``limit`` hotels
+    within the radius: (point_id, result_rank, hotel_id, star_rating, distance_km)."""
     distance = distance_km("point_lat", "point_lon", "lat", "lon")
-    size = measured_bytes(places)  # bounds both subsets
-    whole = lookup(cells.where("whole"), by_cell, grid, "inner", at_most_bytes=size)
-    cut = lookup(cells.where("NOT whole"), by_place, grid, "inner", at_most_bytes=size)
-    candidates = whole.unionByName(cut).withColumn("distance_km", distance)
+    candidates = candidates_of_points(hotels, points, radius_km, limit, split)
+    candidates = candidates.withColumn("distance_km", distance)
     found = candidates.where(F.col("whole") | (F.col("distance_km") <= radius_km))
     ranked = first_rows(found, ["point_id"], best_first(), limit, rank="result_rank")
     return ranked.select("point_id", "result_rank", "hotel_id", "star_rating", "distance_km")

@@ -1,6 +1,8 @@
 import math
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from data import HOTELS, hotels
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from innsight.functions.geo import distance_km
 from innsight.operators.measured import signal_sums
 from innsight.operators.radius import (
+    candidates_of_points,
     top_within_radius,
     top_within_radius_of_points,
     within_radius,
@@ -113,6 +116,54 @@ def test_batch_equals_brute_force(spark, radius, limit):
     assert actual == brute_force(places, points, radius, limit)
 
 
+@pytest.mark.parametrize("radius, limit, split", [(30.0, 20, 4), (700.0, 5, 1), (1e-3, 3, 2), (6000.0, 2, 30)])
+def test_split_cells_equal_brute_force(spark, radius, limit, split):
+    places, points = scattered(4)
+    found = top_within_radius_of_points(
+        place_frame(spark, places), point_frame(spark, points), radius, limit, split
+    ).collect()
+    actual = {(row.point_id, row.result_rank): row.hotel_id for row in found}
+    assert actual == brute_force(places, points, radius, limit)
+
+
+def test_a_hundred_thousand_places_in_one_cell(spark):
+    """The circle's edge runs through the town; a point meets a small part of it."""
+    draw = np.random.default_rng(2)
+    n, radius, limit = 100_000, 60.0, 20
+    lat = 48.0 + draw.uniform(-0.05, 0.05, n)  # about 11 km, a cell has 20
+    lon = 11.0 + draw.uniform(-0.07, 0.07, n)
+    stars = draw.integers(1, 6, n)
+    frame = pd.DataFrame({"hotel_id": np.arange(n), "star_rating": stars, "lat": lat, "lon": lon})
+    places = spark.createDataFrame(frame).withColumn("star_rating", F.col("star_rating").cast("int"))
+    # all of them, none of them, and a part of them within the circle
+    points = [(0, 48.0, 11.0), (1, 47.0, 11.0)]
+    points += [(2 + i, 48.0 + radius / 111.2 * math.cos(i), 11.0 + radius / 74.4 * math.sin(i)) for i in range(20)]
+    asked = point_frame(spark, points)
+    counts = candidates_of_points(places, asked, radius, limit).groupBy("point_id").count().collect()
+    met = {r.point_id: r["count"] for r in counts}
+    assert met[0] <= 30 * limit and met.get(1, 0) <= 30 * limit
+    # along the edge: grows with the root of the number of places
+    assert max(met.values()) < n / 10
+    found = top_within_radius_of_points(places, asked, radius, limit).collect()
+    actual = {}
+    for r in sorted(found, key=lambda r: r.result_rank):
+        actual.setdefault(r.point_id, []).append(r.hotel_id)
+    a, b = np.radians(lat), np.radians(lon)
+    for point_id, point_lat, point_lon in points:
+        p, q = math.radians(point_lat), math.radians(point_lon)
+        cosine = np.cos(p) * np.cos(a) * np.cos(b - q) + np.sin(p) * np.sin(a)
+        near = np.flatnonzero(np.arccos(np.clip(cosine, -1, 1)) * 6371 <= radius)
+        order = near[np.lexsort((near, -stars[near]))][:limit]
+        assert actual.get(point_id, []) == order.tolist()
+
+
+def test_batch_of_nothing(spark):
+    places, points = scattered(6)
+    none = place_frame(spark, [])
+    assert top_within_radius_of_points(none, point_frame(spark, points), 50.0).count() == 0
+    assert top_within_radius_of_points(place_frame(spark, places), point_frame(spark, []), 50.0).count() == 0
+
+
 def test_batch_salted_equals_brute_force(spark, salted):
     places, points = scattered(5)
     found = top_within_radius_of_points(
