@@ -492,6 +492,8 @@ _BODIES = {
     FROM hotels h LEFT JOIN ranked_reviews r ON r.hotel_id = h.hotel_id""",
     "search_radius": f"""
     SELECT hotel_id, name, star_rating, {_rounded("distance_km", 6)} FROM found""",
+    "search_laid_out": f"""
+    SELECT hotel_id, name, star_rating, {_rounded("distance_km", 6)} FROM found""",
     "search_hotels": f"SELECT {_SEARCH} FROM offers",
     "search_document": f"""
     SELECT {_SEARCH}, least(total, 7) AS total, place - 1 AS position

@@ -388,6 +388,16 @@ def search_radius(views: Views) -> DataFrame:
     return found.select("hotel_id", "name", "star_rating", *_rounded(6, "distance_km"))
 
 
+@query
+def search_laid_out(views: Views) -> DataFrame:
+    """The same on hotels that were written along a curve through the plane."""
+    path = scratch_folder(views.spark, "hotels-by-place")
+    write_table(views.hotels, path, near=("lat", "lon"))
+    stored = views.spark.read.schema(views.hotels.schema).parquet(path)
+    found = top_within_radius(stored, *POINT, RADIUS_KM)
+    return found.select("hotel_id", "name", "star_rating", *_rounded(6, "distance_km"))
+
+
 def _near(shown, exact, digits: int) -> Column:
     """Whether a displayed number is the exact one to its digits. Engines round exact
     halves differently, so the numbers themselves are compared unrounded."""

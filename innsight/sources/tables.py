@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from innsight.functions.geo import curve_key
 from innsight.sources.schemas import TABLES
 
 
@@ -62,6 +63,8 @@ def write_table(
     partition_by: str | None = None,
     sort_by: str | None = None,
     format: str = "parquet",
+    near: tuple[str, str] | None = None,
+    files: int | None = None,
 ) -> None:
     """Replaces the table at ``path``.
 
@@ -69,7 +72,16 @@ def write_table(
     directory gets few, evenly sized files, and a value that holds a large part
     of the rows is split over several tasks instead of landing in one. Sorting
     inside the files makes their column statistics selective for ``sort_by``.
+
+    ``near`` names columns of latitude and longitude (not with the two above): rows are
+    dealt to ``files`` (as many as Spark sees fit) and sorted along a curve through
+    the plane, so a file or row group covers a small area, and a search in a box
+    skips all whose statistics lie outside. The curve is cut by a sample of the keys,
+    so dense areas take more files and none is heavier than others.
     """
+    if near:
+        key = curve_key(*near)
+        df = df.repartitionByRange(*([files] if files else []), key).sortWithinPartitions(key)
     if partition_by:
         df = df.hint("rebalance", partition_by)
     if sort_by:

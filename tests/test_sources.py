@@ -5,6 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from innsight.functions.geo import curve_key
+from innsight.operators.radius import within_radius
 from innsight.sources.schemas import TABLES
 from innsight.sources.scratch import scratch_folder, stage_table
 from innsight.sources.tables import (
@@ -127,3 +129,60 @@ def test_scratch_needs_a_shared_folder_on_a_cluster():
 
     with pytest.raises(ValueError):
         scratch_folder(Session(), "x")
+
+
+# --- layout by place ------------------------------------------------------------
+
+
+def scattered_places(spark, n=40_000):
+    """Over the whole earth, a third in one town; some without a place."""
+    uniform = lambda seed, low, high: F.rand(seed) * (high - low) + low
+    town = F.col("id") % 3 == 0
+    return spark.range(n).select(
+        F.col("id").alias("hotel_id"),
+        (F.col("id") % 5 + 1).cast("int").alias("star_rating"),
+        F.when(F.col("id") % 101 != 0, F.when(town, uniform(1, 48.0, 48.4)).otherwise(uniform(2, -90, 90))).alias("lat"),
+        F.when(town, uniform(3, 11.0, 11.6)).otherwise(uniform(4, -180, 180)).alias("lon"),
+    )
+
+
+def rows_scanned(df):
+    """Rows that the scan of a plan without shuffles handed on."""
+    df.collect()
+    leaf = df._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+    return leaf.metrics().apply("numOutputRows").value()
+
+
+def test_curve_keeps_near_places_together(spark):
+    n = 1 << 16
+    cells = spark.range(64 * 64).select(
+        ((F.col("id") / 64).cast("int") * 180.0 / 64 - 90 + 0.01).alias("lat"),
+        ((F.col("id") % 64) * 360.0 / 64 - 180 + 0.01).alias("lon"),
+    )
+    rows = cells.withColumn("key", curve_key("lat", "lon")).orderBy("key").collect()
+    keys = [r.key for r in rows]
+    assert len(set(keys)) == 64 * 64 and max(keys) < n * n
+    for start in range(0, 64 * 64, 64):  # any 64 neighbours on the curve are a square
+        some = rows[start : start + 64]
+        assert max(r.lat for r in some) - min(r.lat for r in some) == pytest.approx(7 * 180 / 64)
+        assert max(r.lon for r in some) - min(r.lon for r in some) == pytest.approx(7 * 360 / 64)
+    for a, b in zip(rows, rows[1:]):  # each step of the curve leads to a cell beside
+        assert abs(a.lat - b.lat) * 64 / 180 + abs(a.lon - b.lon) * 64 / 360 == pytest.approx(1)
+    corner = [r.key for r in spark.sql("select 89.999D lat, 179.999D lon").select(curve_key("lat", "lon").alias("key")).collect()] * 2
+    odd = spark.createDataFrame([(None, 1.0), (1.0, None), (95.0, 181.0), (90.0, 180.0)], "lat double, lon double")
+    assert [r.key for r in odd.select(curve_key("lat", "lon").alias("key")).collect()] == [None, None, *corner]
+
+
+@pytest.mark.parametrize("lat, lon, radius", [(10.0, 20.0, 300.0), (48.2, 11.3, 3.0), (5.0, 179.9, 400.0)])
+def test_box_skips_files_of_a_table_laid_out_by_place(spark, tmp_path, lat, lon, radius):
+    df = scattered_places(spark)
+    near, by_id = str(tmp_path / "near"), str(tmp_path / "by_id")
+    write_table(df, near, near=("lat", "lon"), files=32)
+    df.repartition(32).write.parquet(by_id)
+    found = [within_radius(spark.read.parquet(p), lat, lon, radius) for p in (near, by_id)]
+    assert sorted(found[0].collect()) == sorted(found[1].collect()) and found[0].count() > 0
+    read = [rows_scanned(f) for f in found]
+    assert read[1] == 40_000 and read[0] <= 40_000 / 4
+    sizes = [r["count"] for r in spark.read.parquet(near).groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) > 24 and max(sizes) < 3 * 40_000 / 32  # the town is in many files
+    assert spark.read.parquet(near).count() == 40_000
