@@ -18,8 +18,9 @@ from pyspark.sql import types as T
 BROADCAST_BYTES = 64 * 1024 * 1024
 BROADCAST_CONF = "innsight.lookup.broadcastBytes"  # overrides it in a session
 SALTS = 32
-#: A key is hot if it holds this part of the rows; there are at most so many of them.
+#: A key is hot if it holds this part of the rows.
 HOT_SHARE = 1 / 64
+TRACKED = 8192  # counters of a sketch
 
 _WIDTHS = {
     T.BooleanType: 1,
@@ -82,19 +83,29 @@ def lookup(
     return salted_join(fact, dimension, on, how, salt, salts)
 
 
-def hot_keys(fact: DataFrame, on: list[str], share: float = HOT_SHARE) -> list[tuple]:
-    """Keys that hold more than ``share`` of the rows, so less than 1 / share keys.
+def _key_hash(on: list[str], kinds: list[str]) -> Column:
+    """One number for a key, alike in both tables; null if a column is null."""
+    columns = [F.col(name).cast(kind) for name, kind in zip(on, kinds)]
+    present = reduce(Column.__and__, [F.col(name).isNotNull() for name in on])
+    return F.when(present, F.xxhash64(*columns))
 
-    One aggregate over the key columns alone; it combines ahead of the shuffle.
-    """
-    counts = fact.where(_present(on)).groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
-    total = fact.where(_present(on)).agg(F.count(F.lit(1))).scalar()
-    hot = counts.where(F.col("n") > total * F.lit(share))
-    return [tuple(row) for row in hot.select(*on).collect()]
 
+def hot_keys(fact: DataFrame, on: list[str], share: float = HOT_SHARE) -> list[int]:
+    """Hashes of all keys that hold more than ``share`` of the rows, and perhaps of a few
+    that hold a little less; there are less than 2 / share.
 
-def _present(on: list[str]) -> Column:
-    return reduce(Column.__and__, [F.col(name).isNotNull() for name in on])
+    One pass over the key columns alone, with one sketch of frequent items a task. A
+    sketch has TRACKED counters however many keys there are, and sketches add up.
+    A count is off by at most 3.5 / TRACKED of the rows, far less than ``share``, so
+    no such key can be missed.
+    """
+    kinds = [fact.schema[name].dataType.simpleString() for name in on]
+    keyed = fact.select(_key_hash(on, kinds).alias("key")).where("key is not null")
+    listed = int(2 / share)
+    rows, found = keyed.agg(
+        F.count(F.lit(1)), F.expr(f"approx_top_k(key, {listed}, {max(TRACKED, 64 * listed)})")
+    ).first()
+    return [row["item"] for row in found if row["count"] > rows * share * 0.9]
 
 
 def salted_join(
@@ -110,15 +121,14 @@ def salted_join(
     Unlike the adaptive skew join it also holds when the result is grouped by the
     same key afterwards. The salt is a hash of the row's own values, so a task that
     is run again gives its rows the same salts. Only rows of the dimension with a
-    hot key are copied.
+    hot key are copied. Keys count as hot by a hash; one that is so by chance is
+    spread like the others, which changes no row.
     """
     hot = hot_keys(fact, on)
     if not hot:
         return fact.join(dimension, on, how)
-    matches = [
-        reduce(Column.__and__, [F.col(n) == F.lit(v) for n, v in zip(on, key)]) for key in hot
-    ]
-    is_hot = F.coalesce(reduce(Column.__or__, matches), F.lit(False))
+    kinds = [fact.schema[name].dataType.simpleString() for name in on]
+    is_hot = F.coalesce(_key_hash(on, kinds).isin(hot), F.lit(False))
     spread = F.pmod(F.xxhash64(*salt), F.lit(salts)).cast("int")
     salted = fact.withColumn("lookup_salt", F.when(is_hot, spread).otherwise(F.lit(0)))
     every, one = F.sequence(F.lit(0), F.lit(salts - 1)), F.array(F.lit(0))

@@ -93,6 +93,55 @@ def test_both_ways_prune_and_filter_alike(spark, stored_history, salted, how):
     assert sorted(used("1000000").collect()) == sorted(used("-1").collect())
 
 
+def test_hot_keys_among_very_many(spark):
+    """A sketch is much smaller than the number of keys, and misses none that is hot."""
+    n = 400_000
+    rows = spark.range(0, n, 1, 16).select(
+        F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 40 == 1, 8).when(F.col("id") % 3000 == 2, 9)
+        .otherwise(F.col("id")).alias("a"),
+        F.when(F.col("id") % 1000 != 0, F.lit("x")).alias("b"),
+    )
+    assert len(hot_keys(rows, ["a", "b"])) == 2
+    assert hot_keys(rows.where("a > 9"), ["a", "b"]) == [] == hot_keys(rows.limit(0), ["a"])
+    assert hot_keys(rows.select(F.lit(None).cast("int").alias("a")), ["a"]) == []
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_keys_of_two_types_and_two_columns(spark, how):
+    fact = spark.range(3000).select(
+        F.when(F.col("id") % 2 == 0, 5).otherwise(F.col("id") % 90).cast("int").alias("k"),
+        F.when(F.col("id") % 7 != 0, F.lit("a")).alias("s"),
+        "id",
+    )
+    dimension = spark.range(0, 80, 2).select(F.col("id").alias("k"), F.lit("a").alias("s"), (-F.col("id")).alias("d"))
+    dimension = dimension.unionByName(spark.sql("select 5L k, 'a' s, 1L d union all select 5L, 'a', 2L"))
+    plain = fact.join(dimension, ["k", "s"], how)
+    salted = salted_join(fact, dimension, ["k", "s"], how, ["id"], 7)
+    assert plain.columns == salted.columns
+    assert sorted(plain.collect(), key=repr) == sorted(salted.collect(), key=repr)
+
+
+def test_the_large_way_reads_the_fact_once_more(spark, stored_history, salted, monkeypatch):
+    """Counts what a lookup runs while it plans: the measure of the dimension, and one
+    pass over the keys of the fact."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    plans, collect = [], DataFrame.collect  # first() collects, too
+
+    def counted(self):
+        plans.append(plan_of(self))
+        return collect(self)
+
+    monkeypatch.setattr(DataFrame, "collect", counted)
+    dimension = spark.range(50).select(F.col("id").cast("int").alias("hotel_id"), F.lit(1).alias("d"))
+    for limit, passes in (("1000000", 0), ("-1", 1)):
+        spark.conf.set("innsight.lookup.broadcastBytes", limit)
+        plans.clear()
+        lookup(stored_history, dimension, ["hotel_id"], "inner", salt=["recorded_date"])
+        scans = [x for p in plans for x in p.splitlines() if "ReadSchema" in x]
+        assert len(scans) == passes and all("hotel_id" in s and "," not in s for s in scans)
+
+
 def test_maps_pass_the_shuffled_way(spark, stored_history, salted):
     dimension = spark.createDataFrame([(1, 2)], "hotel_id int, d int")
     joined = lookup(stored_history, dimension, ["hotel_id"], "inner", salt=["recorded_date"])
@@ -100,7 +149,8 @@ def test_maps_pass_the_shuffled_way(spark, stored_history, salted):
 
 
 def test_only_hot_keys_are_copied(spark, stored_history):
-    assert hot_keys(stored_history, ["hotel_id"]) == [(1,)]
+    one = spark.range(1).select(F.xxhash64(F.lit(1))).first()[0]
+    assert hot_keys(stored_history, ["hotel_id"]) == [one]
     dimension = spark.createDataFrame([(i, i) for i in range(50)], "hotel_id int, d int")
     joined = salted_join(stored_history, dimension, ["hotel_id"], "inner", ["recorded_date"], 8)
     assert joined.count() == 900
