@@ -3,75 +3,136 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from innsight.sources.schemas import TABLES
 
 
-def _finding(rows: DataFrame, table: str, check: str, column: str) -> DataFrame:
-    return rows.select(
-        F.lit(table).alias("table_name"),
-        F.lit(check).alias("check_name"),
-        F.lit(column).alias("column_name"),
-        F.col("violations").cast("long").alias("violations"),
-    )
+@dataclass(frozen=True)
+class Check:
+    """One check; ``parent`` is the table and column that hold what may occur."""
 
+    table: str
+    name: str
+    columns: tuple[str, ...]
+    parent: tuple[str, str] | None = None
 
-def null_counts(df: DataFrame, table: str, required: list[str]) -> DataFrame:
-    """Rows without a value, per required column, in one pass over the table."""
-    counts = df.agg(*[F.count_if(F.col(name).isNull()).alias(name) for name in required])
-    long = counts.unpivot([], required, "column_name", "violations")
-    return long.select(
-        F.lit(table).alias("table_name"),
-        F.lit("missing").alias("check_name"),
-        "column_name",
-        F.col("violations").cast("long").alias("violations"),
-    )
 
+_NUMBERS = {
+    "tinyint": lambda c: c.cast("long"),
+    "smallint": lambda c: c.cast("long"),
+    "int": lambda c: c.cast("long"),
+    "bigint": lambda c: c,
+    "date": lambda c: F.unix_date(c).cast("long"),
+    "timestamp": F.unix_micros,
+}
+_INTEGERS = ("tinyint", "smallint", "int", "bigint")
 
-def repeated_keys(df: DataFrame, table: str, key: list[str]) -> DataFrame:
-    """Rows beyond the first of every key."""
-    copies = df.groupBy(*key).agg(F.count(F.lit(1)).alias("copies"))
-    surplus = copies.agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("violations"))
-    return _finding(surplus, table, "repeated", ",".join(key))
 
+def _kinds(tables: Mapping[str, DataFrame], check: Check) -> list[str]:
+    """The types of the values that a check compares, one kind for all integers."""
+    kinds = [tables[check.table].schema[c].dataType.simpleString() for c in check.columns]
+    if check.parent:
+        kinds.append(tables[check.parent[0]].schema[check.parent[1]].dataType.simpleString())
+    return ["bigint" if k in _INTEGERS else k for k in kinds]
 
-def column_checks(
-    df: DataFrame,
-    table: str,
-    column: str,
-    checks: list[str],
-    parents: DataFrame | None = None,
-) -> DataFrame:
-    """All checks of one column from one count per value: ``missing`` (no value),
-    ``repeated`` (rows beyond the first of a value) and ``orphan`` (a value that the
-    single column of ``parents`` does not hold; null has no parent to miss).
 
-    The rows are counted per value ahead of the shuffle, so a value that holds most
-    of them enters the join as one row.
+def _as_numbers(tables: Mapping[str, DataFrame], check: Check) -> bool:
+    """Whether the values of a check are told apart by whole numbers, one a column."""
+    kinds = _kinds(tables, check)
+    return all(k in _NUMBERS for k in kinds) and (not check.parent or len(set(kinds)) == 1)
+
+
+def _value(df: DataFrame, columns: tuple[str, ...], numbers: bool, width: int) -> list[Column]:
+    """A value as ``width`` numbers and a text, those that are not needed null. A text of
+    several columns differs where one of them does."""
+    empty, text = [F.lit(None).cast("long")] * width, F.lit(None).cast("string")
+    if numbers:
+        made = [_NUMBERS[df.schema[c].dataType.simpleString()](F.col(c)) for c in columns]
+        return [*made, *empty[len(made) :], text]
+    if len(columns) == 1:
+        return [*empty, F.col(columns[0]).cast("string")]
+    texts = [F.col(c).cast("string") for c in columns]
+    sizes = [F.coalesce(F.char_length(t), F.lit(-1)).cast("string") for t in texts]
+    return [*empty, F.concat_ws(":", *sizes, *(F.coalesce(t, F.lit("")) for t in texts))]
+
+
+def _entries(
+    tables: Mapping[str, DataFrame], table: str, checks: list[Check], width: int
+) -> DataFrame:
+    """(check, n0.., text, held): what the checks have to know of a table, in one pass over
+    it. A row gives an entry to each check that it matters to: its value to those of
+    keys and references, with ``held`` true where it is the parent's, and a mark to
+    those of missing values where there is none."""
+    df, entries = tables[table], []
+    names = [*(f"n{i}" for i in range(width)), "text"]
+
+    def entry(number: int, columns: tuple[str, ...], numbers: bool, held: bool) -> Column:
+        value = [v.alias(n) for v, n in zip(_value(df, columns, numbers, width), names)]
+        return F.struct(F.lit(number).alias("check"), *value, F.lit(held).alias("held"))
+
+    for number, check in enumerate(checks):
+        numbers = _as_numbers(tables, check)
+        if check.table == table:
+            first = F.col(check.columns[0])
+            if check.name == "missing":
+                entries.append(F.when(first.isNull(), entry(number, (), True, False)))
+            elif check.name == "repeated":
+                entries.append(entry(number, check.columns, numbers, False))
+            else:
+                entries.append(F.when(first.isNotNull(), entry(number, check.columns, numbers, False)))
+        if check.parent and check.parent[0] == table:
+            held = F.col(check.parent[1]).isNotNull()
+            entries.append(F.when(held, entry(number, (check.parent[1],), numbers, True)))
+    return df.select(F.inline(F.filter(F.array(*entries), lambda e: e.isNotNull())))
+
+
+def run_checks(tables: Mapping[str, DataFrame], checks: list[Check]) -> DataFrame:
+    """The checks on the tables: (table_name, check_name, column_name, violations).
+
+    Every table is read once, however many checks it takes part in, and all checks
+    share one shuffle. Rows are counted by check and value ahead of it, so a value
+    that holds most of them crosses it once a task, and so does a parent's: whether a
+    value is known is a count like the others and no join. (A Bloom filter of the
+    children's values could keep some parents back, but only after a pass of its own.)
     """
-    value, n = F.col("value"), F.col("n")
-    counts = df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    known = F.lit(True)
-    if parents is not None:
-        held = parents.toDF("value").distinct().withColumn("known", F.lit(True))
-        counts = counts.join(held, "value", "left")
-        known = F.col("known")
-    violations = {
-        "missing": F.when(value.isNull(), n),
-        "repeated": n - 1,
-        "orphan": F.when(value.isNotNull() & known.isNull(), n),
-    }
-    summed = counts.agg(*[F.coalesce(F.sum(violations[c]), F.lit(0)).alias(c) for c in checks])
-    long = summed.unpivot([], checks, "check_name", "violations")
-    return long.select(
-        F.lit(table).alias("table_name"),
+    needed = dict.fromkeys([*(c.table for c in checks), *(c.parent[0] for c in checks if c.parent)])
+    compared = [c for c in checks if c.name != "missing"]
+    width = max([1, *(len(c.columns) for c in compared if _as_numbers(tables, c))])
+    parts = reduce(DataFrame.unionByName, [_entries(tables, t, checks, width) for t in needed])
+    if all(_as_numbers(tables, c) for c in compared):
+        parts = parts.drop("text")
+    counts = (
+        parts.groupBy(*(c for c in parts.columns if c != "held"))
+        .agg(F.count_if(~F.col("held")).alias("n"), F.max("held").alias("known"))
+    )
+    repeated = F.col("check").isin([i for i, c in enumerate(checks) if c.name == "repeated"])
+    wrong = F.when(repeated, F.col("n") - 1).when(~F.col("known"), F.col("n")).otherwise(0)
+    summed = counts.groupBy("check").agg(F.sum(wrong).cast("long").alias("violations"))
+    named = F.inline(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(i).alias("check"),
+                    F.lit(c.table).alias("table_name"),
+                    F.lit(c.name).alias("check_name"),
+                    F.lit(",".join(c.columns)).alias("column_name"),
+                )
+                for i, c in enumerate(checks)
+            ]
+        )
+    )
+    listed = counts.sparkSession.range(0, 1, 1, 1).select(named)
+    # as many rows as there are checks on both sides
+    return listed.join(F.broadcast(summed), "check", "left").select(
+        "table_name",
         "check_name",
-        F.lit(column).alias("column_name"),
-        F.col("violations").cast("long").alias("violations"),
+        "column_name",
+        F.coalesce("violations", F.lit(0).cast("long")).alias("violations"),
     )
 
 
@@ -81,33 +142,16 @@ def integrity_audit(
     keys: Mapping[str, list[list[str]]],
     parents: Mapping[str, Mapping[str, tuple[str, str]]],
 ) -> DataFrame:
-    """All checks on all tables: (table_name, check_name, column_name, violations).
-
-    A table is read once for each column that is a key or has a parent, with all
-    checks of that column, once for each key of several columns, and once for all
-    other required columns together.
+    """All checks on all tables: ``missing`` counts rows without a required value,
+    ``repeated`` rows beyond the first of a key (rows without one are alike), ``orphan``
+    rows whose value the parent's column does not hold (null has no parent to miss).
     """
-    findings = []
-    for table in dict.fromkeys([*required, *keys, *parents]):
-        df, references = tables[table], parents.get(table, {})
-        single = [key[0] for key in keys.get(table, []) if len(key) == 1]
-        counted = dict.fromkeys([*single, *references])
-        for column in counted:
-            checks = ["missing"] if column in required.get(table, []) else []
-            checks += ["repeated"] if column in single else []
-            held = None
-            if column in references:
-                parent, parent_key = references[column]
-                checks.append("orphan")
-                held = tables[parent].select(parent_key)
-            findings.append(column_checks(df, table, column, checks, held))
-        rest = [name for name in required.get(table, []) if name not in counted]
-        if rest:
-            findings.append(null_counts(df, table, rest))
-        findings += [
-            repeated_keys(df, table, key) for key in keys.get(table, []) if len(key) > 1
-        ]
-    return reduce(DataFrame.unionByName, findings)
+    checks = [Check(t, "missing", (c,)) for t, columns in required.items() for c in columns]
+    checks += [Check(t, "repeated", tuple(key)) for t, own in keys.items() for key in own]
+    checks += [
+        Check(t, "orphan", (c,), parent) for t, own in parents.items() for c, parent in own.items()
+    ]
+    return run_checks(tables, checks)
 
 
 def audit_stored_tables(tables: Mapping[str, DataFrame]) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from data import bookings, hotels
 from pyspark.sql import functions as F
 
-from innsight.operators.audit import audit_stored_tables
+from innsight.operators.audit import audit_stored_tables, integrity_audit
 from innsight.operators.latest import first_rows, latest_reviews
 from innsight.operators.latest import first_rows
 from innsight.operators.lookup import hot_keys, lookup, measured_bytes, salted_join
@@ -288,6 +288,46 @@ def test_audit_of_stored_tables(spark):
     }
 
 
+def test_audit_reads_every_table_once(spark, tmp_path):
+    """Against counts of each check by itself, over tables of several types and hot keys."""
+    spark.range(400).select(
+        F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 60).cast("int").alias("a"),
+        F.when(F.col("id") % 7 != 0, F.concat(F.lit("x:"), F.col("id") % 5)).alias("b"),
+        F.when(F.col("id") % 11 != 0, F.col("id") % 13).alias("c"),
+        F.date_add(F.lit(day("2024-01-01")), (F.col("id") % 9).cast("int")).alias("d"),
+    ).write.parquet(str(tmp_path / "child"))
+    spark.range(0, 50, 3).select(F.col("id").alias("k"), F.lit(None).cast("string").alias("t")).write.parquet(
+        str(tmp_path / "parent")
+    )
+    tables = {n: spark.read.parquet(str(tmp_path / n)) for n in ("child", "parent")}
+    keys = [["a"], ["b"], ["a", "b"], ["b", "c"], ["a", "b", "c", "d"]]
+    df = integrity_audit(
+        tables,
+        {"child": ["a", "b", "c"], "parent": ["k", "t"]},
+        {"child": keys, "parent": [["k"], ["t"]]},
+        {"child": {"a": ("parent", "k"), "c": ("child", "a")}, "parent": {"k": ("child", "a"), "t": ("child", "b")}},
+    )
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2 and "Join" in plan and "SortMergeJoin" not in plan
+    found = {(r.table_name, r.check_name, r.column_name): r.violations for r in df.collect()}
+    child, parent = tables["child"], tables["parent"]
+    expected = {("child", "missing", c): child.where(F.col(c).isNull()).count() for c in "abc"}
+    expected |= {("parent", "missing", c): parent.where(F.col(c).isNull()).count() for c in "kt"}
+    for name, df, key in [("child", child, k) for k in keys] + [("parent", parent, ["k"]), ("parent", parent, ["t"])]:
+        expected[name, "repeated", ",".join(key)] = df.count() - df.select(*key).distinct().count()
+    for name, df, c, held in [
+        ("child", child, "a", parent.select("k")),
+        ("child", child, "c", child.select("a")),
+        ("parent", parent, "k", child.select("a")),
+        ("parent", parent, "t", child.select("b")),
+    ]:
+        known = {r[0] for r in held.collect()}
+        expected[name, "orphan", c] = sum(r[0] is not None and r[0] not in known for r in df.select(c).collect())
+    assert found == expected and sum(found.values()) > 1000
+    none = integrity_audit({n: t.limit(0) for n, t in tables.items()}, {"child": ["a"]}, {"child": keys}, {})
+    assert [r.violations for r in none.collect()] == [0] * 6
+
+
 def test_missing_rooms_count_as_one_and_missing_totals_as_unknown(spark):
     stays = spark.createDataFrame(
         [(1, day("2024-01-01"), day("2024-01-02"), None, None), (2, day("2024-01-01"), day("2024-01-02"), 2, None),
