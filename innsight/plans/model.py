@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from innsight.functions import constants as C
 from innsight.functions.features import with_features
+from innsight.operators.forest import forest_nodes, forest_prediction
 from innsight.plans.history import with_hotel_columns
 
 #: Columns that the training, its split and the reports read; no others are stored.
@@ -22,7 +25,7 @@ KEPT = (
     "weather_score",
     "demand_score",
 )
-PARTITIONS = 64  # of the training rows
+ROWS_SQUARED = 200  # the training rows of a partition are so many times the partitions
 
 
 def feature_table(history: DataFrame, hotels: DataFrame, city: str | None = None) -> DataFrame:
@@ -51,6 +54,12 @@ def in_training() -> Column:
     return bucket % F.lit(100) < C.TRAIN_PERCENT
 
 
+def layout_of(rows: int) -> int:
+    """Partitions for a number of training rows: partitions and rows in each both grow with
+    its root, so neither becomes too many."""
+    return max(1, math.ceil(math.sqrt(rows / ROWS_SQUARED)))
+
+
 def _laid_out(rows: DataFrame, partitions: int) -> DataFrame:
     """The training rows by a hash of their values, sorted within each partition. The
     forest draws its samples by partition, so the layout is a parameter of the model:
@@ -66,19 +75,21 @@ def assembler() -> VectorAssembler:
 
 
 def train_price_model(
-    features: DataFrame, partitions: int = PARTITIONS, **forest
+    features: DataFrame, partitions: int | None = None, **forest
 ) -> PipelineModel:
     """Fits the pipeline on the training part.
 
     ``features`` is read in several passes, so it should be a stored table (see
     ``scratch_tables``), not a join. ``partitions`` lays the rows out and belongs to
-    the model; larger inputs want more. ``forest`` overrides parameters of the
-    regressor, for example ``maxMemoryInMB`` on large clusters.
+    the model; by default the number of rows decides (see ``layout_of``). ``forest``
+    overrides parameters of the regressor, for example ``maxMemoryInMB`` on large
+    clusters.
     """
     parameters = {"numTrees": C.TREES, "maxDepth": C.TREE_DEPTH, "seed": C.SEED} | forest
     regressor = RandomForestRegressor(featuresCol="features", labelCol=C.LABEL, **parameters)
     train = complete(features).where(in_training()).select(*C.FEATURES, C.LABEL)
-    return Pipeline(stages=[assembler(), regressor]).fit(_laid_out(train, partitions))
+    laid_out = _laid_out(train, partitions or layout_of(train.count()))
+    return Pipeline(stages=[assembler(), regressor]).fit(laid_out)
 
 
 def mean_ratio_prediction(features: DataFrame) -> DataFrame:
@@ -92,9 +103,15 @@ def mean_ratio_prediction(features: DataFrame) -> DataFrame:
     return joined.withColumn("prediction", F.coalesce("own_mean", overall)).drop("own_mean")
 
 
-def predict(model: PipelineModel, features: DataFrame) -> DataFrame:
-    """The complete rows with their predicted price ratio."""
-    return model.transform(complete(features)).drop("features")
+def price_forest(spark: SparkSession, model: PipelineModel) -> DataFrame:
+    """The nodes of a fitted pipeline's forest, to be stored and to predict with."""
+    return forest_nodes(spark, model.stages[-1])
+
+
+def predict(nodes: DataFrame, features: DataFrame) -> DataFrame:
+    """The complete rows with their predicted price ratio, from the nodes of a forest."""
+    rows = complete(features)
+    return rows.withColumn("prediction", forest_prediction(nodes, list(C.FEATURES)))
 
 
 def evaluate(predictions: DataFrame, by: list[str] | None = None) -> DataFrame:

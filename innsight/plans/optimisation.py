@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from innsight.plans.history import price_statistics, run_summary
 from innsight.plans.model import (
@@ -15,50 +15,92 @@ from innsight.plans.model import (
     in_training,
     predict,
     price_adjustment,
+    price_forest,
     train_price_model,
     training_columns,
 )
-from innsight.sources.scratch import scratch_tables
+from innsight.sources.runs import kept_run
+from innsight.sources.scratch import file_system, scratch_tables
 
 
 @dataclass(frozen=True)
 class Optimisation:
-    """Results of one job; every frame is lazy and distributed. ``overall`` and
+    """Results of one job. ``nodes`` are those of the trained forest; ``overall`` and
     ``quality`` (by city) are measured, and ``adjustments`` drawn, on the rows held
-    out. ``model`` and the frames that need it are None when there are no rows to
-    train on."""
+    out. The last four are None when there are no rows to train on."""
 
     summary: DataFrame
     stats: DataFrame
-    model: PipelineModel | None
-    overall: DataFrame | None
-    quality: DataFrame | None
-    adjustments: DataFrame | None
+    nodes: DataFrame | None = None
+    overall: DataFrame | None = None
+    quality: DataFrame | None = None
+    adjustments: DataFrame | None = None
 
 
 def optimise(
     history: DataFrame, hotels: DataFrame, city: str | None = None, **forest
 ) -> Optimisation:
-    """Runs the job for one city or for all cities at once.
+    """Runs the job for one city or for all cities at once; all frames are lazy.
 
     The columns that training reads are written to the shared folder for its many
     passes and deleted when it is done. Statistics and scoring are single passes and
     read the tables themselves. An unknown city gives empty results.
     """
+    spark = history.sparkSession
     features = feature_table(history, hotels, city)
     stats = price_statistics(features)  # rows of known hotels only
     summary = run_summary(features)
-    with scratch_tables(history.sparkSession, "features") as stage:
+    with scratch_tables(spark, "features") as stage:
         stored = stage(training_columns(features))
         if complete(stored).where(in_training()).isEmpty():
-            return Optimisation(summary, stats, None, None, None, None)
-        model = train_price_model(stored, **forest)
-    held_out = predict(model, features.where(~in_training()))
+            return Optimisation(summary, stats)
+        nodes = price_forest(spark, train_price_model(stored, **forest))
+    held_out = predict(nodes, features.where(~in_training()))
     return Optimisation(
         summary=summary,
         stats=stats,
-        model=model,
+        nodes=nodes,
         overall=evaluate(held_out),
         quality=evaluate(held_out, ["city"]),
         adjustments=price_adjustment(held_out, ["hotel_id"]),
     )
+
+
+def kept_optimisation(
+    history: DataFrame,
+    hotels: DataFrame,
+    tables: list[DataFrame],
+    city: str | None = None,
+    root: str | None = None,
+    **forest,
+) -> Optimisation:
+    """The job's results as stored tables. They are made where no earlier run has made them
+    of the same ``tables``, the stored ones that history and hotels are drawn from; one
+    run serves all who ask for any of its results.
+    """
+    spark = history.sparkSession
+
+    def build(path: str) -> None:
+        for name, df in vars(optimise(history, hotels, city, **forest)).items():
+            if df is not None:
+                df.write.parquet(f"{path}/{name}")
+
+    path = kept_run(spark, "optimisation", tables, build, root, city=city, rules=1, **forest)
+    files, _ = file_system(spark, path)
+    found = {}
+    for name in (f.name for f in fields(Optimisation)):
+        folder = f"{path}/{name}"
+        if files.exists(spark._jvm.org.apache.hadoop.fs.Path(folder)):
+            found[name] = spark.read.parquet(folder)
+    return Optimisation(**found)
+
+
+def job_figures(job: Optimisation) -> DataFrame:
+    """(part, hotel_id, measure, value): the summary and all statistics as rows."""
+    def rows(df: DataFrame, part: str, key) -> DataFrame:
+        measures = [c for c in df.columns if c != "hotel_id"]
+        entries = [F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures]
+        return df.select(F.lit(part).alias("part"), key.alias("hotel_id"), F.inline(F.array(*entries)))
+
+    none = F.lit(None).cast("long")
+    return rows(job.summary, "summary", none).unionByName(rows(job.stats, "statistics", F.col("hotel_id").cast("long")))

@@ -311,6 +311,8 @@ _STATS = f"""
            {_rounded(_corr("demand_score", "price"), 8, "demand_price_correlation")}
     FROM price_history WHERE hotel_id IN (SELECT hotel_id FROM hotels{{where}})
     GROUP BY hotel_id"""
+_MEASURES = """'avg_price', 'price_volatility', 'avg_occupancy', 'peak_price', 'floor_price',
+    'weather_price_correlation', 'demand_price_correlation'"""
 _MARKET = f"""
     count(*) AS total_hotels, {_rounded("avg(occupancy)", 8, "avg_occupancy")},
     {_rounded("sum(revenue)", 2, "total_revenue_estimate")},
@@ -682,10 +684,19 @@ _BODIES = {
     FROM plain GROUP BY city, hotel_id""",
     "model_quality": """
     SELECT city, count(*) AS records, true AS beats_plain FROM plain GROUP BY city""",
-    "optimise": """
-    SELECT 'model' AS part, count(*) AS records, true AS good FROM plain
-    UNION ALL SELECT 'summary', count(*), true FROM price_history
-    UNION ALL SELECT 'statistics', count(DISTINCT hotel_id), true FROM price_history""",
+    "optimise": f"""
+    SELECT 'model' AS part, NULL::BIGINT AS hotel_id, 'held_out' AS measure,
+           CAST(count(*) AS DOUBLE) AS value FROM plain
+    UNION ALL SELECT 'summary', NULL, 'records_processed',
+                     CAST(CAST(count(*) AS FLOAT) AS DOUBLE) FROM price_history
+    UNION ALL SELECT 'summary', NULL, 'hotels_analyzed', CAST(count(DISTINCT hotel_id) AS DOUBLE)
+    FROM price_history
+    UNION ALL SELECT 'statistics', hotel_id, unnest([{_MEASURES}]),
+                     unnest([avg_price, price_volatility, avg_occupancy,
+                             CAST(CAST(peak_price AS FLOAT) AS DOUBLE),
+                             CAST(CAST(floor_price AS FLOAT) AS DOUBLE),
+                             weather_price_correlation, demand_price_correlation])
+    FROM ({_STATS.format(where="")})""",
     "integrity_audit": _AUDIT,
     "stream_reprice": f"""
     SELECT signal_id, hotel_id, city, {_moment("event_time")},

@@ -829,7 +829,9 @@ def plain_adjustment(views: Views) -> DataFrame:
 
 
 def _job(views: Views) -> optimisation.Optimisation:
-    return optimisation.optimise(views.price_history, views.hotels)
+    """One run of the job serves all queries over the same files."""
+    tables = [views.table(name) for name in ("lineitem", "supplier", "nation")]
+    return optimisation.kept_optimisation(views.price_history, views.hotels, tables)
 
 
 @query
@@ -843,24 +845,19 @@ def model_quality(views: Views) -> DataFrame:
 
 @query
 def optimise(views: Views) -> DataFrame:
-    """The whole job, its numbers as rows: what was processed, and how good the model
-    is over all rows held out."""
+    """The whole job, its numbers as rows: what was processed, the statistics of every
+    hotel, and how many rows were held out to measure the model."""
     job = _job(views)
-    measured = {"r2_above": 0.9, "rmse_below": 0.1}
-    good = job.overall.select(
+    held_out = job.overall.select(
         F.lit("model").alias("part"),
-        "records",
-        ((F.col("r2") > measured["r2_above"]) & (F.col("rmse") < measured["rmse_below"])).alias("good"),
-    )
-    done = job.summary.select(
-        F.lit("summary").alias("part"),
-        F.col("records_processed").alias("records"),
-        (F.col("hotels_analyzed") > 0).alias("good"),
-    )
-    hotels = job.stats.agg(F.count(F.lit(1)).alias("records")).select(
-        F.lit("statistics").alias("part"), "records", F.lit(True).alias("good")
-    )
-    return good.unionByName(done).unionByName(hotels)
+        F.lit(None).cast("long").alias("hotel_id"),
+        F.lit("held_out").alias("measure"),
+        F.col("records").cast("double").alias("value"),
+    )
+    figures = optimisation.job_figures(job).unionByName(held_out)
+    shown = F.when(F.col("measure").like("%correlation"), F.round("value", 8))
+    shown = shown.when(F.col("measure") == "avg_occupancy", F.round("value", 6))
+    return figures.withColumn("value", shown.otherwise(F.col("value").cast("float").cast("double")))
 
 
 @query

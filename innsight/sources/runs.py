@@ -17,6 +17,8 @@ def fingerprint(spark: SparkSession, inputs: list[DataFrame], parameters: dict)
     frames' columns and of parameters. One listing for each folder; no file is opened."""
     files, seen = {}, []
     for df in inputs:
+        if not df.inputFiles():
+            raise ValueError("only stored tables have a fingerprint")
         for folder in sorted({os.path.dirname(f) for f in df.inputFiles()} - files.keys()):
             system, path = file_system(spark, folder)
             files[folder] = {

@@ -11,7 +11,11 @@ from pyspark.sql import functions as F
 from innsight.plans import bookings as B
 from innsight.plans import detail, forecast, market, model
 from innsight.plans import history as H
-from innsight.plans.optimisation import optimise
+from innsight.functions import constants as C
+from innsight.plans.optimisation import kept_optimisation, optimise
+
+
+from innsight.sources.scratch import stage_table
 
 
 def day(text):
@@ -371,14 +375,15 @@ def test_model_and_its_quality(spark):
     features = model.feature_table(history(spark, rows), hotels(spark))
     assert features.count() == 3001
     fitted = model.train_price_model(features, numTrees=10)
-    predictions = model.predict(fitted, features.where(~model.in_training()))
+    nodes = model.price_forest(spark, fitted)
+    predictions = model.predict(nodes, features.where(~model.in_training()))
     quality = model.evaluate(predictions).first()
     evaluator = RegressionEvaluator(labelCol="price_ratio")
     for metric in ("rmse", "r2"):
         expected = evaluator.evaluate(predictions, {evaluator.metricName: metric})
         assert quality[metric] == pytest.approx(expected)
     assert quality.r2 > 0.5
-    scored = model.predict(fitted, features)
+    scored = model.predict(nodes, features)
     adjustment = model.price_adjustment(scored, ["hotel_id"]).collect()
     assert sum(r.records for r in adjustment) == 3000
     changes = {}
@@ -389,6 +394,61 @@ def test_model_and_its_quality(spark):
         assert row.adjustment_pct == pytest.approx(expected)
 
 
+@pytest.mark.parametrize("trees, depth", [(10, 5), (3, 1), (4, 9), (1, 5)])
+def test_nodes_predict_as_the_model_does(spark, trees, depth):
+    """On every row, held out or not, and with values on the thresholds themselves."""
+    rows = random_history(3000) + [(1, day("2024-01-01"), 5000.0, None, 0.5, 0.5)]
+    features = model.feature_table(history(spark, rows), hotels(spark)).withColumn("row", F.monotonically_increasing_id())
+    features = stage_table(features, "features")
+    fitted = model.train_price_model(features, numTrees=trees, maxDepth=depth)
+    nodes = model.price_forest(spark, fitted)
+    assert nodes.select("tree").distinct().count() == trees
+    assert nodes.where("node = 0").count() == trees and nodes.count() <= trees * 2 ** (depth + 1)
+    edges = nodes.where("left >= 0 and feature = 0").select("threshold").distinct()
+    edges = edges.select(F.col("threshold").alias("weather_score"), F.lit(0.5).alias("demand_score"))
+    edges = edges.withColumns({c: F.lit(0.4) for c in C.FEATURES if c not in edges.columns} | {C.LABEL: F.lit(1.0), "row": -F.monotonically_increasing_id() - 1})
+    both = features.select(*C.FEATURES, C.LABEL, "row").unionByName(edges.select(*C.FEATURES, C.LABEL, "row"))
+    own = {r["row"]: r.prediction for r in model.predict(nodes, both).collect()}
+    theirs = {r["row"]: r.prediction for r in fitted.transform(model.complete(both)).collect()}
+    assert len(own) >= 3000 and own == pytest.approx(theirs, abs=1e-9)
+
+
+def test_layout_grows_with_the_rows():
+    assert [model.layout_of(n) for n in (0, 1, 200, 50_000, 5 * 10**12)] == [1, 1, 1, 16, 158114]
+
+
+def test_one_kept_run_serves_all(spark, tmp_path, monkeypatch):
+    paths = [str(tmp_path / name) for name in ("history", "hotels", "runs")]
+    history(spark, random_history(900)).write.parquet(paths[0])
+    hotels(spark).write.parquet(paths[1])
+    runs, train = [], model.train_price_model
+
+    def counted(*args, **named):
+        runs.append(named)
+        return train(*args, **named)
+
+    monkeypatch.setattr("innsight.plans.optimisation.train_price_model", counted)
+
+    def job(**named):
+        stored = [spark.read.parquet(p) for p in paths[:2]]
+        return kept_optimisation(*stored, stored, root=paths[2], **named)
+
+    first, second = job(numTrees=3), job(numTrees=3)
+    fresh = optimise(spark.read.parquet(paths[0]), spark.read.parquet(paths[1]), numTrees=3)
+    assert len(runs) == 2  # one kept, one that was asked for afresh
+    for name in ("summary", "stats", "nodes", "overall", "quality", "adjustments"):
+        kept = [sorted(getattr(j, name).collect(), key=repr) for j in (first, second)]
+        assert kept[0] == kept[1]
+        found = sorted(getattr(fresh, name).collect(), key=repr)
+        assert len(found) == len(kept[0]) and [tuple(r)[:1] for r in found] == [tuple(r)[:1] for r in kept[0]]
+    assert job(numTrees=3, city="nowhere").nodes is None and len(runs) == 2
+    assert job(numTrees=3, city="Puri").stats.count() == 3 and len(runs) == 3
+    history(spark, random_history(9, seed=5)).write.mode("append").parquet(paths[0])
+    assert job(numTrees=3).summary.first().records_processed == 909 and len(runs) == 4
+    with pytest.raises(ValueError):
+        kept_optimisation(history(spark, []), hotels(spark), [history(spark, [])])
+
+
 def test_layout_decides_on_the_model_not_the_partitions(spark):
     features = model.feature_table(history(spark, random_history(1200)), hotels(spark))
     texts = set()
@@ -423,5 +483,5 @@ def test_optimisation_job(spark):
     one = optimise(df, hotels(spark), "Puri", numTrees=5)
     assert {r.hotel_id for r in one.stats.collect()} <= {6, 7, 8}
     none = optimise(df, hotels(spark), "nowhere")
-    assert none.model is None and none.stats.count() == 0
+    assert none.nodes is None and none.stats.count() == 0
     assert none.summary.first().records_processed == 0
