@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,22 +20,44 @@ def booked_nights(bookings: DataFrame, first=None, last=None) -> DataFrame:
     before check-out, without cancelled bookings. A booking without a number of
     rooms takes one, which is the column's default.
 
-    With ``first``/``last`` only stays that touch those nights are read, and they
-    are cut to them before the nights are generated. The sums combine ahead of
-    the shuffle, so its size is hotels times nights, not bookings times nights.
+    A sweep: each stay adds its rooms on the day it begins and takes them away on the
+    day it ends, whatever its length. The changes of a day are added up ahead of the
+    shuffle, so a hotel has at most as many rows as the calendar has days when its
+    running sums are made; nights are generated last, from stretches without change.
+    With ``first``/``last`` only stays that touch those nights are read, and they are
+    cut to them.
     """
     stays = active(bookings).where(F.col("check_out") > F.col("check_in"))
-    start, end = F.col("check_in"), F.date_sub("check_out", 1)
+    start, end = F.col("check_in"), F.col("check_out")
     if first is not None:
         stays = stays.where(F.col("check_out") > _as_date(first))
         start = F.greatest(start, _as_date(first))
     if last is not None:
         stays = stays.where(F.col("check_in") <= _as_date(last))
-        end = F.least(end, _as_date(last))
+        end = F.least(end, F.date_add(_as_date(last), 1))
+    rooms = F.coalesce("rooms", F.lit(1)).cast("long")
+    one = F.lit(1).cast("long")
+
+    def change(day: Column, sign: int) -> Column:
+        return F.struct(day.alias("day"), (rooms * sign).alias("rooms"), (one * sign).alias("stays"))
+
+    changes = (
+        stays.select("hotel_id", F.inline(F.array(change(start, 1), change(end, -1))))
+        .groupBy("hotel_id", "day")
+        .agg(F.sum("rooms").alias("rooms"), F.sum("stays").alias("stays"))
+    )
+    days = Window.partitionBy("hotel_id").orderBy("day")
+    so_far = days.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        stays.select("hotel_id", F.coalesce("rooms", F.lit(1)).alias("rooms"), F.explode(F.sequence(start, end)).alias("night"))
-        .groupBy("hotel_id", "night")
-        .agg(F.sum("rooms").cast("long").alias("booked_rooms"))
+        changes.select(
+            "hotel_id",
+            "day",
+            F.lead("day").over(days).alias("until"),
+            F.sum("rooms").over(so_far).alias("booked_rooms"),
+            F.sum("stays").over(so_far).alias("stays"),
+        )
+        .where("stays > 0")  # a stay without rooms is a booked night, too
+        .select("hotel_id", F.explode(F.sequence("day", F.date_sub("until", 1))).alias("night"), "booked_rooms")
     )
 
 

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from data import bookings, hotels
@@ -244,6 +245,57 @@ def test_booked_nights_in_a_window(spark, first, last):
     assert sorted(window.collect(), key=repr) == sorted(whole.collect(), key=repr)
 
 
+@pytest.mark.parametrize("window", [(None, None), ("2024-03-01", "2024-03-31"), ("2024-02-10", None), (None, "2024-02-10")])
+def test_sweep_equals_counting_every_night(spark, window):
+    """Long and short stays, a third of them in one hotel, some without rooms."""
+    draw = random.Random(4)
+    rows, expected = [], {}
+    first, last = (w and day(w) for w in window)
+    for i in range(1500):
+        hotel = 1 if i % 3 == 0 else draw.choice((2, 3, 40, None))
+        start = day("2024-01-01") + dt.timedelta(days=draw.randint(0, 100))
+        length = draw.choice((-3, 0, 1, 1, 2, 7, 400))
+        rooms, status = draw.choice((None, 0, 1, 5)), draw.choice((None, "confirmed", "cancelled"))
+        rows.append((hotel, start, start + dt.timedelta(days=length), rooms, status))
+        for k in range(length if status != "cancelled" else 0):
+            night = start + dt.timedelta(days=k)
+            if (not first or night >= first) and (not last or night <= last):
+                at = (hotel, night)
+                expected[at] = expected.get(at, 0) + (1 if rooms is None else rooms)
+    stays = spark.createDataFrame(rows, "hotel_id long, check_in date, check_out date, rooms int, status string")
+    nights = booked_nights(stays, *window)
+    assert {(r.hotel_id, r.night): r.booked_rooms for r in nights.collect()} == expected
+    assert nights.count() == len(expected)
+
+
+def test_two_rows_a_booking_before_the_shuffle(spark):
+    n = 3000
+    stays = spark.range(n).select(
+        (F.col("id") % 7).alias("hotel_id"),
+        F.date_add(F.lit(day("2024-01-01")), F.col("id").cast("int") % 900).alias("check_in"),
+        F.date_add(F.lit(day("2024-01-01")), F.col("id").cast("int") % 900 + 300).alias("check_out"),
+        F.lit(1).alias("rooms"),
+        F.lit("confirmed").alias("status"),
+    )
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        nights = booked_nights(stays)
+        nights.collect()
+        plan = nights._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sent = []
+
+    def walk(node):
+        if node.nodeName() == "Exchange":
+            sent.append(node.metrics().apply("shuffleRecordsWritten").value())
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    walk(plan)
+    assert len(sent) == 2 and max(sent) <= 2 * n
+
+
 def test_supply_is_clamped(spark):
     rows = supply_factors(bookings(spark, STAYS), hotels(spark)).collect()
     share = {(r.hotel_id, str(r.night)): r.supply_factor for r in rows}
