@@ -83,7 +83,7 @@ def lookup(
     return salted_join(fact, dimension, on, how, salt, salts)
 
 
-def _key_hash(on: list[str], kinds: list[str]) -> Column:
+def key_hash(on: list[str], kinds: list[str]) -> Column:
     """One number for a key, alike in both tables; null if a column is null."""
     columns = [F.col(name).cast(kind) for name, kind in zip(on, kinds)]
     present = reduce(Column.__and__, [F.col(name).isNotNull() for name in on])
@@ -100,7 +100,7 @@ def hot_keys(fact: DataFrame, on: list[str], share: float = HOT_SHARE) -> list[i
     no such key can be missed.
     """
     kinds = [fact.schema[name].dataType.simpleString() for name in on]
-    keyed = fact.select(_key_hash(on, kinds).alias("key")).where("key is not null")
+    keyed = fact.select(key_hash(on, kinds).alias("key")).where("key is not null")
     listed = int(2 / share)
     rows, found = keyed.agg(
         F.count(F.lit(1)), F.expr(f"approx_top_k(key, {listed}, {max(TRACKED, 64 * listed)})")
@@ -128,7 +128,7 @@ def salted_join(
     if not hot:
         return fact.join(dimension, on, how)
     kinds = [fact.schema[name].dataType.simpleString() for name in on]
-    is_hot = F.coalesce(_key_hash(on, kinds).isin(hot), F.lit(False))
+    is_hot = F.coalesce(key_hash(on, kinds).isin(hot), F.lit(False))
     spread = F.pmod(F.xxhash64(*salt), F.lit(salts)).cast("int")
     salted = fact.withColumn("lookup_salt", F.when(is_hot, spread).otherwise(F.lit(0)))
     every, one = F.sequence(F.lit(0), F.lit(salts - 1)), F.array(F.lit(0))

@@ -712,4 +712,8 @@ _BODIES = {
           FROM events) GROUP BY hotel_id, window_start, window_end""",
 }
 
+_BODIES["bucketed_history_with_hotels"] = _BODIES["history_with_hotels"]
+_BODIES["bucketed_hotel_stats"] = _BODIES["hotel_stats"]
+_BODIES["bucketed_latest_reviews"] = _BODIES["latest_reviews"]
+
 ORACLE = {name: _with_views(body) for name, body in _BODIES.items()}

@@ -356,6 +356,38 @@ def history_with_hotels(views: Views) -> DataFrame:
     )
 
 
+@query
+def bucketed_history_with_hotels(views: Views) -> DataFrame:
+    """The same from tables stored by buckets of the hotel; no history row moves."""
+    stored = views.bucketed("price_history", "lineitem", ["recorded_date"])
+    joined = stored.lookup(views.bucketed("hotels", "supplier", []))
+    return joined.select(
+        "l_orderkey", "l_linenumber", "hotel_id", "city", "star_rating", "base_price", "price"
+    )
+
+
+@query
+def bucketed_hotel_stats(views: Views) -> DataFrame:
+    stored = views.bucketed("price_history", "lineitem", ["recorded_date"])
+    return _stats_row(stored.grouped(history.price_statistics))
+
+
+@query
+def bucketed_latest_reviews(views: Views) -> DataFrame:
+    """The newest reviews of every hotel, from reviews stored by buckets of the hotel."""
+    rows = views.bucketed("reviews", "events", ["created_at"]).grouped(
+        lambda reviews: newest(reviews, C.DETAIL_REVIEWS)
+    )
+    return rows.select(
+        "hotel_id",
+        F.col("review_rank").cast("long"),
+        "review_id",
+        "reviewer_name",
+        "rating",
+        _moment("created_at"),
+    )
+
+
 @query
 def latest_reviews(views: Views) -> DataFrame:
     rows = newest(views.reviews, C.DETAIL_REVIEWS)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from innsight.functions.pricing import raw_history_price
+from innsight.operators.bucketed import Bucketed, open_bucketed, write_bucketed
 from innsight.operators.measured import SignalSummary
 from innsight.sources.runs import kept_run
 
@@ -28,6 +29,9 @@ _EVENTS = T.StructType(
 )
 
 
+BUCKETS = 8  # of the small test tables
+
+
 def _base_price(key: str) -> Column:
     return (F.lit(3000) + F.pmod(F.col(key) * 7919, F.lit(42000))).cast("double")
 
@@ -113,6 +117,16 @@ class Views:
         path = kept_run(self.spark, "signal-sums", [self.table("lineitem")], build, rule=1)
         return SignalSummary(self.spark, path).sums()
 
+    def bucketed(self, name: str, source: str, sort_by: list[str]) -> Bucketed:
+        """A view stored by buckets of the hotel, once for the files it is drawn from."""
+        view = getattr(self, name)
+
+        def build(path: str) -> None:
+            write_bucketed(view, path, "hotel_id", BUCKETS, sort_by)
+
+        path = kept_run(self.spark, f"bucketed-{name}", [self.table(source)], build, rule=1)
+        return open_bucketed(self.spark, path)
+
     @property
     def bookings(self) -> DataFrame:
         key = F.col("o_orderkey")
