@@ -11,9 +11,10 @@ together. The agenda runs on each stretch between such places; short stretches a
 remembered. A vocabulary without that property runs on whole
 texts.
 
-The sentencepiece library encodes each new stretch as well and decodes every text,
-an Arrow batch in one call. ``agrees`` tells whether both gave the same for all of a
-text; where not, the library's answer is returned.
+The ids are the agenda's. The sentencepiece library encodes each new stretch as well, an
+Arrow batch in one call, and decodes every text; ``agrees`` tells whether both gave the
+same for all of a text. A model whose pieces were not learned by merging, or whose
+normaliser changes a text, would show there.
 """
 
 from __future__ import annotations
@@ -192,7 +193,7 @@ class Vocabulary:
                 answer = self.lone
             if made != answer:
                 self.disputed.add(key)
-            self.recent[key] = array(self.code, answer).tobytes()
+            self.recent[key] = array(self.code, made).tobytes()
 
     def encode_all(self, texts: list[str]) -> list[tuple[list[int], bool]]:
         """Ids of each text, and whether agenda and library agree on them."""

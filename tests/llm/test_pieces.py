@@ -38,6 +38,17 @@ def test_heap_and_list_agendas_agree(library, documents):
         assert v.merge(marked) == library.encode(text[:3000])
 
 
+def test_ids_are_the_agendas(library, monkeypatch):
+    """An agenda that merges wrongly shows in the ids, and is reported."""
+    v = Vocabulary(MODEL)
+    right = v._merged_by_list
+    monkeypatch.setattr(v, "_merged_by_list", lambda text: list(text) if "cat" in text else right(text))
+    (ids, agreed), (others, fine) = v.encode_all(["the cat sat", "the dog sat"])
+    assert not agreed and ids != library.encode("the cat sat")
+    assert fine and others == library.encode("the dog sat")
+    assert v.decode(ids) == "the cat sat"
+
+
 def test_broken_bytes_decode_like_the_library(library):
     v = Vocabulary(MODEL)
     for ids in ([200], [3 + 0xE2, 3 + 0x82], [29871, 3 + 0xC3, 3 + 0xA9], [1, 263, 2], [0]):
