@@ -6,10 +6,9 @@ and a class emits its words as often as the corpus holds them. The likelihood of
 text is the scaled forward recursion over its classes times the share of each word
 in its class; it is computed exactly, for texts of any length.
 
-What is learned covers every training text: word counts, and the Baum-Welch counts
-of states and classes, which each task computes for its texts and Spark adds up.
-The first parameters come from a bounded sample; they are only where the passes
-over the corpus begin.
+What is learned covers every training text whole: word counts, the parts of a mixture
+that the states begin as, and the Baum-Welch counts of states and classes. Each task
+computes the counts of its texts and Spark adds them up.
 """
 
 from __future__ import annotations
@@ -34,11 +33,11 @@ ENDING = 4  # bytes of a word that decide on its class
 PASSES = 2  # Baum-Welch passes over the training texts
 #: Words with their counts that every task holds; the others are joined.
 FREQUENT = 150_000
-START_DOCUMENTS = 600  # of the sample that gives the first parameters
+MIXTURE_PASSES = 3  # over the training texts, for the first parameters
 COUNTED = 200_000  # different words that a task holds before it hands them on
 GATHERED = 6_000_000  # tokens that a task sorts by length of text
 BLOCK = 1_000_000  # tokens in one recursion
-LEARNED_AT_ONCE = 250_000  # longer texts are learned from in parts; scored whole
+LEARNED_AT_ONCE = 250_000  # tokens of a text whose states are held together
 END = CLASSES
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -74,24 +73,39 @@ class Model:
         )
 
     @classmethod
-    def first(cls, texts: list[np.ndarray], seed: int = 1) -> Model:
-        """From a mixture of class frequencies, one part for each state, fitted to
-        whole texts; states then rarely change."""
-        draw = np.random.default_rng(seed)
-        counts = np.zeros((len(texts), CLASSES + 1))
-        for row, classes in enumerate(texts):
-            np.add.at(counts[row], classes, 1)
-        part = draw.dirichlet(np.ones(STATES) * 0.3, len(texts))
-        for _ in range(15):
-            emit = part.T @ counts + 0.05
-            log = counts @ np.log(emit / emit.sum(1, keepdims=True)).T
-            log += np.log(part.mean(0) + 1e-6) if len(texts) else 0
-            part = np.exp(log - log.max(1, keepdims=True))
-            part /= part.sum(1, keepdims=True)
-        emit = part.T @ counts
-        return cls.from_counts(
-            part.sum(0), 20 * np.eye(STATES) + 0.2, emit + 0.05 * counts.sum(0) / max(1, counts.sum())
-        )
+    def first(cls, weights: np.ndarray, emit: np.ndarray) -> Model:
+        """From the parts of a mixture of class frequencies, one for each state: states
+        rarely change."""
+        common = emit.sum(0) / max(1.0, emit.sum())
+        return cls.from_counts(weights, 20 * np.eye(STATES) + 0.2, emit + 0.05 * common)
+
+
+def first_part(classes: np.ndarray) -> int:
+    """The part of the mixture that a text begins in: by its most frequent class."""
+    words = classes[:-1]
+    return int(np.bincount(words).argmax()) % STATES if len(words) else 0
+
+
+def mixture_counts(
+    parts: tuple[np.ndarray, np.ndarray] | None, texts: list[np.ndarray]
+) -> tuple[np.ndarray, np.ndarray]:
+    """Texts by part, and their classes by part: each text counts in the parts as likely
+    as they make it, or in its first part where there are no ``parts`` yet."""
+    flat = np.concatenate(texts)
+    lengths = np.array([len(t) for t in texts])
+    starts = np.cumsum(lengths) - lengths
+    if parts is None:
+        share = np.eye(STATES)[[first_part(t) for t in texts]]
+    else:
+        weights, emit = parts
+        emit = emit + 0.05
+        logs = np.log(emit / emit.sum(1, keepdims=True))
+        share = np.stack([np.add.reduceat(own[flat], starts) for own in logs], axis=1)
+        share += np.log((weights + 1e-6 * (1 + weights.sum())) / (1 + weights.sum()))
+        share = np.exp(share - share.max(1, keepdims=True))
+        share /= share.sum(1, keepdims=True)
+    emit = np.stack([np.bincount(flat, np.repeat(own, lengths), CLASSES + 1) for own in share.T])
+    return share.sum(0), emit
 
 
 def packed(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -158,6 +172,50 @@ def expected_counts(model: Model, texts: list[np.ndarray]) -> tuple[np.ndarray,
     return forward[: reach[0]].sum(0), moves * move, emissions
 
 
+def expected_counts_of_long(
+    model: Model, text: np.ndarray, at_once: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for one long text, with the states of ``at_once`` of its places in memory.
+
+    The forward recursion runs once to learn the state at the end of each stretch, and
+    again, from the last stretch to the first, within each while the backward
+    recursion goes through it. Nothing is lost where two stretches meet.
+    """
+    emit, move = np.ascontiguousarray(model.emit.T), model.move
+    cuts = range(0, len(text), at_once)
+
+    def forward(cut: int, state: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        some = emit[text[cut : cut + at_once]]
+        states, scales = np.empty((len(some), STATES)), np.empty(len(some))
+        for i, here in enumerate(some):
+            state = here * model.start if state is None else here * (state @ move)
+            scales[i] = state.sum()
+            state = states[i] = state / scales[i]
+        return states, scales
+
+    entries: list[np.ndarray | None] = [None]
+    for cut in cuts[:-1]:
+        entries.append(forward(cut, entries[-1])[0][-1])
+    moves, emissions = np.zeros((STATES, STATES)), np.zeros((STATES, CLASSES + 1))
+    back, coming, first = move.T.copy(), None, np.zeros(STATES)
+    for cut, entry in zip(reversed(cuts), reversed(entries)):
+        states, scales = forward(cut, entry)
+        seen = text[cut : cut + at_once]
+        arriving = np.empty_like(states)  # emission times backward over scale, by place
+        after = np.empty_like(states)
+        for i in range(len(seen) - 1, -1, -1):
+            after[i] = 1.0 if coming is None else coming @ back
+            coming = arriving[i] = emit[seen[i]] * after[i] / scales[i]
+        moves += states[:-1].T @ arriving[1:]
+        if entry is not None:
+            moves += np.outer(entry, arriving[0])
+        own = states * after
+        for k in range(STATES):
+            emissions[k] += np.bincount(seen, own[:, k], CLASSES + 1)
+        first = own[0]
+    return first, moves * move, emissions
+
+
 def blocks(texts: list[np.ndarray]) -> Iterator[list[int]]:
     """Indexes of texts of like length, with about BLOCK classes together."""
     chosen, held = [], 0
@@ -281,26 +339,55 @@ def _prepare(docs: DataFrame, frequent: list[tuple[str, int]]) -> DataFrame:
     return stage_table(prepared.withColumn("row", F.monotonically_increasing_id()), "hmm_texts")
 
 
-def baum_welch(model: Model, stored: DataFrame) -> Model:
-    """One pass over the stored texts: counts by task, summed by number."""
-    shared = stored.sparkSession.sparkContext.broadcast(model)
+def _summed(stored: DataFrame, size: int, count) -> np.ndarray:
+    """The sum over all stored texts of what ``count`` makes of lists of them, ``size``
+    numbers each time. Tasks add up their own; Spark adds up by number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(STATES + STATES * STATES + STATES * (CLASSES + 1))
+        total = np.zeros(size)
         for _, texts in _gathered(batches):
-            cut = [
-                t[a : a + LEARNED_AT_ONCE] for t in texts for a in range(0, len(t), LEARNED_AT_ONCE)
-            ]
-            for chosen in blocks(cut):
-                counts = expected_counts(shared.value, [cut[i] for i in chosen])
+            for counts in count(texts):
                 total += np.concatenate([c.ravel() for c in counts])
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"place": pa.array(at, pa.int32()), "n": total[at]})
 
     counted = map_batches(stored.select("n_tokens", "classes"), run, "place int, n double")
-    total = np.zeros(STATES + STATES * STATES + STATES * (CLASSES + 1))
+    total = np.zeros(size)
     for place, n in counted.groupBy("place").agg(F.sum("n")).collect():  # of fixed number
         total[place] = n
+    return total
+
+
+def mixture(stored: DataFrame, passes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The parts of a mixture of class frequencies, after so many passes over all stored
+    texts that refine the first parts."""
+    parts = None
+    for _ in range(passes + 1):
+        shared = stored.sparkSession.sparkContext.broadcast(parts)
+
+        def count(texts, shared=shared):
+            for chosen in blocks(texts):
+                yield mixture_counts(shared.value, [texts[i] for i in chosen])
+
+        total = _summed(stored, STATES * (CLASSES + 2), count)
+        parts = total[:STATES], total[STATES:].reshape(STATES, -1)
+    return parts
+
+
+def baum_welch(model: Model, stored: DataFrame) -> Model:
+    """One pass over all stored texts, each of them whole."""
+    shared = stored.sparkSession.sparkContext.broadcast(model)
+    at_once = LEARNED_AT_ONCE
+
+    def count(texts):
+        long = [t for t in texts if len(t) > at_once]
+        short = [t for t in texts if len(t) <= at_once]
+        for chosen in blocks(short):
+            yield expected_counts(shared.value, [short[i] for i in chosen])
+        for text in long:
+            yield expected_counts_of_long(shared.value, text, at_once)
+
+    total = _summed(stored, STATES + STATES**2 + STATES * (CLASSES + 1), count)
     start, move, emit = np.split(total, [STATES, STATES + STATES**2])
     return Model.from_counts(start, move.reshape(STATES, -1), emit.reshape(STATES, -1))
 
@@ -339,9 +426,7 @@ def score_texts(
     floor = math.log10(tokens + 0.5 * (different + known_end + 1))
     end_log = math.log10(ends + 0.5)
 
-    start = training.orderBy(F.xxhash64("doc_id"), "row").limit(START_DOCUMENTS).select("classes")
-    texts = [np.frombuffer(r[0], np.uint16)[-BLOCK // 10 :] for r in start.collect()]
-    model = Model.first(texts)
+    model = Model.first(*mixture(training, MIXTURE_PASSES))
     for _ in range(passes):
         model = baum_welch(model, training)
 

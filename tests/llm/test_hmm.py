@@ -78,6 +78,72 @@ def test_expected_counts_equal_forward_backward():
     assert emissions == pytest.approx(em)
 
 
+@pytest.mark.parametrize("n, at_once", [(1, 1), (5, 1), (40, 7), (40, 40), (41, 40), (300, 64)])
+def test_long_texts_lose_nothing_where_stretches_meet(n, at_once):
+    m, draw = model(5), np.random.default_rng(n)
+    text = draw.integers(0, hmm.CLASSES + 1, n).astype(np.uint16)
+    whole = hmm.expected_counts(m, [text])
+    for a, b in zip(whole, hmm.expected_counts_of_long(m, text, at_once)):
+        assert a == pytest.approx(b, abs=1e-12)
+
+
+def plain_mixture(texts):
+    """Part by part and text by text."""
+    k, size = hmm.STATES, hmm.CLASSES + 1
+    share = []
+    for t in texts:
+        own = Counter(t[:-1])
+        most = min((c for c in own if own[c] == max(own.values())), default=0)
+        share.append([float(i == most % k) for i in range(k)])
+    for turn in range(hmm.MIXTURE_PASSES + 1):
+        emit = np.zeros((k, size))
+        for t, s in zip(texts, share):
+            for c in t:
+                emit[:, c] += s
+        weights = np.sum(share, axis=0)
+        if turn == hmm.MIXTURE_PASSES:
+            return weights, emit
+        logs = np.log((emit + 0.05) / (emit + 0.05).sum(1, keepdims=True))
+        share = []
+        for t in texts:
+            log = logs[:, t].sum(1) + np.log((weights + 1e-6 * (1 + weights.sum())) / (1 + weights.sum()))
+            p = np.exp(log - log.max())
+            share.append(p / p.sum())
+
+
+@pytest.mark.parametrize("at_once", [250_000, 9])
+def test_score_from_end_to_end(frame, prose, monkeypatch, at_once):
+    """The whole computation again, with a plain recursion for every text."""
+    monkeypatch.setattr(hmm, "LEARNED_AT_ONCE", at_once)
+    rows = [(i, f"{prose(3 + i % 23)} w{i} Rare{i % 7}") for i in range(70)] + [(90, None), (91, ""), (91, "")]
+    got = sorted((r["doc_id"], r["score"]) for r in hmm.score_texts(frame(rows), frequent=9).collect())
+    training = [t for d, t in rows if not held_out(d)]
+    coded = lambda t: [hmm.class_of(w.encode()) for w in words_of(t)] + [hmm.END]
+    texts = [np.array(coded(t), np.uint16) for t in training]
+    m = hmm.Model.first(*plain_mixture(texts))
+    for _ in range(hmm.PASSES):
+        counts = [hmm.expected_counts(m, [t]) for t in texts]
+        m = hmm.Model.from_counts(*(sum(c[i] for c in counts) for i in range(3)))
+    words = Counter(w for t in training for w in words_of(t))
+    size = Counter()
+    kinds = Counter()
+    for w, n in words.items():
+        size[hmm.class_of(w.encode())] += n
+        kinds[hmm.class_of(w.encode())] += 1
+    expected = []
+    for doc_id, text in rows:
+        own = words_of(text)
+        score = forward(m, coded(text)) / math.log(10)
+        for w in own:
+            c = hmm.class_of(w.encode())
+            room = size[c] + 0.5 * (kinds[c] + 1) if kinds[c] else 0.5
+            score += math.log10((words[w] + 0.5) / room)
+        expected.append((doc_id, score))
+    # the end is the only word of its class
+    assert [d for d, _ in got] == sorted(d for d, _ in rows)
+    assert [s for _, s in got] == pytest.approx([s for _, s in sorted(expected)], rel=1e-6)
+
+
 def test_a_pass_raises_the_likelihood():
     texts = sequences()
     m = model()
