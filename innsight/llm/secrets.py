@@ -9,7 +9,7 @@ added as spans; base spans stay whatever their frequency.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from innsight.sources.scratch import stage_table
@@ -25,23 +25,35 @@ KINDS = ("assign", "access", "hex", "generic")
 # Long tokens that are no base span: a digit, a small and a capital letter in 24
 # characters or more.
 GENERIC = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}+"
-#: Values that so many owners hold are copied examples.
+#: Values that so many owners and repositories hold are copied examples.
 COPIED_OWNERS = 3
+COPIED_REPOSITORIES = 3
+SPAN = (
+    "struct<start:bigint,kind:int,stop:bigint,value:string,n_repositories:bigint,"
+    "n_owners:bigint,copied:boolean>"
+)
+
+_SPANS = "array<struct<start:bigint,kind:int,stop:bigint,value:string>>"
+#: Matches that are placed together: a running sum over a list copies it at each step,
+#: so a list of n is summed in parts of this size, and the parts after them.
+PLACED = 128
+
 
-_EMPTY = "array<struct<start:bigint,kind:int,stop:bigint,value:string>>"
+def _let(value: Column, then) -> Column:
+    """``then`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def _spans(text: Column, pattern: str, group: int, kind: int) -> Column:
     """Array of (start, kind, stop, value) of all matches, in code points.
 
-    The text between matches and the matches alternate, so a running sum of their
-    lengths gives every place.
+    The text between matches and the matches alternate, so running sums of their
+    lengths give every place: within parts of PLACED matches, and over the parts.
     """
-    gaps = F.split(text, pattern, -1)
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
     steps = F.arrays_zip(
-        F.transform(gaps, lambda g: F.char_length(g).cast("long")).alias("gap"),
+        F.transform(F.split(text, pattern, -1), lambda g: F.char_length(g).cast("long")).alias("gap"),
         F.transform(whole, lambda w: F.char_length(w).cast("long")).alias("length"),
         value.alias("value"),
     )
@@ -53,19 +65,53 @@ def _spans(text: Column, pattern: str, group: int, kind: int) -> Column:
             start.alias("start"), F.lit(kind).alias("kind"), stop.alias("stop"), x["value"].alias("value")
         )
         grown = F.concat(state["made"], F.array(made))
-        return F.when(
-            x["length"].isNull(), state  # behind the last match
-        ).otherwise(F.struct(stop.alias("at"), grown.alias("made")))
+        return F.struct(stop.alias("at"), grown.alias("made"))
+
+    zero = F.lit(0).cast("long")
+    nothing = F.struct(zero.alias("at"), F.array().cast(_SPANS).alias("made"))
+
+    def placed(steps: Column) -> Column:
+        # the last gap is behind all matches
+        starts = F.sequence(F.lit(1), F.greatest(F.size(steps) - 1, F.lit(1)), F.lit(PLACED))
+        parts = F.transform(
+            starts,
+            lambda i: F.aggregate(
+                F.slice(steps, i, F.least(F.lit(PLACED), F.size(steps) - i)), nothing, step
+            ),
+        )
+        return _let(parts, shifted)
+
+    def shifted(parts: Column) -> Column:
+        begin = F.struct(zero.alias("at"), F.array().cast("array<bigint>").alias("made"))
+        before = F.aggregate(
+            parts,
+            begin,
+            lambda state, x: F.struct(
+                (state["at"] + x["at"]).alias("at"),
+                F.concat(state["made"], F.array(state["at"])).alias("made"),
+            ),
+            lambda state: state["made"],
+        )
+        moved = F.transform(
+            F.arrays_zip(parts["made"].alias("made"), before.alias("by")),
+            lambda part: F.transform(
+                part["made"],
+                lambda m: F.struct(
+                    (m["start"] + part["by"]).alias("start"),
+                    m["kind"].alias("kind"),
+                    (m["stop"] + part["by"]).alias("stop"),
+                    m["value"].alias("value"),
+                ),
+            ),
+        )
+        return F.flatten(moved)
 
-    begin = F.struct(
-        F.lit(0).cast("long").alias("at"), F.array().cast(_EMPTY).alias("made")
-    )
-    spans = F.aggregate(steps, begin, step, lambda s: s["made"])
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(_EMPTY))
+    return F.when(text.rlike(pattern), _let(steps, placed)).otherwise(F.array().cast(_SPANS))
 
 
 def _candidates(docs: DataFrame, doc_id: str, text: str, owner: Column, repository: Column):
-    """A narrow row for each document: its base spans, other candidates and hashes."""
+    """A narrow row for each document, with a number of its own: all spans, generic ones
+    too, their values as hashes."""
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     own = docs.select(
         F.col(doc_id).alias("doc_id"),
@@ -78,30 +124,33 @@ def _candidates(docs: DataFrame, doc_id: str, text: str, owner: Column, reposito
     mixed = lambda s: (
         s["value"].rlike("[0-9]") & s["value"].rlike("[a-z]") & s["value"].rlike("[A-Z]")
     )
-    found = own.select(
-        "doc_id",
-        "owner",
-        "repository",
-        F.xxhash64("doc_id", "text", "owner", "repository").alias("row"),
-        F.filter(_spans(t, ASSIGN, 2, 0), long_value).alias("assign"),
-        _spans(t, ACCESS, 0, 1).alias("access"),
-        _spans(t, HEX, 0, 2).alias("hex"),
-        F.filter(_spans(t, GENERIC, 0, 3), mixed).alias("generic"),
+    every = F.concat(
+        F.filter(_spans(t, ASSIGN, 2, 0), long_value),
+        _spans(t, ACCESS, 0, 1),
+        _spans(t, HEX, 0, 2),
+        F.filter(_spans(t, GENERIC, 0, 3), mixed),
     )
-    base = F.array_sort(F.concat("assign", "access", "hex"))
-    apart = lambda g: ~F.exists(
-        "base", lambda b: (b["start"] < g["stop"]) & (g["start"] < b["stop"])
+    hashed = F.transform(every, lambda s: s.withField("value", F.sha2(s["value"], 256)))
+    return own.select(
+        "doc_id", "owner", "repository", F.monotonically_increasing_id().alias("row"), hashed.alias("every")
     )
-    hashed = lambda s: s.withField("value", F.sha2(s["value"], 256))
-    return found.select(
-        "doc_id",
-        "owner",
-        "repository",
-        "row",
-        *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]],
-        F.transform(base, hashed).alias("base"),
-        "generic",
-    ).withColumn("generic", F.transform(F.filter("generic", apart), hashed))
+
+
+def _apart(spans: DataFrame) -> DataFrame:
+    """The base spans, and the generic ones that meet none of their text.
+
+    A sweep in the order of places: a generic span meets a base span that starts before
+    its stop if the furthest stop of those lies beyond its start.
+    """
+    base = F.col("kind") < 3
+    sweep = (
+        Window.partitionBy("row")
+        .orderBy(F.when(base, F.col("start")).otherwise(F.col("stop") - 1), (~base).cast("int"))
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    reached = F.max(F.when(base, F.col("stop"))).over(sweep)
+    marked = spans.withColumn("reached", reached)
+    return marked.where(base | F.coalesce(F.col("reached") <= F.col("start"), F.lit(True))).drop("reached")
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
@@ -142,49 +191,48 @@ def scan_secrets(
     doc_id: str = "doc_id",
     text: str = "text",
     copied_owners: int = COPIED_OWNERS,
+    copied_repositories: int = COPIED_REPOSITORIES,
 ) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_assign, n_access, n_hex,
-    base (array of start, kind, stop, value hash), base_text, added (the same, of
-    owner-specific generic tokens), spans (text of base and added), n_copied,
-    n_live.
+    base (array of start, kind, stop, value hash, and the numbers of repositories and
+    owners that hold the value), base_text, added (the same, of owner-specific generic
+    tokens), spans (text of base and added), n_copied, n_live.
 
     Starts and stops are code points, the stop exclusive; spans are in order of
-    start, then kind. n_copied and n_live count the spans, base or generic, whose
-    value at least ``copied_owners`` owners hold, or fewer. Null and empty texts
-    have no spans. Repeated rows stay and agree; rows without owner lend no owner.
+    start, then kind. A value that at least ``copied_owners`` owners and
+    ``copied_repositories`` repositories hold is a copied example: n_copied counts
+    such spans, base or generic, n_live all others. Null and empty texts have no
+    spans. Repeated rows stay and agree; rows without owner or repository lend none,
+    and a value that no row with both holds counts as live.
+
+    Work is linear in the matches of a text, but for sorting them: every span is a
+    row between the scan and the result.
     """
     found = stage_table(_candidates(docs, doc_id, text, owner, repository), "secrets")
-    # equal rows ask once
-    asked = (
-        found.select("row", "owner", "repository", F.explode(F.concat("base", "generic")).alias("s"))
-        .select("row", "owner", "repository", F.col("s.value").alias("value"))
-        .distinct()
-    )
-    copied = ownership(asked).where(F.col("n_owners") >= copied_owners).select("value")
-    of_row = (
-        asked.select("row", "value")
-        .distinct()
-        .join(copied, "value", "left_semi")
-        .groupBy("row")
-        .agg(F.collect_set("value").alias("copied"))  # of one document
-    )
-    joined = found.join(of_row, "row", "left").withColumn(
-        "copied", F.coalesce("copied", F.array().cast("array<string>"))
-    )
-    is_copied = lambda s: F.array_contains("copied", s["value"])
-    every = F.concat("base", "generic")
-    n_all = F.size(every).cast("long")
-    n_copied = F.size(F.filter(every, is_copied)).cast("long")
-    added = F.filter("generic", lambda s: ~is_copied(s))
+    spans = _apart(found.select("row", "owner", "repository", F.inline("every")))
+    held = ownership(spans.select("value", "repository", "owner"))
+    known = spans.drop("owner", "repository").join(held, "value", "left").fillna(0, ["n_repositories", "n_owners"])
+    copied = (F.col("n_owners") >= copied_owners) & (F.col("n_repositories") >= copied_repositories)
+    span = F.struct("start", "kind", "stop", "value", "n_repositories", "n_owners", copied.alias("copied"))
+    of_row = known.groupBy("row").agg(F.sort_array(F.collect_list(span)).alias("all"))  # of one document
+    none = F.filter(F.array(F.lit(None).cast(SPAN)), lambda s: s.isNotNull())
+    joined = found.select("doc_id", "row").join(of_row, "row", "left").withColumn("all", F.coalesce("all", none))
+    of_kind = lambda kind: lambda s: s["kind"] == kind
+    added = lambda s: (s["kind"] == 3) & ~s["copied"]
+    kept = lambda s: (s["kind"] < 3) | ~s["copied"]
+    n_copied = F.size(F.filter("all", lambda s: s["copied"])).cast("long")
+    shown = lambda spans: F.transform(spans, lambda s: s.dropFields("copied"))
+    base = F.filter("all", lambda s: s["kind"] < 3)
     return joined.select(
         "doc_id",
-        "n_assign",
-        "n_access",
-        "n_hex",
-        "base",
-        _text(F.col("base")).alias("base_text"),
-        added.alias("added"),
-        _text(F.array_sort(F.concat("base", added))).alias("spans"),
+        *[
+            F.size(F.filter("all", of_kind(k))).cast("long").alias(f"n_{name}")
+            for k, name in enumerate(KINDS[:3])
+        ],
+        shown(base).alias("base"),
+        _text(base).alias("base_text"),
+        shown(F.filter("all", added)).alias("added"),
+        _text(F.filter("all", kept)).alias("spans"),
         n_copied.alias("n_copied"),
-        (n_all - n_copied).alias("n_live"),
+        (F.size("all").cast("long") - n_copied).alias("n_live"),
     )

@@ -73,6 +73,56 @@ def test_copied_values_are_told_from_live_ones(owned):
     assert got[31]["n_live"] == 1
 
 
+def test_both_counts_decide(owned):
+    """Copied is what several owners and several repositories hold."""
+    rows = [(i, f"see {COPIED} here", f"owner{i}", "one place") for i in range(9)]
+    rows += [(20 + i, f"use {LIVE}", f"owner{i % 3}", f"repo{i % 3}") for i in range(9)]
+    got = {r["doc_id"]: r for r in scan(owned(rows)).collect()}
+    assert all(got[i]["n_live"] == 1 and got[i]["spans"] for i in range(9))
+    assert all(got[20 + i]["n_copied"] == 1 and not got[20 + i]["spans"] for i in range(9))
+    assert {(s["n_owners"], s["n_repositories"]) for s in got[3]["added"]} == {(9, 1)}
+    looser = scan_secrets(owned(rows), F.col("owner"), F.col("repository"), copied_repositories=1)
+    assert looser.agg(F.sum("n_copied")).first()[0] == 18
+
+
+def test_generic_tokens_stay_apart_from_base_spans(owned):
+    """Tokens within, around, across and beside base spans, in any order."""
+    token, long_hex = LIVE, "0a1b2c3d" * 4
+    texts = [
+        f"password={token}", f"{token} {long_hex}", f"Zz9{long_hex}", f"{long_hex}Zz9 {token}", f"{token}=x {token}",
+        f"token={token}+{LIVE[:-1]} {token}", "AKIA" + "Q" * 20 + "z1 " + token, f"{token},{token}",
+    ]
+    got = {r["doc_id"]: r for r in scan(owned([(i, t, "o", "r") for i, t in enumerate(texts)])).collect()}
+    for i, text in enumerate(texts):
+        own = base(text)
+        generic = [
+            (m.start(), m.end())
+            for m in re.finditer(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}", text)
+            if re.search("[0-9]", m[0]) and re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0])
+        ]
+        apart = [g for g in generic if not any(a < g[1] and g[0] < b for a, _, b in own)]
+        assert [(s["start"], s["stop"]) for s in got[i]["added"]] == apart, text
+
+
+@pytest.mark.parametrize("n", [127, 128, 129, 256, 257, 1000])
+def test_places_of_many_matches(owned, n):
+    text = " ".join(f"é token=abcdefghij{i:05}" if i % 2 else f"{i:016x}" for i in range(n))
+    row = scan(owned([(1, text, "o", "r")])).first()
+    assert row["base_text"] == text_of(base(text))
+
+
+def test_a_hundred_thousand_matches_in_one_text(owned):
+    import time
+
+    text = " ".join(f"{i:016x}" for i in range(100_000))
+    df = owned([(1, text, "o", "r"), (2, "Zx8" + "aB3" * 9, "o", "r")])
+    begin = time.time()
+    row = scan(df).where("doc_id = 1").select("n_hex", "n_live", F.sha2("base_text", 256).alias("sha")).first()
+    assert time.time() - begin < 60
+    assert (row["n_hex"], row["n_live"]) == (100_000, 100_000)
+    assert row["sha"] == hashlib.sha256(text_of(base(text)).encode()).hexdigest()
+
+
 def test_awkward_rows(owned, awkward):
     rows = [(i, t, None if i == 6 else "o", "r") for i, t in awkward]
     got = scan(owned(rows)).collect()
