@@ -12,17 +12,18 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.core.broadcast import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
-from innsight.llm.arrow import field, map_batches, pieces
+from innsight.llm.arrow import field, free_names, map_batches, pieces, with_text_columns
+from innsight.sources.scratch import remove_folder, scratch_folder, stage_table
 
 WINDOW = 13
 #: Benchmark bytes in one automaton; a larger benchmark is scanned for in several.
@@ -93,17 +94,6 @@ def places(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(at[a][0], at[b - 1][1]) for a, b in ranges]
 
 
-def _shards(benchmark: DataFrame, item: str, text: str, shard_bytes: int):
-    known = benchmark.select(
-        F.col(item).cast("string").alias("item"), F.col(text).cast("string").alias("text")
-    ).where("item is not null and text is not null")
-    total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, math.ceil(total / shard_bytes))
-    for i in range(n):
-        mine = known.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i)
-        yield [tuple(row) for row in mine.collect()]
-
-
 def find_contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -119,59 +109,117 @@ def find_contamination(
 
     A document is contaminated if some word is hit and hit words are at least a
     twentieth. Null and empty texts have no words. Items without id, text or words
-    match nothing; items of equal id count once. Every row of ``docs`` stays. An
-    automaton is built over a bounded part of the benchmark; a benchmark beyond
-    that bound is searched part after part, in the same pass over the documents.
+    match nothing; items of equal id count once. Every row of ``docs`` stays.
+
+    An automaton is built over ``shard_bytes`` of the benchmark at most, which the
+    driver and each task hold. A larger benchmark is written in parts of that size.
+    The documents are then searched for one part after the other; what was found of
+    a part is stored and its automaton gone before the next.
     """
+    known = benchmark.select(
+        F.col(item).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")
+    ).where("item is not null and text is not null")
+    total = known.agg(F.sum(F.octet_length("text") + F.octet_length("item"))).first()[0] or 0
+    n = max(1, math.ceil(total / shard_bytes))
     context = docs.sparkSession.sparkContext
-    shards = list(_shards(benchmark, item, item_text, shard_bytes))
-    found = docs
-    for number, items in enumerate(shards):
-        found = _scanned(
-            found, context.broadcast(items), text, window, number == 0, number == len(shards) - 1
-        )
+    if n == 1:
+        shared = context.broadcast([tuple(row) for row in known.collect()])
+        found = _settled(docs, text, window, shared)
+    else:
+        found = _in_parts(docs, text, window, known, n)
     hit, words = F.col("n_hit"), F.col("n_words")
     return found.withColumn("contaminated", (hit > 0) & (hit * 20 >= words))
 
 
-def _scanned(
-    docs: DataFrame, shared: Broadcast, text: str, window: int, first: bool, last: bool
-) -> DataFrame:
-    """One part of the benchmark searched for. What earlier parts have found comes in
-    the columns __hits and items; the last part settles it."""
-    span = T.ArrayType(T.LongType(), False)
-    made = [field("n_words", T.LongType()), field("items", T.ArrayType(T.StringType(), False))]
-    if last:
-        made += [field("n_hit", T.LongType()), field("hit_spans", T.ArrayType(span, False))]
-    else:
-        made.append(field("__hits", T.ArrayType(span, False)))
-    replaced = {"n_words", "items", "n_hit", "hit_spans", "__hits"}
-    kept = [f for f in docs.schema if f.name not in replaced]
-    names = [f.name for f in kept]
-    kinds = [f.type for f in to_arrow_schema(T.StructType(made))]
-
+def _in_parts(docs: DataFrame, text: str, window: int, known: DataFrame, n: int) -> DataFrame:
+    """One pass for each part of the benchmark. Texts meet what was found in them by
+    digests, so equal texts are searched alike and no row needs a number."""
+    spark = docs.sparkSession
+    one, two, ranges, items = free_names(docs, "one", "two", "found_ranges", "found_items")
+
+    def digests(value: Column, first: str, second: str) -> dict[str, Column]:
+        return {first: F.xxhash64(value, F.lit(1)), second: F.xxhash64(F.lit(2), value)}
+
+    numbered = known.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(n)).cast("int"))
+    path = scratch_folder(spark, "benchmark")
+    # one folder a part; a hot item's rows are one part whatever they are
+    numbered.write.partitionBy("part").parquet(path)
+    parts = spark.read.schema(numbered.schema).parquet(path)
+    value = F.col(text).cast("string")
+    own = docs.select(value.alias("text")).withColumns(digests(F.col("text"), "one", "two"))
+    hits = []
+    for part in range(n):
+        mine = parts.where(F.col("part") == part).select("item", "text").collect()
+        shared = spark.sparkContext.broadcast([tuple(row) for row in mine])
+        found = map_batches(own.where("text is not null"), _hits(window, shared), HITS)
+        hits.append(stage_table(found.dropDuplicates(["one", "two"]), "hits"))
+        shared.destroy()
+    remove_folder(spark, path)
+    met = reduce(DataFrame.unionByName, hits).groupBy(F.col("one").alias(one), F.col("two").alias(two))
+    met = met.agg(  # of one text, a part's list each
+        F.flatten(F.collect_list("ranges")).alias(ranges),
+        F.array_distinct(F.flatten(F.collect_list("items"))).alias(items),
+    )
+    keyed = docs.withColumns(digests(value, one, two))
+    joined = keyed.join(met, [one, two], "left").drop(one, two)
+    return _settled(joined, text, window, None, (ranges, items)).drop(ranges, items)
+
+
+HITS = "one long, two long, ranges array<array<long>>, items array<string>"
+
+
+def _hits(window: int, shared: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Automaton(shared.value, window)
         for batch in batches:
-            for part in pieces(batch, text):
-                rows = part.num_rows
-                before = [[]] * rows if first else part.column("__hits").to_pylist()
-                known = [[]] * rows if first else part.column("items").to_pylist()
-                columns: list[list] = [[] for _ in made]
-                for value, hits, items in zip(part.column(text).to_pylist(), before, known):
-                    words = words_of(value or "")
-                    ranges, found = automaton.matches(words)
-                    ranges = merged([*ranges, *map(tuple, hits)])
-                    out = [len(words), sorted({*items, *found})]
-                    if last:
-                        out += [sum(b - a for a, b in ranges), places(value or "", ranges)]
-                    else:
-                        out.append(ranges)
-                    for column, x in zip(columns, out):
-                        column.append(x)
-                arrays = [pa.array(v, t) for v, t in zip(columns, kinds)]
+            for part in pieces(batch, "text"):
+                found = []
+                for row in part.to_pylist():
+                    ranges, items = automaton.matches(words_of(row["text"]))
+                    if ranges:
+                        found.append((row["one"], row["two"], ranges, sorted(items)))
+                kinds = (pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.list_(pa.string()))
+                columns = zip(*found) if found else [()] * 4
                 yield pa.RecordBatch.from_arrays(
-                    [*[part.column(n) for n in names], *arrays], [*names, *(f.name for f in made)]
+                    [pa.array(c, k) for c, k in zip(columns, kinds)], ["one", "two", "ranges", "items"]
                 )
 
-    return map_batches(docs, run, T.StructType([*kept, *made]))
+    return run
+
+
+def _settled(
+    docs: DataFrame,
+    text: str,
+    window: int,
+    shared: Broadcast | None,
+    met: tuple[str, str] | None = None,
+) -> DataFrame:
+    """``docs`` with the result's columns: searched here, or from the columns with the
+    ranges and items that were met before."""
+    span = T.ArrayType(T.LongType(), False)
+    made = [
+        field("n_words", T.LongType()),
+        field("items", T.ArrayType(T.StringType(), False)),
+        field("n_hit", T.LongType()),
+        field("hit_spans", T.ArrayType(span, False)),
+    ]
+
+    def make():
+        automaton = Automaton(shared.value, window) if shared else None
+
+        def work(texts, ranges=None, items=None):
+            columns: list[list] = [[] for _ in made]
+            for i, value in enumerate(texts):
+                words = words_of(value or "")
+                if automaton:
+                    own, names = automaton.matches(words)
+                else:
+                    own, names = merged([tuple(r) for r in ranges[i] or []]), items[i] or []
+                row = len(words), sorted(names), sum(b - a for a, b in own), places(value or "", own)
+                for column, x in zip(columns, row):
+                    column.append(x)
+            return columns
+
+        return work
+
+    return with_text_columns(docs, text, made, make, also=met or ())

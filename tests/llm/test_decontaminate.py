@@ -34,12 +34,13 @@ def test_equals_brute_force(spark, frame, shard_bytes):
         "sun moon sun\tmoon sun", "SUN.MOON", "the tea the tea tree", "Été sun moon É", None, "",
         "the tea tree " * 50, "blue tree red tea", "x y",
     ]
-    docs = frame(list(enumerate(texts)), clash=("n_hit", "items", "n_words"))
+    docs = frame(list(enumerate(texts)), clash=("n_hit", "items", "n_words", "__hits", "one", "TWO", "found_items"))
     found = find_contamination(docs, benchmark, window=3, shard_bytes=shard_bytes)
     for row in found.collect():
         n_words, n_hit, names = brute(row["text"], items, 3)
         assert (row["n_words"], row["n_hit"], row["items"]) == (n_words, n_hit, names)
         assert row["contaminated"] == (n_hit > 0 and 20 * n_hit >= n_words)
+        assert row["__hits"] == row["one"] == row["TWO"] == row["found_items"] == "x"
         inside = " ".join(row["text"][a:b] for a, b in row["hit_spans"])
         assert len(WORD.findall(inside.translate(LOWER))) == n_hit
 
@@ -54,6 +55,28 @@ def test_awkward_rows_and_empty_tables(spark, frame, awkward):
     assert find_contamination(frame(awkward), none).where("n_hit > 0").count() == 0
 
 
+def test_parts_are_searched_one_after_the_other(spark, frame, prose, monkeypatch):
+    """Neither the driver nor a task ever holds more than one part."""
+    from innsight.llm import decontaminate
+
+    held, broadcast = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(
+        type(spark.sparkContext),
+        "broadcast",
+        lambda self, value: held.append(sum(len(t) + len(i) for i, t in value)) or broadcast(self, value),
+    )
+    items = [(i, f"item {i} {prose(20)} {i}") for i in range(120)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(i, f"before {items[i % 120][1]} after {items[i * 7 % 120][1]}" if i % 3 else prose(90)) for i in range(60)]
+    docs = frame([*rows, *rows[:5], (99, None)])
+    whole = decontaminate.find_contamination(docs, benchmark).collect()
+    assert len(held) == 1
+    parts = decontaminate.find_contamination(docs, benchmark, shard_bytes=2000).collect()
+    assert len(held) > 6 and max(held[1:]) < 4 * 2000 < held[0]
+    key = lambda r: repr((r["doc_id"], r["text"]))
+    assert sorted(whole, key=key) == sorted(parts, key=key)
+
+
 def test_query_equals_sql(spark, contract):
     compare(spark, contract, "op10_decontamination")
 
