@@ -1,129 +1,221 @@
 """Embedding near-duplicates by int8 tile products with error bounds.
 
-Distinct vectors of a label are dealt out over tiles of bounded size, and each pair
-of tiles is one group of two rows of tiles. Within it the unit vectors are rounded
-to int8 with a scale of their own; the length of what rounding lost bounds how far
-the rounded cosine can be off. Only pairs that may reach the threshold under that
-bound are computed again in double precision.
+Distinct unit vectors are rounded to int8 with a scale of their own; the length of
+what rounding lost bounds how far the cosine of two of them can be off. The rounded
+vectors of a label are dealt out over tiles of bounded size, and each pair of tiles is
+one group of two rows of tiles: their product tells which pairs link for sure, which
+never, and which are open. Only the vectors of open pairs are fetched in double
+precision, and only these pairs computed again.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from innsight.llm.arrow import map_batches
 from innsight.llm.components import connected_components
 from innsight.sources.scratch import stage_table
 
 THRESHOLD = 0.98
-TILE = 2048  # vectors, on average
+TILE = 4096  # vectors, on average
 _ROWS = 512  # of a product at once
 _SLACK = 1e-6  # for rounding in the bounds themselves
+_CHECKED = 1 << 15  # open pairs computed at once
+ANSWER = "node long, links long, root long, low int, high int"
+
+Rounded = tuple[np.ndarray, np.ndarray, np.ndarray]  # int8 vectors, scales, lengths lost
 
 
-def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(unit vectors, their int8 form, its scales, lengths of what was lost)."""
+def units(x: np.ndarray) -> np.ndarray:
     # scaled by the largest component first, so that no square overflows
     unit = x / np.abs(x).max(1, keepdims=True)
-    unit /= np.sqrt((unit * unit).sum(1, keepdims=True))
+    return unit / np.sqrt((unit * unit).sum(1, keepdims=True))
+
+
+def quantised(unit: np.ndarray) -> Rounded:
     scale = np.abs(unit).max(1) / 127
     q = np.rint(unit / scale[:, None]).astype(np.int8)
     lost = np.sqrt(((unit - q * scale[:, None]) ** 2).sum(1))
-    return unit, q, scale, lost
+    return q, scale, lost
 
 
-def tile_links(
-    left: np.ndarray, right: np.ndarray, threshold: float = THRESHOLD, same: bool = False
-) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes of all pairs of rows with a cosine of ``threshold`` or more; with
-    ``same`` the tiles are one and each pair counts once."""
-    unit_l, q_l, scale_l, lost_l = quantised(left)
-    unit_r, q_r, scale_r, lost_r = (unit_l, q_l, scale_l, lost_l) if same else quantised(right)
+def pairs_of(
+    left: Rounded, right: Rounded, threshold: float, same: bool
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Indexes of pairs of rows that may reach the threshold, and whether they do for sure;
+    a block of rows at a time. With ``same`` the tiles are one and a pair comes once."""
+    q_l, scale_l, lost_l = left
+    q_r, scale_r, lost_r = right
     # products of int8 numbers sum exactly in single precision up to this width
-    exact = np.float32 if left.shape[1] * 127 * 127 < 1 << 24 else np.float64
+    exact = np.float32 if q_l.shape[1] * 127 * 127 < 1 << 24 else np.float64
     turned = np.ascontiguousarray(q_r.T, dtype=exact)
-    found = []
-    for at in range(0, len(left), _ROWS):
+    for at in range(0, len(q_l), _ROWS):
         some = slice(at, at + _ROWS)
-        product = q_l[some].astype(exact) @ turned
-        bound = threshold - _SLACK - (lost_l[some, None] + lost_r + lost_l[some, None] * lost_r)
-        i, j = np.nonzero(product * scale_l[some, None] * scale_r >= bound)
+        cosine = (q_l[some].astype(exact) @ turned) * scale_l[some, None] * scale_r
+        off = lost_l[some, None] + lost_r + lost_l[some, None] * lost_r + _SLACK
+        i, j = np.nonzero(cosine + off >= threshold)
+        sure = (cosine - off)[i, j] >= threshold
         i += at
         if same:
-            i, j = i[i < j], j[i < j]
-        for part in range(0, len(i), _ROWS * 64):
-            a, b = i[part : part + _ROWS * 64], j[part : part + _ROWS * 64]
-            near = np.einsum("nd,nd->n", unit_l[a], unit_r[b]) >= threshold
-            found.append((a[near], b[near]))
-    if not found:
-        return np.zeros(0, int), np.zeros(0, int)
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-
-
-def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """For each of n places the least place that the links connect it with."""
-    root = np.arange(n)
+            once = i < j
+            i, j, sure = i[once], j[once], sure[once]
+        yield i, j, sure
+
+
+def joined_roots(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least place that each place is connected with, when links come to those that
+    have led to ``root``."""
     while True:
-        low = np.minimum(root[i], root[j])
-        new = root.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = new[new]
-        if np.array_equal(new, root):
+        a, b = root[i], root[j]
+        apart = a != b
+        if not apart.any():
             return root
-        root = new
+        np.minimum.at(root, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while not np.array_equal(root, root[root]):
+            root = root[root]
 
 
-def _pair(threshold: float):
-    def run(table: pa.Table) -> pa.Table:
-        parts = {}
-        for row in range(table.num_rows):
-            vectors = table["vectors"][row].values
-            number = table["tile"][row].as_py()
-            width = table["dim"][row].as_py()
-            x = vectors.field("embedding").flatten().to_numpy(zero_copy_only=False)
-            parts[number] = (
-                vectors.field("node").to_numpy(),
-                vectors.field("times").to_numpy(),
-                x.astype(np.float64).reshape(-1, width),
+class Links:
+    """Weighted numbers of links, and a forest that connects what they do."""
+
+    def __init__(self, nodes: np.ndarray, times: np.ndarray):
+        order = np.argsort(nodes)  # the least place is then the least node
+        self.place = np.empty_like(order)
+        self.place[order] = np.arange(len(order))
+        self.nodes, self.times = nodes[order], times[order]
+        self.links = np.zeros(len(nodes), np.int64)
+        self.root = np.arange(len(nodes))
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        i, j = self.place[i], self.place[j]
+        np.add.at(self.links, i, self.times[j])
+        np.add.at(self.links, j, self.times[i])
+        self.root = joined_roots(self.root, i, j)
+
+    def answer(self, open_nodes: np.ndarray) -> pa.Table:
+        linked = self.links > 0
+        whole = _answer(self.nodes[linked], self.links[linked], self.nodes[self.root][linked])
+        return pa.concat_tables([whole, _answer(open_nodes, None, None)])
+
+
+def _tiles(table: pa.Table, columns: Callable) -> tuple[list, bool] | None:
+    """What ``columns`` makes of the vectors of each of the two tiles of a group, or of the
+    one; None if one of two is not there."""
+    parts = {}
+    for row in range(table.num_rows):
+        vectors = table["vectors"][row].values
+        parts[table["tile"][row].as_py()] = columns(vectors, table["dim"][row].as_py())
+    low, high = table["low"][0].as_py(), table["high"][0].as_py()
+    if low not in parts or high not in parts:
+        return None
+    return ([parts[low]], True) if low == high else ([parts[low], parts[high]], False)
+
+
+def _rounded(vectors: pa.StructArray, dim: int):
+    q = np.frombuffer(b"".join(vectors.field("q").to_pylist()), np.int8).reshape(-1, dim)
+    numbers = [vectors.field(c).to_numpy() for c in ("scale", "lost", "node", "times")]
+    return (q, *numbers[:2]), *numbers[2:], vectors
+
+
+def _round_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, q, scale, lost) of (node, dim, embedding)."""
+    for batch in batches:
+        dims = batch.column("dim").to_numpy()
+        flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        starts = np.cumsum(dims) - dims
+        for dim in np.unique(dims):
+            rows = np.flatnonzero(dims == dim)
+            q, scale, lost = quantised(units(flat[starts[rows, None] + np.arange(dim)]))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("node").take(pa.array(rows)),
+                    pa.array([x.tobytes() for x in q], pa.binary()),
+                    pa.array(scale),
+                    pa.array(lost),
+                ],
+                ["node", "q", "scale", "lost"],
             )
-        low, high = table["low"][0].as_py(), table["high"][0].as_py()
-        if low not in parts or high not in parts:
+
+
+def _first(threshold: float):
+    """Sure links of a pair of tiles, and the vectors of open pairs (links null)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        found = _tiles(table, _rounded)
+        if found is None:
             return _answer([], [], [])
-        nodes, times, x = parts[low]
-        if low == high:
-            i, j = tile_links(x, x, threshold, same=True)
-        else:
-            other, other_times, y = parts[high]
-            i, j = tile_links(x, y, threshold)
-            j = j + len(nodes)
-            nodes, times = np.concatenate([nodes, other]), np.concatenate([times, other_times])
-        order = np.argsort(nodes)  # the least place is then the least node
-        place = np.empty_like(order)
-        place[order] = np.arange(len(order))
-        nodes, times, i, j = nodes[order], times[order], place[i], place[j]
-        links = np.zeros(len(nodes), np.int64)
-        np.add.at(links, i, times[j])
-        np.add.at(links, j, times[i])
-        linked = links > 0
-        roots = nodes[local_roots(len(nodes), i, j)]
-        return _answer(nodes[linked], links[linked], roots[linked])
+        tiles, same = found
+        (left, nodes, times, _), (right, *_) = tiles[0], tiles[-1]
+        shift = 0 if same else len(nodes)
+        if not same:
+            nodes, times = (np.concatenate([t[k] for t in tiles]) for k in (1, 2))
+        links, is_open = Links(nodes, times), np.zeros(len(nodes), bool)
+        for i, j, sure in pairs_of(left, right, threshold, same):
+            j = j + shift
+            links.add(i[sure], j[sure])
+            is_open[i[~sure]] = is_open[j[~sure]] = True
+        return links.answer(nodes[is_open])
+
+    return run
+
+
+def _second(threshold: float):
+    """Links of the open pairs among the vectors that a pair of tiles has left open."""
+
+    def columns(vectors: pa.StructArray, dim: int):
+        x = vectors.field("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        return (*_rounded(vectors, dim)[:3], units(x.reshape(-1, dim)))
+
+    def run(table: pa.Table) -> pa.Table:
+        found = _tiles(table, columns)
+        if found is None:
+            return _answer([], [], [])
+        tiles, same = found
+        (left, nodes, times, unit_l), (right, _, _, unit_r) = tiles[0], tiles[-1]
+        shift = 0 if same else len(nodes)
+        if not same:
+            nodes, times = (np.concatenate([t[k] for t in tiles]) for k in (1, 2))
+        links = Links(nodes, times)
+        for i, j, sure in pairs_of(left, right, threshold, same):
+            i, j = i[~sure], j[~sure]
+            for at in range(0, len(i), _CHECKED):
+                a, b = i[at : at + _CHECKED], j[at : at + _CHECKED]
+                near = np.einsum("nd,nd->n", unit_l[a], unit_r[b]) >= threshold
+                links.add(a[near], b[near] + shift)
+        return links.answer(nodes[:0])
 
     return run
 
 
 def _answer(node, links, root) -> pa.Table:
+    none = pa.nulls(len(node), pa.int64())
     return pa.table(
         {
             "node": pa.array(node, pa.int64()),
-            "links": pa.array(links, pa.int64()),
-            "root": pa.array(root, pa.int64()),
+            "links": none if links is None else pa.array(links, pa.int64()),
+            "root": none if root is None else pa.array(root, pa.int64()),
         }
     )
 
 
+def _by_pair(met: DataFrame, group: list[str], run: Callable) -> DataFrame:
+    """``run`` on each pair of tiles; its answer with the numbers of the two."""
+
+    def named(key, table):
+        made = run(table)
+        for name in ("low", "high"):
+            number = table[name][0].as_py()
+            made = made.append_column(name, pa.array([number] * made.num_rows, pa.int32()))
+        return made
+
+    return met.groupBy(*group).applyInArrow(named, ANSWER)
+
+
 def near_vectors(
     vectors: DataFrame,
     vec_id: str = "vec_id",
@@ -175,26 +267,36 @@ def near_vectors(
     sizes = classes.groupBy("label", "dim").agg(
         F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles")
     )
-    tiles = (
-        classes.join(sizes, ["label", "dim"])
-        .groupBy("label", "dim", "tiles", F.pmod("hash", F.col("tiles")).cast("int").alias("tile"))
-        # of a tile, whose size the number of tiles bounds
-        .agg(F.collect_list(F.struct("node", "times", "embedding")).alias("vectors"))
+    rounded = map_batches(
+        classes.select("node", "dim", "embedding"), _round_vectors, "node long, q binary, scale double, lost double"
     )
-    met = tiles.withColumn("met", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
-        "label",
-        "dim",
-        F.least("tile", "met").alias("low"),
-        F.greatest("tile", "met").alias("high"),
-        "tile",
-        "vectors",
+    dealt = stage_table(
+        classes.drop("embedding", "least")
+        .join(rounded, "node")
+        .join(sizes, ["label", "dim"])
+        .withColumn("tile", F.pmod("hash", F.col("tiles")).cast("int"))
+        .drop("hash"),
+        "vector_tiles",
     )
-    pairs = stage_table(
-        met.groupBy("label", "dim", "low", "high").applyInArrow(
-            _pair(threshold), "node long, links long, root long"
-        ),
-        "vector_links",
+    group = ["label", "dim", "low", "high"]
+    low, high = F.least("tile", "met").alias("low"), F.greatest("tile", "met").alias("high")
+    met = (
+        dealt.groupBy("label", "dim", "tiles", "tile")
+        # of a tile, whose size the number of tiles bounds
+        .agg(F.collect_list(F.struct("node", "times", "q", "scale", "lost")).alias("vectors"))
+        .withColumn("met", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        .select("label", "dim", low, high, "tile", "vectors")
+    )
+    first = stage_table(_by_pair(met, group, _first(threshold)), "vector_links")
+    unsettled = first.where("links is null").select("node", "low", "high")
+    fetched = (
+        unsettled.join(dealt.drop("tiles"), "node")
+        .join(classes.select("node", "embedding"), "node")
+        .groupBy(*group, "tile")
+        .agg(F.collect_list(F.struct("node", "times", "q", "scale", "lost", "embedding")).alias("vectors"))
     )
+    second = stage_table(_by_pair(fetched, group, _second(threshold)), "vector_links")
+    pairs = first.where("links is not null").unionByName(second).select("node", "links", "root")
     counts = pairs.groupBy("node").agg(F.sum("links").alias("links"))
     roots = connected_components(pairs, "node", "root")
     settled = (

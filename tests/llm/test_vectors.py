@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from innsight.llm.vectors import near_vectors, quantised, tile_links
+from innsight.llm.vectors import joined_roots, near_vectors, pairs_of, quantised, units
 
 SCHEMA = "vec_id long, embedding array<float>, label int, kept string"
 
@@ -40,16 +40,35 @@ def brute(rows, threshold=0.98):
 
 def test_bounds_hold_and_no_pair_is_lost():
     draw = np.random.default_rng(1)
-    x = draw.standard_normal((300, 24)) * np.exp(draw.standard_normal((300, 1)) * 5)
-    y = x + draw.standard_normal(x.shape) * np.abs(x) * draw.uniform(0, 0.4, (300, 1))
-    unit_x, q, s, lost = quantised(x)
-    unit_y, r, t, lost_y = quantised(y)
+    x = draw.standard_normal((700, 24)) * np.exp(draw.standard_normal((700, 1)) * 5)
+    y = x + draw.standard_normal(x.shape) * np.abs(x) * draw.uniform(0, 0.4, (700, 1))
+    unit_x, unit_y = units(x), units(y)
+    (q, s, lost), (r, t, lost_y) = left, right = quantised(unit_x), quantised(unit_y)
     true = unit_x @ unit_y.T
     rounded = (q.astype(float) @ r.T) * s[:, None] * t
     bound = lost[:, None] + lost_y + lost[:, None] * lost_y
     assert (np.abs(true - rounded) <= bound + 1e-12).all()
-    i, j = tile_links(x, y, 0.98)
-    assert sorted(zip(i, j)) == sorted(zip(*np.nonzero(true >= 0.98)))
+    found = [np.concatenate(c) for c in zip(*pairs_of(left, right, 0.98, False))]
+    sure = set(zip(*(c[found[2]].tolist() for c in found[:2])))
+    maybe = set(zip(*(c[~found[2]].tolist() for c in found[:2])))
+    linked = set(zip(*(c.tolist() for c in np.nonzero(true >= 0.98))))
+    assert sure <= linked <= sure | maybe and sure and maybe - linked and linked - sure
+    once = [np.concatenate(c) for c in zip(*pairs_of(left, left, 0.98, True))]
+    assert (once[0] < once[1]).all()
+
+
+def test_roots_of_links_in_parts():
+    draw = np.random.default_rng(3)
+    for n, m in ((1, 0), (50, 30), (400, 350), (400, 2000)):
+        i, j = draw.integers(0, n, m), draw.integers(0, n, m)
+        root = np.arange(n)
+        for at in range(0, m, 97):
+            root = joined_roots(root, i[at : at + 97], j[at : at + 97])
+        expected = list(range(n))
+        for _ in range(n):
+            for a, b in zip(i, j):
+                expected[a] = expected[b] = min(expected[a], expected[b])
+        assert root.tolist() == expected
 
 
 @pytest.mark.parametrize("tile", [2048, 7])
