@@ -31,8 +31,11 @@ BUCKETS, PAIRS = 1 << 15, 1 << 12
 WORD_SIZE, PAIR_SIZE, HIDDEN = 12, 8, 8
 INPUT = WORD_SIZE + PAIR_SIZE
 EPOCHS, BATCH, RATE = 8, 64, 0.01
-PRIOR = 3  # texts of each class that every word counts as seen in
-TOXIC_SHARE = 0.25
+PRIOR = 3  # texts that every word counts as seen in
+SELDOM = 5  # texts with a word that let half of its odds count
+LEAST_TEXTS = 5  # with a word that has a vector of its own
+DROPPED = 0.3  # of the learned numbers of a word, in training
+TOXIC_SHARE = 0.3
 REMEMBERED = 100_000  # words per task
 AT_ONCE = 1024  # windows
 
@@ -240,8 +243,9 @@ def train(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int =
     """A network fitted to labelled texts, by their best window of each epoch.
 
     The first number of a word vector starts as how much likelier the word is in
-    toxic texts; all numbers are then learned. The classes weigh as TOXIC_SHARE says,
-    whatever their numbers, and a text without words is learned as not toxic.
+    toxic texts; all numbers are then learned, but for words of few texts, which have
+    none of their own. The classes weigh as TOXIC_SHARE says, whatever their numbers,
+    and a text without words is learned as not toxic.
     """
     network = Network(seed)
     if not texts:
@@ -259,16 +263,23 @@ def train(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int =
     counts = np.zeros((2, BUCKETS))
     for r, label in zip(rows, toxic):
         counts[int(label > 0), np.unique(bucket[r])] += 1
-    odds = np.log((counts[1] + PRIOR) / (y.sum() + 2 * PRIOR))
-    odds -= np.log((counts[0] + PRIOR) / ((1 - y).sum() + 2 * PRIOR))
-    network.p["word"][:, 0] = np.clip(odds, -3, 3) * 0.5
+    # a word counts as seen in PRIOR more texts of the usual share, and the fewer texts
+    # it is in, the less its odds say
+    seen, usual = counts.sum(0), max(y.sum(), 1) / len(y)
+    odds = np.log((counts[1] + PRIOR * usual) / (counts[0] + PRIOR * (1 - usual)))
+    odds -= np.log(usual / (1 - usual))
+    network.p["word"][:, 0] = np.clip(odds * seen / (seen + SELDOM), -3, 3)
+    # what few texts hold would only teach which texts these are
+    rare = seen < LEAST_TEXTS
+    network.p["word"][rare] = 0
 
     ids, first = windows(rows)
     last = np.append(first[1:], len(ids))
     draw = np.random.default_rng(seed)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in network.p.items()}
     step = 0
-    for _ in range(epochs):
+    sums, averaged = {k: np.zeros(v.shape) for k, v in network.p.items()}, 0
+    for epoch in range(epochs):
         gates = np.concatenate(
             [
                 network.gates(
@@ -291,6 +302,10 @@ def train(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int =
             mask = (some > 0).astype(np.float32)
             used, place = np.unique(some, return_inverse=True)
             x_used = network.inputs(bucket[used], codes[used], shares[used])
+            # what single texts teach about single words must not be relied on
+            kept_inputs = (draw.random(x_used.shape) >= DROPPED) / (1 - DROPPED)
+            kept_inputs[:, 0] = 1
+            x_used = (x_used * kept_inputs).astype(np.float32)
             x = x_used[place.reshape(some.shape)]
 
             def error(logits, chosen=chosen):
@@ -299,14 +314,23 @@ def train(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int =
             g, d_x = network.gradients(x, mask, error)
             d_used = np.zeros_like(x_used)
             np.add.at(d_used, place.ravel(), d_x.reshape(-1, INPUT))
+            d_used *= kept_inputs
             d_used[used == 0] = 0
             g["word"] = np.zeros_like(network.p["word"])
             np.add.at(g["word"], bucket[used], d_used[:, :WORD_SIZE])
+            g["word"][rare] = 0
             g["pair"] = np.zeros_like(network.p["pair"])
             spread = shares[used][..., None] * d_used[:, None, WORD_SIZE:]
             np.add.at(g["pair"], codes[used].ravel(), spread.reshape(-1, PAIR_SIZE))
             step += 1
             _adam(network.p, g, moments, step)
+            if 2 * epoch >= epochs:
+                for k, v in network.p.items():
+                    sums[k] += v
+                averaged += 1
+    # the mean over the later steps hangs less on the order of the texts than the last
+    for k, v in sums.items():
+        network.p[k] = (v / averaged).astype(np.float32)
     return network
 
 
@@ -341,7 +365,8 @@ def fit(
     hash of their ids, none held out, none of more than ``sample_chars``.
 
     A document that several labels name is toxic if one says so; null labels and
-    ids count for nothing. Without any labelled document the network is untrained
+    ids count for nothing. Of several texts with one id the one of the least hash is
+    learned. Without any labelled document the network is untrained
     and scores everything alike low.
     """
     known = (
@@ -357,7 +382,8 @@ def fit(
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     own = own.where(F.col("text").isNotNull() & (F.char_length("text") <= sample_chars))
     # the ids drawn are of bounded number, the texts of bounded length
-    sample = own.join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"])
+    sample = own.join(F.broadcast(drawn), "doc_id").groupBy("doc_id")
+    sample = sample.agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic"))
     rows = sorted((r["doc_id"], r["text"], r["toxic"]) for r in sample.collect())
     return train([r[1] for r in rows], [int(r[2] > 0) for r in rows])
 

@@ -65,6 +65,56 @@ def test_one_bad_word_anywhere_in_a_long_text_counts(prose):
     assert low < 0.3 <= high and empty == none < 0.3
 
 
+def test_scores_equal_a_plain_recursion(prose):
+    """Every window by itself, word by word and number by number."""
+    texts, toxic = toy(prose)
+    network = M.train(texts, toxic, epochs=2)
+    p = {k: v.astype(float) for k, v in network.p.items()}
+    h, sigmoid = M.HIDDEN, lambda x: 1 / (1 + np.exp(-x))
+
+    def layer(inputs, side):
+        state, states = np.zeros(h), []
+        into, shift = p["into"][:, 3 * h * side :], p["shift"][3 * h * side :]
+        for x in inputs[:: -1 if side else 1]:
+            g, u = x @ into[:, : 3 * h] + shift[: 3 * h], state @ p[f"across{side}"]
+            z, r = sigmoid(g[:h] + u[:h]), sigmoid(g[h : 2 * h] + u[h : 2 * h])
+            state = z * state + (1 - z) * np.tanh(g[2 * h :] + r * u[2 * h :])
+            states.append(state)
+        return states[:: -1 if side else 1]
+
+    def plain(text):
+        words = M.words_of(text)
+        inputs = []
+        for w in words:
+            matrix = M.letters([w])
+            codes, shares = M.pairs(matrix)
+            letters = sum(s * p["pair"][c] for s, c in zip(shares[0], codes[0]))
+            inputs.append(np.concatenate([p["word"][M.buckets(matrix)[0]], letters]))
+        logits = []
+        for start in M.window_starts(len(words)):
+            own = inputs[start : start + M.WINDOW]
+            if not own:
+                logits.append(p["bias"][0])
+                continue
+            states = [np.concatenate(s) for s in zip(layer(own, 0), layer(own, 1))]
+            looked = np.exp([s @ p["look"] for s in states])
+            pooled = sum(a * s for a, s in zip(looked / looked.sum(), states))
+            logits.append(pooled @ p["out"] + p["bias"][0])
+        return sigmoid(max(logits))
+
+    asked = [*texts[:6], "", "vile", prose(33), "Nasty! " * 40]
+    found = M.score_texts(network, M.Words(network), asked)
+    assert found == pytest.approx([plain(t) for t in asked], abs=1e-4)
+
+
+def test_repeated_ids_train_alike(spark, frame, prose):
+    rows = [(i % 20, prose(30) + (" vile" if i % 2 else "")) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    first = M.fit(frame(rows), labels)
+    second = M.fit(frame(rows[::-1]).repartition(7), labels)
+    assert all((first.p[k] == second.p[k]).all() for k in first.p)
+
+
 def test_query_on_held_out_labels(spark, contract):
     folder = "/root/testdata/sf0.01"
     rows = contract.queries()["op1_toxicity"](spark, folder).collect()
@@ -79,7 +129,9 @@ def test_query_on_held_out_labels(spark, contract):
     bad = [s for s, t in scored if t]
     auc = np.mean([(b > g) + 0.5 * (b == g) for b in bad for g in good])
     assert auc > 0.75
-    assert np.mean([g >= 0.3 for g in good]) < 0.1
+    caught = sum(b >= 0.3 for b in bad)
+    assert caught >= 0.6 * len(bad)
+    assert caught >= 0.6 * (caught + sum(g >= 0.3 for g in good))
 
 
 def test_awkward_rows_and_labels(spark, frame, awkward):
