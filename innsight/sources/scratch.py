@@ -83,11 +83,16 @@ def scratch_tables(spark: SparkSession, name: str) -> Iterator[Callable[[DataFra
             remove_folder(spark, path)
 
 
-def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Writes a frame that several jobs read and returns the written table.
+def staged(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Writes a frame that several jobs read; the written table and its folder.
 
     This cuts the lineage and, unlike cached blocks, survives lost executors.
     """
     path = scratch_folder(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def stage_table(df: DataFrame, name: str) -> DataFrame:
+    """The written table alone, where its readers may come at any time."""
+    return staged(df, name)[0]
