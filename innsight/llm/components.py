@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from innsight.sources.scratch import stage_table
+from innsight.sources.scratch import remove_folder, staged
 
 
 def connected_components(links: DataFrame, left: str, right: str) -> DataFrame:
@@ -14,17 +14,21 @@ def connected_components(links: DataFrame, left: str, right: str) -> DataFrame:
     Alternates large-star and small-star steps, which hang all neighbours of a node
     on the smallest one. A step is an aggregate with map-side combine and a join, so
     a node with very many links is no single task. Each round is written to the
-    shared folder; two numbers a round reach the driver. Null ends and links of a
+    shared folder, where it takes the last one's place; three numbers a round reach the
+    driver. Null ends and links of a
     node with itself count for nothing.
     """
     pairs = links.select(F.col(left).alias("u"), F.col(right).alias("v"))
     pairs = pairs.where("u is not null and v is not null and u <> v").select(
         F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
     )
-    pairs = stage_table(pairs.distinct(), "links")
+    spark = links.sparkSession
+    pairs, folder = staged(pairs.distinct(), "links")
     before = None
     while True:
-        pairs = stage_table(_small_star(_large_star(pairs)), "links")
+        last = folder
+        pairs, folder = staged(_small_star(_large_star(pairs)), "links")
+        remove_folder(spark, last)
         # each round is a set of (node, smaller node) links; equal sets mean a fixed point
         state = tuple(
             pairs.agg(

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from innsight.llm.arrow import free_names
+
 ROUNDS = 8
 
 # What is searched for, first alternative first.
@@ -272,24 +274,25 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", counts: bool = T
     secret = F.lit(key)
     hit = t.rlike(EVERY)
     none = F.array().cast("array<string>")
+    matched, gaps, new = free_names(docs, "matched", "gaps", "new")
     found = F.when(hit, F.regexp_extract_all(t, F.lit(EVERY), F.lit(0))).otherwise(none)
     prepared = docs.withColumns(
         {
-            "__found": found,
-            "__gaps": F.when(hit, F.split(t, EVERY, -1)).otherwise(none),
+            matched: found,
+            gaps: F.when(hit, F.split(t, EVERY, -1)).otherwise(none),
         }
-    ).withColumn("__new", F.transform("__found", lambda v: pseudonymise_value(secret, v)))
+    ).withColumn(new, F.transform(matched, lambda v: pseudonymise_value(secret, v)))
     rebuilt = F.array_join(
-        F.zip_with("__gaps", "__new", lambda g, v: F.concat(g, F.coalesce(v, F.lit("")))), ""
+        F.zip_with(gaps, new, lambda g, v: F.concat(g, F.coalesce(v, F.lit("")))), ""
     )
-    made = {text: F.when(F.size("__found") > 0, rebuilt).otherwise(t)}
+    made = {text: F.when(F.size(matched) > 0, rebuilt).otherwise(t)}
     if counts:
         changed = F.filter(
-            F.zip_with("__found", "__new", lambda a, b: a != b), lambda x: x
+            F.zip_with(matched, new, lambda a, b: a != b), lambda x: x
         )
         made["n_pii"] = F.size(changed).cast("long")
-        kinds = F.transform("__found", kind_of)
+        kinds = F.transform(matched, kind_of)
         for name in KINDS:
             same = F.size(kinds) - F.size(F.array_remove(kinds, name))
             made[f"n_{name}"] = same.cast("long")
-    return prepared.withColumns(made).drop("__found", "__gaps", "__new")
+    return prepared.withColumns(made).drop(matched, gaps, new)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from innsight.llm.arrow import field, with_text_columns
+from innsight.llm.arrow import field, free_names, with_text_columns
 from innsight.llm.components import connected_components
 from innsight.sources.scratch import stage_table
 
@@ -158,8 +158,8 @@ def drop_near_duplicates(
     (null last), among equal ids the one with the smallest row hash. Rows equal in
     id and text are one document and stay as one row."""
     value = F.col(text).cast("string")
-    row = {"__hash": F.xxhash64(F.col(doc_id), value), "__check": F.hash(value, F.col(doc_id))}
-    key = list(row)
+    *key, number = free_names(docs, "row_hash", "row_check", "row_number")
+    row = dict(zip(key, (F.xxhash64(F.col(doc_id), value), F.hash(value, F.col(doc_id)))))
     own = docs.select(
         F.col(doc_id).alias("doc_id"), value.alias("text"), *[c.alias(n) for n, c in row.items()]
     )
@@ -175,6 +175,6 @@ def drop_near_duplicates(
     # one of equal rows, limited to one a task before the shuffle; the join that follows
     # finds the rows where they are
     same = Window.partitionBy(*key).orderBy(*key)
-    once = docs.withColumns(row).withColumn("__number", F.row_number().over(same))
-    once = once.where("__number <= 1").drop("__number")
+    once = docs.withColumns(row).withColumn(number, F.row_number().over(same))
+    once = once.where(F.col(number) <= 1).drop(number)
     return once.join(kept, key, "left_semi").select(*docs.columns)

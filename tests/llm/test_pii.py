@@ -1,6 +1,8 @@
 import datetime
 import re
+from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,7 +77,7 @@ def test_formats_and_validity_stay(spark):
 
 
 def test_equal_values_stay_linked_and_keys_differ(frame):
-    docs = frame([(1, "card 4111111111111111, again 4111111111111111."), (2, "4111111111111111 10.0.0.1")], clash=("n_pii", "kind"))
+    docs = frame([(1, "card 4111111111111111, again 4111111111111111."), (2, "4111111111111111 10.0.0.1")], clash=("n_pii", "kind", "__found", "matched", "GAPS", "new"))
     rows = {r["doc_id"]: r for r in pii.pseudonymise(docs, "one").collect()}
     found = re.findall(r"\d{16}", rows[1]["text"]) + re.findall(r"\d{16}", rows[2]["text"])
     assert len(set(found)) == 1 and found[0] != "4111111111111111"
@@ -110,3 +112,40 @@ def test_query_runs_no_python(spark, contract, documents):
         mails = re.findall(pii.MAIL.replace("++", "+").replace("}+", "}"), text or "")
         assert got[doc_id]["n_mail"] == len(mails)
         assert not any(m in got[doc_id]["text"] for m in mails)
+
+
+SCANS = {
+    "mail": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ipv4": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.])",
+    "date": r"(?<!\d)(?:19|20)\d\d-(?:0\d|1[0-2])-(?:[0-2]\d|3[01])(?!\d)",
+    "card": r"(?<![\w+-])\d{16}(?![\w-])",
+    "phone": r"\+\d{1,2} \(\d{3}\) \d{3}-\d{4}",
+    "social": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
+}
+
+
+def test_table_scanned_by_other_patterns(spark, contract):
+    """What an independent scan finds in the texts is replaced, at its place and in its
+    format, and equal values stay equal over all documents."""
+    folder = "/root/testdata/sf0.01"
+    before = dict(duckdb.connect().execute(f"SELECT doc_id, text FROM '{folder}/documents.parquet'").fetchall())
+    after = {r["doc_id"]: r["text"] for r in contract.queries()["op2_pii"](spark, folder).select("doc_id", "text").collect()}
+    assert before.keys() == after.keys()
+    pseudonyms, seen = {}, Counter()
+    for doc_id, text in before.items():
+        for kind, pattern in SCANS.items():
+            old, new = (re.findall(pattern, t or "") for t in (text, after[doc_id]))
+            assert len(old) == len(new), (doc_id, kind)
+            for a, b in zip(old, new):
+                seen[kind] += 1
+                assert pseudonyms.setdefault((kind, a), b) == b
+                if kind == "card":
+                    assert luhn(a) == luhn(b)
+                elif kind == "date":
+                    datetime.date.fromisoformat(b)
+                elif kind == "ipv4":
+                    assert all(int(x) < 256 for x in b.split("."))
+    assert sum(n > 0 for n in seen.values()) >= 3 and sum(seen.values()) > 50
+    # one to one, and almost nothing maps to itself
+    assert len(set((k, b) for (k, _), b in pseudonyms.items())) == len(pseudonyms)
+    assert sum(a == b for (_, a), b in pseudonyms.items()) <= len(pseudonyms) // 50

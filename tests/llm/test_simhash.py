@@ -91,7 +91,9 @@ def test_awkward_rows(frame, awkward):
 
 
 def test_one_document_of_each_group_stays(frame, awkward):
-    docs = frame(awkward, clash=("component_id",))
+    names = ("component_id", "__hash", "row_hash", "ROW_CHECK", "row_number", "fingerprint")
+    docs = frame(awkward, clash=names)
+    assert all(r[n] == "x" for r in drop_near_duplicates(docs).collect() for n in names)
     kept = drop_near_duplicates(docs)
     assert kept.columns == docs.columns
     rows = [(r["doc_id"], r["text"]) for r in kept.collect()]
