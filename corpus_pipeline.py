@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from innsight.llm import decontaminate, pieces, pii, simhash, toxicity
 from innsight.llm.queries import PIECES, PII_KEY, table
-from innsight.sources.scratch import scratch_folder
+from innsight.sources.scratch import remove_folder, scratch_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,10 +57,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, each written to the shared folder and read
-    again by the next."""
-    docs = table(spark, sf_dir, "documents")
+    again by the next; what a stage has read of the one before is then deleted."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = scratch_folder(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if last:
+            remove_folder(spark, last)
+        docs, last = spark.read.parquet(path), path
     return docs
