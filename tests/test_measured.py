@@ -136,7 +136,7 @@ def stored(spark, tmp_path):
     spark.sql(
         "select 1L hotel_id, 7L review_id, 'a' reviewer_name, 4D rating, 'c' comment, timestamp'2024-01-01' created_at"
     ).write.parquet(paths["reviews"])
-    spark.sql("select 'Puri' city, date'2024-02-21' date, 0.3D uplift").write.parquet(paths["calendar"])
+    spark.sql("select 'Portmoor' city, date'2024-02-21' date, 0.3D uplift").write.parquet(paths["calendar"])
     history(spark, history_rows(2000)).write.parquet(paths["history"])
     frames = {name: spark.read.parquet(path) for name, path in paths.items()}
     summary = SignalSummary(spark, str(tmp_path / "sums"))

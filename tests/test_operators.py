@@ -299,8 +299,8 @@ def test_two_rows_a_booking_before_the_shuffle(spark):
 def test_supply_is_clamped(spark):
     rows = supply_factors(bookings(spark, STAYS), hotels(spark)).collect()
     share = {(r.hotel_id, str(r.night)): r.supply_factor for r in rows}
-    assert share[1, "2024-12-31"] == 0.0  # 92 of 80 rooms
-    assert share[2, "2025-01-01"] == 0.5
+    assert share[1, "2024-12-31"] == 0.0  # 92 of 72 rooms
+    assert share[2, "2025-01-01"] == 0.25
     assert all(hotel != 99 for hotel, _ in share)
     empty = hotels(spark).withColumn("total_rooms", F.lit(0))
     rows = supply_factors(bookings(spark, STAYS), empty).collect()
@@ -311,7 +311,7 @@ def test_with_supply_fills_free_nights(spark):
     rows = spark.createDataFrame([(1, day("2024-12-30")), (5, day("2024-12-30"))], "hotel_id long, date date")
     supply = supply_factors(bookings(spark, STAYS), hotels(spark))
     found = {r.hotel_id: r.supply_factor for r in with_supply(rows, supply).collect()}
-    assert found == {1: 1 - 2 / 80, 5: 1.0}
+    assert found == {1: 1 - 2 / 72, 5: 1.0}
 
 
 # --- audit --------------------------------------------------------------------
