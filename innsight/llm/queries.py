@@ -84,6 +84,69 @@ def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _found(kind: int, pattern: str, least: int, group: int = 0) -> str:
+    """Matches of a pattern as rows (place, kind, start, stop, value): the texts between
+    matches and the matches alternate. Patterns are those of Spark, each written for an
+    engine without options, lookbehind and possessive repeats."""
+    return f"""
+    SELECT place, {kind} AS kind, stop - length(match) AS start, stop, value FROM (
+      SELECT place, match, value, sum(length(gap) + length(match)) OVER (PARTITION BY place ORDER BY k) AS stop
+      FROM (
+        SELECT place, unnest(range(len(m))) AS k, unnest(m) AS match, unnest(v) AS value,
+          unnest(g[1 : len(m)]) AS gap
+        FROM (SELECT place, regexp_extract_all(t, '{pattern}') AS m,
+                regexp_extract_all(t, '{pattern}', {group}) AS v,
+                regexp_split_to_array(t, '{pattern}') AS g
+              FROM docs)
+      )
+    ) WHERE length(value) >= {least}"""
+
+
+def _either_case(words: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in words)
+
+
+_ASSIGN = (
+    f"""({_either_case("password|passwd|secret|token|api_?key")})["'']?\\x20*[:=]\\x20*["'']?"""
+    "([A-Za-z0-9+/_.=-]+)"
+)
+
+ORACLE["op4_secrets"] = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS place, doc_id, coalesce(text, '') AS t, source AS owner,
+    concat_ws('/', source, lang) AS repository
+  FROM documents
+), base AS ({_found(0, _ASSIGN, 12, 2)}
+  UNION ALL {_found(1, "AKIA[A-Z0-9]+", 18)}
+  UNION ALL {_found(2, "[0-9a-f]+", 16)}
+), generic AS ({_found(3, "[A-Za-z0-9+/_-]+", 24)}
+    AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[a-z]')
+    AND regexp_matches(value, '[A-Z]')
+), spans AS (
+  SELECT * FROM base UNION ALL
+  SELECT * FROM generic g WHERE NOT EXISTS (
+    SELECT 1 FROM base b WHERE b.place = g.place AND b.start < g.stop AND g.start < b.stop)
+), held AS (
+  SELECT value, count(DISTINCT owner) >= 3 AND count(DISTINCT repository) >= 3 AS copied
+  FROM spans JOIN docs USING (place) GROUP BY value
+), named AS (
+  SELECT place, kind, start, copied,
+    ['assign', 'access', 'hex', 'generic'][kind + 1] || ':' || start || ':' || stop AS name
+  FROM spans JOIN held USING (value)
+), counted AS (
+  SELECT place, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS b,
+    count(*) FILTER (kind = 2) AS c, count(*) FILTER (copied) AS copies, count(*) AS n,
+    string_agg(name, ',' ORDER BY start, kind) FILTER (kind < 3) AS base_text,
+    string_agg(name, ',' ORDER BY start, kind) FILTER (kind < 3 OR NOT copied) AS shown
+  FROM named GROUP BY place
+)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex,
+  sha256(coalesce(base_text, '')) AS base_sha256, coalesce(shown, '') AS spans,
+  coalesce(copies, 0) AS n_copied, coalesce(n - copies, 0) AS n_live
+FROM docs LEFT JOIN counted USING (place)
+"""
+
+
 @query
 def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -103,6 +166,33 @@ def op6_suffix_array(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+ORACLE["op6_suffix_array"] = """
+WITH docs AS (
+  SELECT row_number() OVER () AS place, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), starts AS (
+  SELECT place, i, md5(substr(h, 2 * i + 1, 800)) AS m
+  FROM docs, unnest(range(greatest(length(h) // 2 - 399, 0))) AS t(i)
+), repeated AS (
+  SELECT place, i, i > lag(i) OVER w + 400 AS apart
+  FROM starts WHERE m IN (SELECT m FROM starts GROUP BY m HAVING count(*) > 1)
+  WINDOW w AS (PARTITION BY place ORDER BY i)
+), numbered AS (
+  SELECT place, i, sum(CAST(coalesce(apart, true) AS INTEGER)) OVER (PARTITION BY place ORDER BY i) AS run
+  FROM repeated
+), runs AS (SELECT place, min(i) AS a, max(i) + 400 AS b FROM numbered GROUP BY place, run),
+kept AS (
+  SELECT r.place, count(*) AS n, sum(b - a) AS gone, max(b) AS last, string_agg(part, '' ORDER BY a) AS parts
+  FROM (SELECT place, a, b, coalesce(lag(b) OVER (PARTITION BY place ORDER BY a), 0) AS before FROM runs) r
+  JOIN docs USING (place), LATERAL (SELECT substr(h, 2 * before + 1, 2 * (a - before)) AS part)
+  GROUP BY r.place
+)
+SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed,
+  coalesce(n, 0) AS n_spans,
+  sha256(unhex(coalesce(parts, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM docs LEFT JOIN kept USING (place)
+"""
+
+
 @query
 def op7_hidden_markov(spark: SparkSession, folder: str) -> DataFrame:
     return hmm.score_texts(table(spark, folder, "documents").select("doc_id", "text"))

@@ -1,6 +1,5 @@
 import re
 
-import duckdb
 import pytest
 
 from innsight.llm.decontaminate import find_contamination
@@ -75,24 +74,3 @@ def test_parts_are_searched_one_after_the_other(spark, frame, prose, monkeypatch
     assert len(held) > 6 and max(held[1:]) < 4 * 2000 < held[0]
     key = lambda r: repr((r["doc_id"], r["text"]))
     assert sorted(whole, key=key) == sorted(parts, key=key)
-
-
-def test_query_equals_sql(spark, contract):
-    compare(spark, contract, "op10_decontamination")
-
-
-def test_vectors_query_equals_sql(spark, contract):
-    compare(spark, contract, "op9_vectors")
-
-
-def compare(spark, contract, name):
-    folder = "/root/testdata/sf0.001"
-    duck = duckdb.connect()
-    for table in ("documents", "benchmark", "embeddings"):
-        duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
-    result = duck.execute(contract.oracle_sql()[name])
-    columns = [c[0] for c in result.description]
-    df = contract.queries()[name](spark, folder)
-    assert sorted(df.columns) == sorted(columns)
-    expected = sorted(map(repr, result.fetchall()))
-    assert sorted(repr(tuple(r)) for r in df.select(*columns).collect()) == expected
