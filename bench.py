@@ -46,6 +46,9 @@ HEADLINE = (
     "integrity_audit",
     "model_metrics",
     "price_adjustment",
+    "optimise",
+    "bucketed_history_with_hotels",
+    "bucketed_hotel_stats",
     "stream_reprice",
     "stream_demand",
 )

@@ -411,10 +411,12 @@ _BODIES = {
     SELECT review_id, hotel_id, reviewer_name, rating, comment, {_moment("created_at")}
     FROM reviews""",
     "load_with_defaults": """
-    SELECT hotel_id, name, city,
+    SELECT hotel_id, name, city, CASE WHEN hotel_id % 5 <> 1 THEN '1 ' || name END AS address,
+           lat, lon, star_rating, base_price, total_rooms,
            CASE WHEN hotel_id % 3 <> 2 THEN amenities ELSE '[]' END AS amenities,
+           CAST(NULL AS VARCHAR) AS description, CAST(NULL AS VARCHAR) AS image_url,
            CASE WHEN hotel_id % 2 = 0 THEN 3.5e0 ELSE 4e0 END AS rating,
-           CAST(0 AS INTEGER) AS review_count
+           CAST(0 AS INTEGER) AS review_count, true AS entered_now
     FROM hotels""",
     "write_history_by_month": f"""
     SELECT {_day("date_trunc('month', recorded_date)", "month_start")}, count(*) AS records,

@@ -134,16 +134,17 @@ def scan_reviews(views: Views) -> DataFrame:
 def load_with_defaults(views: Views) -> DataFrame:
     """Hotels written with gaps, loaded through the declared schema and defaults."""
     spark, path = views.spark, scratch_folder(views.spark, "hotels")
-    stored = views.hotels.select(
-        F.col("hotel_id").alias("id"),
-        "name",
-        "city",
-        F.when(F.pmod("hotel_id", F.lit(3)) != 2, F.col("amenities")).alias("amenities"),
-        F.when(F.pmod("hotel_id", F.lit(2)) == 0, F.lit(3.5)).alias("rating"),
-    )
+    gaps = {
+        "amenities": F.when(F.pmod("hotel_id", F.lit(3)) != 2, F.col("amenities")),
+        "rating": F.when(F.pmod("hotel_id", F.lit(2)) == 0, F.lit(3.5)),
+        "address": F.when(F.pmod("hotel_id", F.lit(5)) != 1, F.concat(F.lit("1 "), F.col("name"))),
+    }
+    stored = views.hotels.withColumns(gaps).withColumnRenamed("hotel_id", "id")
     write_table(stored, path, sort_by="id")
     loaded = keyed(load_table(spark, "hotels", path), "hotels")
-    return loaded.select("hotel_id", "name", "city", "amenities", "rating", "review_count")
+    # the default of the time of entry is now, for every row
+    entered = F.date_diff(F.current_timestamp(), "created_at").between(0, 1)
+    return loaded.withColumn("entered_now", entered).drop("created_at")
 
 
 @query

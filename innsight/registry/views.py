@@ -16,6 +16,7 @@ from innsight.functions.pricing import raw_history_price
 from innsight.operators.bucketed import Bucketed, open_bucketed, write_bucketed
 from innsight.operators.measured import SignalSummary
 from innsight.sources.runs import kept_run
+from innsight.sources.scratch import file_system
 
 _EVENTS = T.StructType(
     [
@@ -29,6 +30,7 @@ _EVENTS = T.StructType(
 )
 
 
+_SCHEMAS: dict[tuple[str, int], T.StructType] = {}
 BUCKETS = 8  # of the small test tables
 
 
@@ -42,14 +44,16 @@ class Views:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
-        self.schemas: dict[str, T.StructType] = {}
 
     def table(self, name: str) -> DataFrame:
-        """Reading a file's schema is a job of its own; a query does it once per table."""
+        """Reading a file's schema is a job of its own; it is done once for each state of
+        a path."""
         path = f"{self.folder}/{name}.parquet"
-        if name not in self.schemas:
-            self.schemas[name] = self.spark.read.parquet(path).schema
-        return self.spark.read.schema(self.schemas[name]).parquet(path)
+        files, target = file_system(self.spark, path)
+        known = (path, files.getFileStatus(target).getModificationTime())
+        if known not in _SCHEMAS:
+            _SCHEMAS[known] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[known]).parquet(path)
 
     def _hotel_number(self, key: str) -> Column:
         """Spreads a key over the hotels."""
