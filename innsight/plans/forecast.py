@@ -28,7 +28,8 @@ def price_forecast(
     Filter ``hotels`` for a single forecast.
     """
     span = (date_ahead(as_of, F.lit(0)), date_ahead(as_of, F.lit(horizon - 1)))
-    rows = hotels.select("hotel_id", "name", "city", "lat", "base_price", "total_rooms")
+    rooms = [] if bookings is None else ["total_rooms"]
+    rows = hotels.select("hotel_id", "name", "city", "lat", "base_price", *rooms)
     if bookings is not None:
         nights = nights_by_hotel(booked_nights(bookings, *span))
         rows = rows.join(nights, "hotel_id", "left")
