@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,8 @@ from innsight.functions.geo import distance_km
 from innsight.operators.measured import signal_sums
 from innsight.operators.radius import (
     candidates_of_points,
+    grouped,
+    shortlists,
     top_within_radius,
     top_within_radius_of_points,
     within_radius,
@@ -157,6 +160,39 @@ def test_a_hundred_thousand_places_in_one_cell(spark):
         assert actual.get(point_id, []) == order.tolist()
 
 
+def test_points_meet_no_more_hotels_where_these_are_more(spark):
+    """What a point meets follows the limit, not the number of hotels around it."""
+    draw = np.random.default_rng(8)
+    points = [(i, draw.uniform(-10, 10), draw.uniform(-10, 10)) for i in range(60)]
+    longest = []
+    for n in (4_000, 40_000):
+        frame = pd.DataFrame({"hotel_id": np.arange(n), "stars": draw.integers(1, 6, n)})
+        frame["lat"], frame["lon"] = draw.uniform(-20, 20, n), draw.uniform(-20, 20, n)
+        places = spark.createDataFrame(frame).selectExpr("hotel_id", "int(stars) star_rating", "lat", "lon")
+        groups = grouped(point_frame(spark, points), 700.0).select("gx", "gy", "gz").distinct()
+        lists = shortlists(places, groups, 700.0, 20).groupBy("gx", "gy", "gz").count().collect()
+        assert len(lists) == groups.count()
+        longest.append(max(r["count"] for r in lists))
+    assert 20 <= min(longest) and max(longest) <= 80
+
+
+def test_points_are_dealt_to_tasks_by_their_number(spark, monkeypatch):
+    places, points = scattered(7)
+    monkeypatch.setattr("innsight.operators.radius.POINTS_PER_TASK", 10)
+    one_file = point_frame(spark, points).coalesce(1)
+    found = top_within_radius_of_points(place_frame(spark, places), one_file, 700.0, 5)
+    dealt = f"hashpartitioning\\(point_id#\\d+L, {math.ceil(len(points) / 10)}\\), REPARTITION_BY_NUM"
+    assert re.search(dealt, found._jdf.queryExecution().executedPlan().toString())
+
+
+def test_long_lists_are_searched_singly(spark, monkeypatch):
+    places, points = scattered(8)
+    monkeypatch.setattr("innsight.operators.radius.SHORTLIST", 1)
+    found = top_within_radius_of_points(place_frame(spark, places), point_frame(spark, points), 900.0, 3).collect()
+    actual = {(row.point_id, row.result_rank): row.hotel_id for row in found}
+    assert actual == brute_force(places, points, 900.0, 3)
+
+
 def test_batch_of_nothing(spark):
     places, points = scattered(6)
     none = place_frame(spark, [])
