@@ -467,6 +467,34 @@ def test_training_leaves_no_folder(spark, tmp_path):
     assert set(os.listdir(shared)) == before
 
 
+def test_kept_job_reads_stored_features_and_scores_once(spark, tmp_path):
+    """Results that are all read share one stored feature table and one scoring."""
+    kept = []
+
+    def keep(df):
+        path = str(tmp_path / f"kept{len(kept)}")
+        df.write.parquet(path)
+        kept.append(path)
+        return spark.read.parquet(path)
+
+    df = history(spark, random_history(900))
+    stored, fresh = optimise(df, hotels(spark), keep=keep, numTrees=3), optimise(df, hotels(spark), numTrees=3)
+    assert len(kept) == 2
+    for name in ("overall", "quality", "adjustments", "stats", "summary"):
+        shown, expected = getattr(stored, name), getattr(fresh, name)
+        part = kept[0] if name in ("stats", "summary") else kept[1]
+        assert {f.removeprefix("file://").rsplit("/", 1)[0] for f in shown.inputFiles()} == {part}
+        rows = [sorted(d.collect(), key=repr) for d in (shown, expected)]
+        assert len(rows[0]) == len(rows[1])
+        for row, other in zip(*rows):
+            for value, same in zip(row, other):
+                assert value == (same if isinstance(same, str) else pytest.approx(same, rel=1e-9))
+    marked = spark.read.parquet(kept[0])
+    assert marked.where(F.col(model.CHOSEN) != model.in_training()).isEmpty()
+    rows = model.complete(marked.where(~F.col(model.CHOSEN))).count()
+    assert spark.read.parquet(kept[1]).count() == rows == stored.overall.first().records
+
+
 def test_optimisation_job(spark):
     df = history(spark, random_history(1500))
     result = optimise(df, hotels(spark), numTrees=5)
