@@ -394,6 +394,27 @@ def test_model_and_its_quality(spark):
         assert row.adjustment_pct == pytest.approx(expected)
 
 
+def test_plain_prediction_reads_the_rows_twice(spark, tmp_path):
+    """The means by hotel and the overall one come from one pass; the rows are the other."""
+    path = str(tmp_path / "history")
+    history(spark, random_history(600) + [(4, day("2024-01-01"), 5000.0, 50.0, 0.5, 0.5)]).write.parquet(path)
+    features = model.feature_table(spark.read.parquet(path), hotels(spark))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = model.mean_ratio_prediction(features)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert plan.count("FileScan parquet") == 2
+    ratios = {}
+    for row in features.where(model.in_training()).collect():
+        ratios.setdefault(row.hotel_id, []).append(row.price_ratio)
+    overall = statistics.fmean([r for own in ratios.values() for r in own])
+    for row in found.collect():
+        own = ratios.get(row.hotel_id)
+        assert row.prediction == pytest.approx(statistics.fmean(own) if own else overall)
+
+
 @pytest.mark.parametrize("trees, depth", [(10, 5), (3, 1), (4, 9), (1, 5)])
 def test_nodes_predict_as_the_model_does(spark, trees, depth):
     """On every row, held out or not, and with values on the thresholds themselves."""
